@@ -123,9 +123,9 @@ WITH e AS (SELECT l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN 'percentage_points
   FROM lineitem GROUP BY l_orderkey),
  t AS (SELECT *, CASE unit WHEN 'percentage_points' THEN '{:+.2f} pp' WHEN 'percent' THEN '{:.1f}%' WHEN 'ms' THEN '{:,.0f} ms' ELSE '{:.3f}' END AS f FROM e)
 SELECT l_orderkey, CASE WHEN point IS NULL THEN 'not measured' WHEN lo IS NULL THEN concat(format('{:.3f}', point), ' (no CI, n=1)')
-  ELSE concat(CASE WHEN unit = 'ms' THEN concat(format('{:,}', CAST(round_even(point, 0) AS BIGINT)), ' ms') ELSE format(f, point) END, ' [',
-   CASE WHEN unit = 'ms' THEN concat(format('{:,}', CAST(round_even(lo, 0) AS BIGINT)), ' ms') ELSE format(f, lo) END, ', ',
-   CASE WHEN unit = 'ms' THEN concat(format('{:,}', CAST(round_even(hi, 0) AS BIGINT)), ' ms') ELSE format(f, hi) END, ']') END AS shown FROM t""")
+  ELSE concat(CASE WHEN unit = 'ms' THEN concat(CASE WHEN point < 0 AND round_even(point, 0) = 0 THEN '-0' ELSE format('{:,}', CAST(round_even(point, 0) AS BIGINT)) END, ' ms') ELSE format(f, point) END, ' [',
+   CASE WHEN unit = 'ms' THEN concat(CASE WHEN lo < 0 AND round_even(lo, 0) = 0 THEN '-0' ELSE format('{:,}', CAST(round_even(lo, 0) AS BIGINT)) END, ' ms') ELSE format(f, lo) END, ', ',
+   CASE WHEN unit = 'ms' THEN concat(CASE WHEN hi < 0 AND round_even(hi, 0) = 0 THEN '-0' ELSE format('{:,}', CAST(round_even(hi, 0) AS BIGINT)) END, ' ms') ELSE format(f, hi) END, ']') END AS shown FROM t""")
 def nrm_estimate_text(src):
     key = F.col("l_orderkey")
     several = F.count("*") > 1
