@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from armparity.plans import q_text, q_keys  # noqa: F401
+from armparity.plans import q_keys, q_metrics, q_text  # noqa: F401
 from armparity.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -247,6 +247,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a log read by fewer tasks than there are cores; a large log stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One study view as a Spark DataFrame."""
     sql = _dialect(VIEWS[name], "spark")
@@ -255,6 +261,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
         frames[t] = table(spark, sf_dir, t)
+        if t == "events":
+            frames[t] = _spread(frames[t], "event_id")
     if not frames:
         return spark.sql(sql)
     # spark.sql formats with str.format, so literal braces are doubled first
