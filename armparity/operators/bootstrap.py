@@ -9,7 +9,10 @@ Three ways to draw, all deterministic in the seed and independent of partitionin
                       the number of rows. Groups with few distinct values draw a
                       multinomial per chunk of replicates; others draw Poisson counts per
                       distinct value, spread over all tasks.
-``interval``          percentile bounds over the replicates of each group.
+``estimate``          point and percentile bounds over the replicates of each group.
+
+Replicate -1 is the sample itself (weight 1 per row), so the point estimate, its n and
+the dropped rows come out of the same pass as the interval.
 """
 
 from __future__ import annotations
@@ -27,38 +30,80 @@ CONFIDENCE = 0.95
 POISSON_STEPS = (24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535)
 
 
-def _weight(hash_col: Column, j: int) -> Column:
-    u = F.conv(F.substring(hash_col, 1 + 4 * j, 4), 16, 10).cast("int")
+def _draws(df: DataFrame, keep, key: str, seed: int) -> DataFrame:
+    """Eight 16-bit draws ``_u0.._u7`` per row from md5 of (seed, block, key).
+
+    Hash, words and draws are staged in separate projections so each is computed once.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(key).cast("string"))
+    hashed = df.select(*keep, F.md5(text).alias("_h"))
+    words = hashed.select(*keep, *[F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("long").alias(f"_x{i}") for i in range(4)])
+    high = [F.shiftright(f"_x{i}", 16).cast("int").alias(f"_u{2 * i}") for i in range(4)]
+    low = [F.col(f"_x{i}").bitwiseAND(F.lit(0xFFFF)).cast("int").alias(f"_u{2 * i + 1}") for i in range(4)]
+    return words.select(*keep, *high, *low)
+
+
+def _weight(j: int) -> Column:
+    """Poisson(1) count of draw ``j``."""
     total = F.lit(0)
     for step in POISSON_STEPS:
-        total = total + (u >= step).cast("int")
+        total = total + (F.col(f"_u{j}") >= step).cast("int")
     return total
 
 
 def hash_replicates(df: DataFrame, by, key: str, values, resamples: int = 200, seed: int = 20260801) -> DataFrame:
-    """Per replicate: sum of weights ``sw`` and weighted sums ``s_<value>``."""
+    """Per replicate: sum of weights ``sw`` and weighted sums ``s_<value>``.
+
+    Rows with a null value are not drawn; replicate -1 counts them as ``dropped``.
+    """
     by, values = list(by), list(values)
     blocks = -(-resamples // 8)
-    drawn = df.select(*by, key, *values).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hashed = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(key).cast("string"))))
-    weighted = hashed.select(*by, "_block", *values, *[_weight(F.col("_h"), j).alias(f"_w{j}") for j in range(8)])
-    sums = []
+    used = F.lit(True)
+    for v in values:
+        used = used & F.col(v).isNotNull()
+    own = F.when(used, F.sequence(F.lit(-1), F.lit(blocks - 1))).otherwise(F.array(F.lit(-1)))
+    drawn = df.select(*by, key, *values, used.alias("_used")).withColumn("_block", F.explode(own))
+    hashed = _draws(drawn, [*by, "_block", "_used", *values], key, seed)
+    sample = F.col("_block") == -1
+    weights = [F.when(~F.col("_used"), 0).when(sample, 1 if j == 0 else 0).otherwise(_weight(j)).alias(f"_w{j}") for j in range(8)]
+    weighted = hashed.select(*by, "_block", "_used", *values, *weights)
+    sums = [F.count_if(~F.col("_used")).alias("_dropped")]
     for j in range(8):
         sums.append(F.sum(f"_w{j}").cast("double").alias(f"sw_{j}"))
-        sums += [F.sum(F.col(f"_w{j}") * F.col(v)).alias(f"s_{v}_{j}") for v in values]
+        sums += [F.sum(F.col(f"_w{j}") * F.col(v)).cast("double").alias(f"s_{v}_{j}") for v in values]
     wide = weighted.groupBy(*by, "_block").agg(*sums)
     rows = F.array(*[
-        F.struct((F.col("_block") * 8 + j).alias("replicate"), F.col(f"sw_{j}").alias("sw"),
-                 *[F.col(f"s_{v}_{j}").alias(f"s_{v}") for v in values]) for j in range(8)])
-    return wide.select(*by, F.inline(rows)).filter(F.col("replicate") < resamples)
+        F.struct(F.when(F.col("_block") >= 0, F.col("_block") * 8 + j).otherwise(-1 - j).cast("long").alias("replicate"), F.col(f"sw_{j}").alias("sw"),
+                 *[F.col(f"s_{v}_{j}").alias(f"s_{v}") for v in values], F.col("_dropped").alias("dropped")) for j in range(8)])
+    return wide.select(*by, F.inline(rows)).filter((F.col("replicate") >= -1) & (F.col("replicate") < resamples))
+
+
+def estimate(replicates: DataFrame, by, statistic: Column, confidence: float = CONFIDENCE) -> DataFrame:
+    """``n, dropped, point, lo, hi, resamples`` per group, from at most ``resamples`` values each.
+
+    Fewer than two rows give a point and no interval.
+    """
+    tail = (1 - confidence) / 2
+    sample = F.col("replicate") == -1
+    kept = ["replicate", "sw", "dropped", *[c for c in replicates.columns if c.startswith("s_")]]
+    out = replicates.select(*by, *kept, statistic.alias("_stat")).groupBy(*by).agg(
+        F.max(F.when(sample, F.col("sw"))).cast("long").alias("n"), F.max(F.when(sample, F.col("dropped"))).alias("dropped"),
+        F.max(F.when(sample, F.col("_stat"))).alias("point"), F.count(F.when(~sample, F.col("_stat"))).alias("resamples"),
+        F.percentile(F.when(~sample, F.col("_stat")), F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"),
+        *[F.max(F.when(sample, F.col(c))).alias(f"sum_{c[2:]}") for c in kept if c.startswith("s_")])
+    enough = F.col("n") >= 2
+    return out.withColumns({"lo": F.when(enough, F.col("_p")[0]), "hi": F.when(enough, F.col("_p")[1])}).drop("_p")
 
 
 def interval(replicates: DataFrame, by, statistic: Column, confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile bounds; at most ``resamples`` values per group."""
+    """The same for replicates that already are a statistic and carry their ``n``."""
     tail = (1 - confidence) / 2
-    bounds = replicates.withColumn("_stat", statistic).filter("_stat is not null").groupBy(*by).agg(
-        F.expr(f"percentile(_stat, array({tail}D, {1 - tail}D))").alias("_p"), F.count("*").alias("resamples"))
-    return bounds.select(*by, F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"), "resamples")
+    drawn = F.when(F.col("replicate") >= 0, statistic)
+    out = replicates.groupBy(*by).agg(
+        F.percentile(drawn, F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"), F.count(drawn).alias("resamples"),
+        F.max(F.when(F.col("replicate") == -1, statistic)).alias("point"), F.max(F.when(F.col("replicate") == -1, F.col("n"))).alias("n"))
+    enough = F.col("n") >= 2
+    return out.select(*by, "n", "point", F.when(enough, F.col("_p")[0]).alias("lo"), F.when(enough, F.col("_p")[1]).alias("hi"), "resamples")
 
 
 def mean_stat(value: str) -> Column:
@@ -82,57 +127,65 @@ def histogram_replicates(df: DataFrame, by, values, resamples: int = RESAMPLES,
                          chunk: int = 500, max_cells: int = 20_000) -> DataFrame:
     """Replicates drawn from value counts; same columns as :func:`hash_replicates`."""
     by, values = list(by), list(values)
-    hist = df.groupBy(*by, *values).agg(F.count("*").alias("_c"))
+    hist = df.groupBy(*by, *[F.col(v).cast("double").alias(v) for v in values]).agg(F.count("*").alias("_c"))
     sizes = hist.groupBy(*by).agg(F.count("*").alias("_cells"))
     sized = hist.join(sizes, by)
-    group = F.xxhash64(*by).alias("_g")
-    out = T.StructType(
-        [df.schema[c] for c in by]
-        + [T.StructField("replicate", T.LongType()), T.StructField("sw", T.DoubleType())]
-        + [T.StructField(f"s_{v}", T.DoubleType()) for v in values])
+    group = F.xxhash64(*by)
+    names = ["sw", *[f"s_{v}" for v in values]]
+    keys = [df.schema[c] for c in by]
+    out = T.StructType([*keys, T.StructField("replicate", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names],
+                        T.StructField("dropped", T.LongType())])
 
     chunks = -(-resamples // chunk)
     small = sized.filter(F.col("_cells") <= max_cells).drop("_cells").withColumn("_g", group).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        "_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(values)
-        c, part = pdf["_c"].to_numpy(np.int64), int(pdf["_chunk"].iloc[0])
-        size = min(chunk, resamples - part * chunk)
-        rng = np.random.default_rng(_mix(seed, pdf["_g"].iloc[0], part))
-        x = pdf[values].to_numpy(np.float64)
-        n, step = int(c.sum()), max(1, 4_000_000 // len(c))
-        sums = [rng.multinomial(n, c / n, size=min(step, size - i)) @ x for i in range(0, size, step)]
-        res = pd.DataFrame(np.vstack(sums), columns=[f"s_{v}" for v in values])
-        res.insert(0, "sw", float(n))
-        res.insert(0, "replicate", np.arange(size, dtype=np.int64) + part * chunk)
-        for i, name in enumerate(by):
-            res.insert(i, name, pdf[name].iloc[0])
+        keyed = {name: pdf[name].iloc[0] for name in by}
+        g, part = pdf["_g"].iloc[0], int(pdf["_chunk"].iloc[0])
+        used = pdf.dropna(subset=values).sort_values(values)
+        c, x = used["_c"].to_numpy(np.int64), used[values].to_numpy(np.float64)
+        n = int(c.sum())
+        if part < 0 or n == 0:
+            sums, replicates = (c @ x).reshape(1, -1), np.array([-1])
+            if part >= 0:
+                return pd.DataFrame(columns=out.names)
+        else:
+            size = min(chunk, resamples - part * chunk)
+            rng = np.random.default_rng(_mix(seed, g, part))
+            step = max(1, 4_000_000 // len(c))
+            sums = np.vstack([rng.multinomial(n, c / n, size=min(step, size - i)) @ x for i in range(0, size, step)])
+            replicates = np.arange(size) + part * chunk
+        res = pd.DataFrame({**{k: [v] * len(replicates) for k, v in keyed.items()}, "replicate": replicates, "sw": float(n),
+                            **{f"s_{v}": sums[:, i] for i, v in enumerate(values)}})
+        res["dropped"] = int(pdf["_c"].sum()) - n
         return res
 
     few = small.groupBy("_g", "_chunk").applyInPandas(draw, out)
 
-    large = sized.filter(F.col("_cells") > max_cells).drop("_cells").withColumns(
-        {"_g": group, "_row": F.xxhash64(*by, *values)})
-    partial_schema = T.StructType([df.schema[c] for c in by] + [
-        T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sw", *[f"s_{v}" for v in values])])
+    large = sized.filter(F.col("_cells") > max_cells).drop("_cells").withColumn("_row", F.xxhash64(*by, *values))
+    partial_schema = T.StructType([*keys, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names], T.StructField("dropped", T.LongType())])
 
     def spread(batches):
-        acc: dict = {}
+        sums: dict = {}
+        lost: dict = {}
         for pdf in batches:
             x = np.column_stack([np.ones(len(pdf)), pdf[values].to_numpy(np.float64)])
             for i, (c, row) in enumerate(zip(pdf["_c"].to_numpy(), pdf["_row"].to_numpy())):
                 key = tuple(pdf[b].iloc[i] for b in by)
-                w = np.random.default_rng(_mix(seed, row)).poisson(c, resamples)
-                acc[key] = acc.get(key, 0.0) + np.outer(x[i], w)
-        for key, sums in acc.items():
-            yield pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, "sw": [sums[0]],
-                                **{f"s_{v}": [sums[i + 1]] for i, v in enumerate(values)}})
+                w = np.concatenate([[c], np.random.default_rng(_mix(seed, row)).poisson(c, resamples)])
+                if np.isnan(x[i]).any():
+                    lost[key] = lost.get(key, 0) + int(c)
+                    sums.setdefault(key, np.zeros((x.shape[1], resamples + 1)))
+                else:
+                    sums[key] = sums.get(key, 0.0) + np.outer(x[i], w)
+        for key, s in sums.items():
+            yield pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, **{n: [s[i]] for i, n in enumerate(names)}, "dropped": [lost.get(key, 0)]})
 
     parts = large.mapInPandas(spread, partial_schema)
-    zipped = parts.select(*by, F.posexplode(F.arrays_zip("sw", *[f"s_{v}" for v in values])).alias("replicate", "_z"))
-    many = zipped.groupBy(*by, F.col("replicate").cast("long").alias("replicate")).agg(
-        F.sum("_z.sw").alias("sw"), *[F.sum(f"_z.s_{v}").alias(f"s_{v}") for v in values])
+    zipped = parts.select(*by, "dropped", F.posexplode(F.arrays_zip(*names)).alias("_pos", "_z"))
+    many = zipped.groupBy(*by, (F.col("_pos") - 1).cast("long").alias("replicate")).agg(
+        *[F.sum(f"_z.{n}").alias(n) for n in names], F.sum("dropped").alias("dropped"))
     return few.unionByName(many)
 
 
@@ -141,23 +194,26 @@ def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples
     """Bootstrap replicates of a percentile from value counts of a small domain (whole ms)."""
     by = list(by)
     chunks = -(-resamples // chunk)
-    spread = counts.withColumn("_g", F.xxhash64(*by)).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    out = T.StructType([counts.schema[c] for c in by] + [T.StructField("replicate", T.LongType()), T.StructField("stat", T.DoubleType())])
+    spread = counts.withColumn("_g", F.xxhash64(*by)).withColumn("_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
+    out = T.StructType([counts.schema[c] for c in by] + [
+        T.StructField("replicate", T.LongType()), T.StructField("stat", T.DoubleType()), T.StructField("n", T.LongType())])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(value)
         c, x = pdf["_c"].to_numpy(np.int64), pdf[value].to_numpy(np.float64)
         part, n = int(pdf["_chunk"].iloc[0]), int(c.sum())
-        size = min(chunk, resamples - part * chunk)
-        rng = np.random.default_rng(_mix(seed, pdf["_g"].iloc[0], part))
+        size = 1 if part < 0 else min(chunk, resamples - part * chunk)
+        rng = np.random.default_rng(_mix(seed, pdf["_g"].iloc[0], max(part, 0)))
         h = q * (n - 1)
         lo, stats, step = int(np.floor(h)), [], max(1, 4_000_000 // len(c))
         for i in range(0, size, step):
-            cum = rng.multinomial(n, c / n, size=min(step, size - i)).cumsum(axis=1)
+            drawn = c.reshape(1, -1) if part < 0 else rng.multinomial(n, c / n, size=min(step, size - i))
+            cum = drawn.cumsum(axis=1)
             a = x[(cum <= lo).sum(axis=1)]
             b = x[(cum <= min(lo + 1, n - 1)).sum(axis=1)]
             stats.append(a + (h - lo) * (b - a))
-        res = pd.DataFrame({"replicate": np.arange(size, dtype=np.int64) + part * chunk, "stat": np.concatenate(stats)})
+        first = -1 if part < 0 else part * chunk
+        res = pd.DataFrame({"replicate": np.arange(size, dtype=np.int64) + first, "stat": np.concatenate(stats), "n": n})
         for i, name in enumerate(by):
             res.insert(i, name, pdf[name].iloc[0])
         return res
@@ -169,9 +225,12 @@ def hash_percentile_replicates(df: DataFrame, by, key: str, value: str, q: float
     """The same in SQL only: weighted counts per (replicate, value), then a weighted percentile."""
     by = list(by)
     blocks = -(-resamples // 8)
-    drawn = df.filter(F.col(value).isNotNull()).select(*by, key, value).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hashed = drawn.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), F.col(key).cast("string"))))
-    rows = F.array(*[F.struct((F.col("_block") * 8 + j).alias("replicate"), _weight(F.col("_h"), j).alias("w")) for j in range(8)])
-    counts = hashed.select(*by, value, F.inline(rows)).filter((F.col("w") > 0) & (F.col("replicate") < resamples)).groupBy(
-        *by, "replicate", value).agg(F.sum("w").alias("_c"))
-    return counts.groupBy(*by, "replicate").agg(F.expr(f"percentile(`{value}`, {q}D, _c)").alias("stat"))
+    drawn = df.filter(F.col(value).isNotNull()).select(*by, key, value).withColumn("_block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))))
+    hashed = _draws(drawn, [*by, "_block", value], key, seed)
+    sample = F.col("_block") == -1
+    sums = [F.sum(F.when(sample, 1 if j == 0 else 0).otherwise(_weight(j))).alias(f"_c{j}") for j in range(8)]
+    wide = hashed.groupBy(*by, "_block", value).agg(*sums)
+    rows = F.array(*[F.struct(F.when(F.col("_block") >= 0, F.col("_block") * 8 + j).otherwise(-1 - j).cast("long").alias("replicate"), F.col(f"_c{j}").alias("_c")) for j in range(8)])
+    counts = wide.select(*by, value, F.inline(rows)).filter((F.col("_c") > 0) & (F.col("replicate") < resamples))
+    return counts.groupBy(*by, "replicate").agg(
+        F.percentile(value, F.lit(q), F.col("_c")).alias("stat"), F.sum("_c").alias("n"))

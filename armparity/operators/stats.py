@@ -29,38 +29,24 @@ def pair_samples(long: DataFrame, by, item: str = "item_id", value: str = "value
     return grouped.withColumn("side", checked).filter("side is not null").drop("_n")
 
 
-def paired_points(pairs: DataFrame, by) -> DataFrame:
-    both = F.col("side") == "both"
-    return pairs.groupBy(*by).agg(
-        F.count_if(both).alias("n"), F.count_if(~both).alias("dropped"),
-        F.avg(F.when(both, F.col("base"))).alias("base_mean"), F.avg(F.when(both, F.col("cand"))).alias("cand_mean"),
-        (F.sum(F.when(both, F.col("cand") - F.col("base"))) / F.nullif(F.count_if(both), F.lit(0))).alias("point"),
-    )
+def _replicates(rows: DataFrame, by, key: str, values, resamples: int, seed: int, method: str) -> DataFrame:
+    if method == "hash":
+        return B.hash_replicates(rows, by, key, values, resamples, seed)
+    if method == "histogram":
+        return B.histogram_replicates(rows, by, values, resamples, seed)
+    raise ValueError(f"unknown bootstrap method {method!r}")
 
 
 def paired_delta(pairs: DataFrame, by, key: str = "item_id", resamples: int = 200, seed: int = 20260801,
                  method: str = "hash") -> DataFrame:
     """Estimate of mean(candidate) - mean(baseline) drawing the same items in both arms."""
-    both = pairs.filter("side = 'both'")
-    reps = (B.hash_replicates(both, by, key, ("base", "cand"), resamples, seed) if method == "hash"
-            else B.histogram_replicates(both, by, ("base", "cand"), resamples, seed))
-    ci = B.interval(reps, by, B.delta_stat("base", "cand"))
-    return _refuse_small(paired_points(pairs, by).join(ci, list(by), "left"))
+    return B.estimate(_replicates(pairs, by, key, ("base", "cand"), resamples, seed, method), by, B.delta_stat("base", "cand"))
 
 
 def mean_estimate(values: DataFrame, by, key: str = "item_id", value: str = "value", resamples: int = 200,
                   seed: int = 20260801, method: str = "hash") -> DataFrame:
-    """Mean with its interval; under two observations the bounds stay null."""
-    measured = values.filter(F.col(value).isNotNull())
-    points = measured.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("point"))
-    reps = (B.hash_replicates(measured, by, key, (value,), resamples, seed) if method == "hash"
-            else B.histogram_replicates(measured, by, (value,), resamples, seed))
-    return _refuse_small(points.join(B.interval(reps, by, B.mean_stat(value)), list(by), "left"))
-
-
-def _refuse_small(est: DataFrame) -> DataFrame:
-    enough = F.col("n") >= 2
-    return est.withColumns({c: F.when(enough, F.col(c)) for c in ("lo", "hi", "resamples")})
+    """Mean with its interval; rows without a value are counted as dropped."""
+    return B.estimate(_replicates(values, by, key, (value,), resamples, seed, method), by, B.mean_stat(value))
 
 
 #: Fixed rescalings: only a fraction may become percentage points or percent.

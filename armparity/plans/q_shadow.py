@@ -42,11 +42,11 @@ def _fv_row(task, field, kind):
     return f"SELECT item_id, arm, task, j IS NOT NULL AS answered, '{field}' AS field, '{kind}' AS kind, {val} AS val FROM scored WHERE task = '{task}' AND NOT (arm = 'candidate' AND k = 99)"
 
 
-FV = SCORED + ", fv AS (" + " UNION ALL ".join(_fv_row(t, f, k) for t, ks in P.AGREEMENT_KINDS.items() for f, k in ks.items()) + ")"
+FV = SCORED + ", fvals AS (" + " UNION ALL ".join(_fv_row(t, f, k) for t, ks in P.AGREEMENT_KINDS.items() for f, k in ks.items()) + ")"
 _TOKS = "list_distinct(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+'))"
 AGREE = FV + f""", cmp AS (SELECT coalesce(b.task, c.task) AS task, coalesce(b.item_id, c.item_id) AS item_id, coalesce(b.field, c.field) AS field, coalesce(b.kind, c.kind) AS kind,
    b.item_id IS NOT NULL AS hb, c.item_id IS NOT NULL AS hc, coalesce(b.answered, false) AS ba, coalesce(c.answered, false) AS ca, b.val AS bv, c.val AS cv
-   FROM (SELECT * FROM fv WHERE arm = 'baseline') b FULL JOIN (SELECT * FROM fv WHERE arm = 'candidate') c ON b.item_id = c.item_id AND b.field = c.field),
+   FROM (SELECT * FROM fvals WHERE arm = 'baseline') b FULL JOIN (SELECT * FROM fvals WHERE arm = 'candidate') c ON b.item_id = c.item_id AND b.field = c.field),
  sim AS (SELECT *, CASE WHEN kind = 'prose' AND ba AND ca THEN CASE WHEN coalesce(trim(bv), '') = '' AND coalesce(trim(cv), '') = '' THEN 1.0 WHEN coalesce(trim(bv), '') = '' OR coalesce(trim(cv), '') = '' THEN 0.0
    WHEN len(list_distinct(list_concat({_TOKS.format('bv')}, {_TOKS.format('cv')}))) = 0 THEN 1.0
    ELSE len(list_intersect({_TOKS.format('bv')}, {_TOKS.format('cv')})) / len(list_distinct(list_concat({_TOKS.format('bv')}, {_TOKS.format('cv')}))) END END AS s FROM cmp),
@@ -56,7 +56,7 @@ AGREE = FV + f""", cmp AS (SELECT coalesce(b.task, c.task) AS task, coalesce(b.i
    CASE WHEN bool_or(ba) AND NOT bool_or(ca) THEN 'candidate' WHEN bool_or(ca) AND NOT bool_or(ba) THEN 'baseline' END AS empty_arm FROM fa GROUP BY ALL)"""
 
 
-@query("shd_field_values", FV + " SELECT item_id, arm, field, kind, val AS value FROM fv", _VIEWS)
+@query("shd_field_values", FV + " SELECT item_id, arm, field, kind, val AS value FROM fvals", _VIEWS)
 def shd_field_values(src):
     rows = shadow_calls(src).withColumn("shape", P.shape(F.col("payload_json"))).withColumn("p", P.answer(F.col("payload_json"), F.col("shape")))
     out = rows.select("item_id", "arm", F.inline(A.field_values(F.col("task"), F.col("p"), F.col("shape"))))

@@ -120,9 +120,8 @@ def sta_p95(src):
 @query("sta_p95_counts", None)
 def sta_p95_counts(src):
     counts = R.value_counts(src.view("calls").filter("status = 'ok'"), ("task", "arm"), "total_ms")
-    point = R.percentiles_of_counts(counts, ("task", "arm"), "total_ms", {"point": 0.95})
     reps = B.percentile_replicates(counts, ("task", "arm"), "total_ms", 0.95, resamples=2000)
-    return point.join(B.interval(reps, ("task", "arm"), F.col("stat")), ["task", "arm"])
+    return B.interval(reps, ("task", "arm"), F.col("stat"))
 
 
 @query("sta_percentile", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,

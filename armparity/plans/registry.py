@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +16,15 @@ class Source:
 
     spark: SparkSession
     sf_dir: str
+    _views: dict = field(default_factory=dict, compare=False)
 
     def table(self, name: str) -> DataFrame:
         return study.table(self.spark, self.sf_dir, name)
 
     def view(self, name: str) -> DataFrame:
-        return study.view(self.spark, self.sf_dir, name)
+        if name not in self._views:
+            self._views[name] = study.view(self.spark, self.sf_dir, name)
+        return self._views[name]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

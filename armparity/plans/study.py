@@ -210,6 +210,14 @@ VIEWS["prices"] = """
 SELECT model, CAST(i AS DOUBLE) AS input_per_1m, CAST(o AS DOUBLE) AS output_per_1m, CAST(c AS DOUBLE) AS cached_per_1m
 FROM (VALUES ('incumbent', 2.0, 10.0, 0.2), ('candidate-flash', 0.3, 2.5, 0.03), ('candidate-pro', 1.25, 10.0, 0.125)) AS p(model, i, o, c)"""
 
+VIEWS["gates"] = """
+SELECT * FROM (VALUES (1, 'quality_delta_pp', 'min', '-2.0', 'percentage_points', NULL, 'quality'),
+  (2, 'json_schema_validity', 'min', '0.99', 'fraction', NULL, 'blocking'),
+  (3, 'groundedness_delta_pp', 'min', '-1.0', 'percentage_points', NULL, 'quality'),
+  (4, 'shadow_agreement', 'min', '0.90', 'fraction', 'wins >= losses', 'blocking'),
+  (5, 'cost_savings_pct', 'min', '30', 'percent', NULL, 'other'),
+  (6, 'latency_p95', 'max', 'baseline_p95', 'ms', NULL, 'other')) AS g(ordinal, gate, direction, bound, unit, alt, role)"""
+
 VIEWS["price_book"] = """
 SELECT p_partkey AS book_id, concat('m', p_partkey) AS model,
        CASE WHEN p_size % 10 = 0 THEN 'VERIFY' ELSE CAST(CAST(p_size AS BIGINT) AS STRING) END AS input,
@@ -247,10 +255,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCAN_TASKS: dict[tuple[str, ...], int] = {}
+
+
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a log read by fewer tasks than there are cores; a large log stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    files = tuple(df.inputFiles())
+    if files not in _SCAN_TASKS:
+        _SCAN_TASKS[files] = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if _SCAN_TASKS[files] < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
