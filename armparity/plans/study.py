@@ -92,25 +92,20 @@ SELECT c.*, {_TASK} AS task, {_BUCKET} AS bucket, item_id % 5 < 2 AS core,
        CASE {_TASK} WHEN '{TASKS[0]}' THEN {_QR} WHEN '{TASKS[1]}' THEN {_CS} ELSE {_FE} END AS good
 FROM ({_CALLS_CORE}) c"""
 
-_ESCAPED = "replace(good, '\"', concat(chr(92), '\"'))"
-
-
 def _by_task(qr: str, cs: str, fe: str) -> str:
-    return f"CASE task WHEN '{TASKS[0]}' THEN {qr} WHEN '{TASKS[1]}' THEN {cs} ELSE {fe} END"
+    return f"CASE task WHEN '{TASKS[0]}' THEN '{qr}' WHEN '{TASKS[1]}' THEN '{cs}' ELSE '{fe}' END"
 
 
-_RAW = f"""CASE WHEN event_type = 'error' THEN NULL
-  WHEN k = 7 THEN 'plain words, no object' WHEN k = 87 THEN NULL WHEN k = 97 THEN '  '
+# The well-formed answer is referred to once, so the text built around it stays small.
+_BODY = "substr(replace(good, '\"', CASE WHEN k = 37 THEN concat(chr(92), '\"') ELSE '\"' END), CASE WHEN k = 27 THEN 2 ELSE 1 END)"
+_BEFORE = "CASE WHEN k = 27 THEN '{\"note\":\"x\",' WHEN k = 37 THEN " + _by_task('{"query":"', '{"summary":"', '{"title":"') + " ELSE '' END"
+_AFTER = "CASE WHEN k = 37 THEN " + _by_task('","intent":"prior_art"}', '"}', '"}') + " ELSE '' END"
+_PAYLOAD = f"""CASE WHEN event_type = 'error' OR k IN (7, 87, 97) THEN NULL
   WHEN k = 17 THEN '[1, 2]'
-  WHEN k = 27 THEN concat('{{"note":"x",', substr(good, 2))
-  WHEN k = 37 THEN {_by_task(
-      "concat('{\"query\":\"', " + _ESCAPED + ", '\",\"intent\":\"prior_art\"}')",
-      "concat('{\"summary\":\"', " + _ESCAPED + ", '\"}')",
-      "concat('{\"title\":\"', " + _ESCAPED + ", '\"}')")}
-  WHEN k = 47 THEN {_by_task("'{\"query\":5,\"intent\":\"prior_art\"}'", "'{\"summary\":\"s\",\"key_points\":{}}'", "'{\"title\":7}'")}
-  WHEN k = 57 THEN {_by_task("'{\"query\":\"q\"}'", "'{\"summary\":\"s\",\"key_points\":[{\"text\":\"t\"}]}'", "'{\"independent_claim_count\":\"3\"}'")}
-  WHEN k = 67 THEN {_by_task("'{\"query\":\"q\",\"intent\":\"browse\"}'", "'{\"summary\":null,\"key_points\":[]}'", "'{\"independent_claim_count\":3.5}'")}
-  ELSE good END"""
+  WHEN k = 47 THEN {_by_task('{"query":5,"intent":"prior_art"}', '{"summary":"s","key_points":{}}', '{"title":7}')}
+  WHEN k = 57 THEN {_by_task('{"query":"q"}', '{"summary":"s","key_points":[{"text":"t"}]}', '{"independent_claim_count":"3"}')}
+  WHEN k = 67 THEN {_by_task('{"query":"q","intent":"browse"}', '{"summary":null,"key_points":[]}', '{"independent_claim_count":3.5}')}
+  ELSE concat({_BEFORE}, {_BODY}, {_AFTER}) END"""
 
 _GOLD_QR = "concat(" + _case(
     ("item_id % 11 = 0", '{"query":"topic <item_id % 17> systems","filters":{"date_from":null,"date_to":null,"assignees":[],"jurisdictions":[],"cpc_codes":[]}'),
@@ -148,9 +143,9 @@ SELECT call_id, item_id, arm, task, bucket, core, k, ts, user_id,
        CASE WHEN k % 10 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) // 3 END AS ttft_ms,
        200 + 7 * k AS input_tokens, 20 + (31 * call_id) % 97 AS output_tokens,
        CASE WHEN k % 5 = 0 THEN 100 + k ELSE 0 END AS cached_tokens,
-       CASE WHEN k IN (7, 97) THEN NULL ELSE raw END AS payload_json,
-       CASE WHEN k IN (7, 97) THEN raw END AS output_text
-FROM (SELECT g.*, {_RAW} AS raw FROM ({_CALLS_OK}) g) r"""
+       {_PAYLOAD} AS payload_json,
+       CASE WHEN event_type <> 'error' AND k = 7 THEN 'plain words, no object' WHEN event_type <> 'error' AND k = 97 THEN '  ' END AS output_text
+FROM ({_CALLS_OK}) r"""
 
 VIEWS["items"] = f"""
 SELECT item_id, {_TASK} AS task, {_BUCKET} AS bucket, item_id % 5 < 2 AS core,
