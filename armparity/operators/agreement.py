@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from armparity.functions import payload as P
 from armparity.functions import text as T
+from armparity.functions.plan import filter_above
 
 PROSE_THRESHOLD = 0.60
 NO_PAYLOAD = "no structured output from either arm"
@@ -151,7 +152,7 @@ def adjudicate(items: DataFrame, judged: DataFrame, cells: DataFrame, malformed:
     baseline answers that are structurally broken.
     """
     rows = (
-        items.filter(F.col("agreed") == False)  # noqa: E712 - column comparison
+        filter_above(items, ~F.col("agreed"))
         .join(judged.select("task", "item_id", F.lit(True).alias("in_split")), ["task", "item_id"], "left")
         .join(judged_side(cells, baseline, "b"), ["task", "item_id"], "left")
         .join(judged_side(cells, candidate, "c"), ["task", "item_id"], "left")

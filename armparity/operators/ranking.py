@@ -30,36 +30,35 @@ def percentiles_of_counts(counts: DataFrame, by, value: str, named: dict[str, fl
     return counts.groupBy(*by).agg(*cols)
 
 
-def exact_percentiles(df: DataFrame, by, value: str, named: dict[str, float], buckets: int = 64) -> DataFrame:
+def exact_percentiles(df: DataFrame, by, value: str, named: dict[str, float], accuracy: int = 20_000) -> DataFrame:
     """Exact interpolated percentiles of a continuous column for groups of any size.
 
-    Bucket edges come from approximate quantiles of the distinct values, so buckets are
-    even; only the buckets holding a wanted rank are sorted.
+    An approximate pass brackets each percentile within ``2 / accuracy`` of the rows; a
+    second pass counts what lies below the bracket and keeps only what lies inside, so
+    a small fixed share of the rows is ranked. A bracket that misses its rank is an error.
     """
     by = list(by)
-    hist = value_counts(df, by, value)
-    steps = ",".join(f"{i / buckets}D" for i in range(1, buckets))
-    edges = hist.groupBy(*by).agg(F.expr(f"percentile_approx(`{value}`, array({steps}), 2000)").alias("_edges"))
-    placed = hist.join(edges, by).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    totals = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"))
-    upto = _window(by, "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    offsets = totals.select(*by, "_b", "_t", (F.sum("_t").over(upto) - F.col("_t")).alias("_off"), F.sum("_t").over(whole).alias("_n"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(q)).alias("q")) for k, q in named.items()]))
-    ranks = offsets.withColumn("_w", wanted).withColumn("_h", F.col("_w.q") * (F.col("_n") - 1)).withColumn(
-        "_r", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))).filter(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_t")))
-    targets = ranks.select(*by, "_b", F.col("_w.name").alias("_name"), "_h", "_r", (F.col("_r") - F.col("_off")).alias("_in"))
-    needed = placed.join(targets.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
-    cumulated = needed.withColumn("_cum", F.sum("_c").over(
-        _window([*by, "_b"], value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    hit = cumulated.join(targets, [*by, "_b"]).filter(
-        (F.col("_in") < F.col("_cum")) & (F.col("_in") >= F.col("_cum") - F.col("_c")))
-    low, high = F.min(value), F.max(value)
-    frac = F.max(F.col("_h") - F.floor("_h"))
-    found = hit.groupBy(*by, "_name").agg((low + frac * (high - low)).alias("_v"))
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in named])
+    margin = 2.0 / accuracy
+    probs = [p for q in named.values() for p in (max(0.0, q - margin), min(1.0, q + margin))]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
+    bounds = rows.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.percentile_approx("_x", [float(p) for p in probs], accuracy).alias("_e"))
+    asked = F.array(*[
+        F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q"), F.get("_e", F.lit(2 * i)).alias("_lo"), F.get("_e", F.lit(2 * i + 1)).alias("_hi"))
+        for i, (name, q) in enumerate(named.items())])
+    placed = rows.join(bounds, by).select(*by, "_n", "_x", F.inline(F.filter(asked, lambda a: F.col("_x") <= a["_hi"])))
+    counts = placed.groupBy(*by, "_n", "_name", "_q", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = F.col("_q") * (F.col("_n") - 1)
+    ranked = counts.withColumn("_cum", F.sum("_c").over(upto)).withColumns({"_h": h, "_inside": F.col("_v").isNotNull()})
+    found = ranked.groupBy(*by, "_name", "_h").agg(
+        F.min(F.when(F.col("_inside") & (F.col("_cum") > F.floor("_h")), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_inside") & (F.col("_cum") > F.ceil("_h")), F.col("_v"))).alias("_b"),
+        F.coalesce(F.max(F.when(~F.col("_inside"), F.col("_cum"))), F.lit(0)).alias("_below"))
+    held = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_below") <= F.floor("_h"))
+    exact = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))
+    checked = found.withColumn("_p", F.when(held, exact).otherwise(F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")))
+    return checked.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_p"))).alias(k) for k in named])
 
 
 def lowest_by_hash(df: DataFrame, strata, quotas: DataFrame, order_hash: Column, hex_digits: int = 3) -> DataFrame:

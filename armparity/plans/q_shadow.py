@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from armparity.functions import payload as P
+from armparity.functions.plan import filter_above
 from armparity.operators import agreement as A
 from armparity.operators import crosscheck as X
 from armparity.operators import judge as J
@@ -101,7 +102,7 @@ def triage(src):
     cells = scored_cells(src, "gated").withColumn("overall", F.concat(F.lit("note "), F.col("k").cast("string")))
     base = calls.filter("arm = 'baseline'").withColumn("shape", P.shape(F.col("payload_json"))).withColumn("p", P.answer(F.col("payload_json"), F.col("shape")))
     reason = M.malformed_reason(F.col("status"), F.col("error"), F.col("task"), F.col("p"), F.col("shape"), F.col("payload_json"))
-    malformed = base.select("task", "item_id", reason.alias("baseline_malformed")).filter("baseline_malformed is not null")
+    malformed = filter_above(base.select("task", "item_id", reason.alias("baseline_malformed")), F.col("baseline_malformed").isNotNull())
     return A.adjudicate(items, judged, cells, malformed, "baseline", "candidate")
 
 

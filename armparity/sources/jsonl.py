@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armparity import schemas
+from armparity.functions.plan import filter_above
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +41,8 @@ def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = parsed.filter("reject is null").select("rec.*").drop("_bad")
-    return good, parsed.filter("reject is not null").select("file", "line", "reject")
+    good = filter_above(parsed, F.col("reject").isNull()).select("rec.*").drop("_bad")
+    return good, filter_above(parsed, F.col("reject").isNotNull()).select("file", "line", "reject")
 
 
 def canonical(df: DataFrame) -> Column:
