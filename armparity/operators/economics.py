@@ -78,12 +78,6 @@ def cost_per_call(avg_in: Column, avg_out: Column, cached_share: Column, rates:
     return fresh + cached + avg_out / PER_MILLION * rates["output"]
 
 
-def rates_of(prices: DataFrame, model: str, name: str) -> DataFrame:
-    """One row holding a model's rates, joined by broadcast."""
-    return prices.filter(F.col("model") == model).select(
-        F.struct(F.col("input_per_1m").alias("input"), F.col("output_per_1m").alias("output"), F.col("cached_per_1m").alias("cached")).alias(name))
-
-
 def cost_grid(volumes: DataFrame, baseline: dict[str, float], candidate: dict[str, float], by,
               multipliers=MULTIPLIERS, cached_share: float = 1.0) -> DataFrame:
     """Run rate per segment, volume multiplier and caching scenario.
@@ -176,7 +170,7 @@ def rate_ratios(prices: DataFrame, reference: DataFrame, name: str, key) -> Data
         f"{name}_input": F.try_divide("input", F.nullif("_i", F.lit(0.0))), f"{name}_output": F.try_divide("output", F.nullif("_o", F.lit(0.0)))}).drop("_i", "_o")
 
 
-def breakeven_rates(audit: DataFrame, target: float, candidate_rate: DataFrame | None = None) -> DataFrame:
+def breakeven_rates(audit: DataFrame, target: float) -> DataFrame:
     """What output rate or scale would reach the savings target, and the cost at the baseline's output."""
     base = audit.filter("arm = 'baseline'").select("task", *[F.col(c).alias(f"b_{c}") for c in ("input_tokens", "output_tokens", "usd")])
     cand = audit.filter("arm = 'candidate'").select("task", *[F.col(c).alias(f"c_{c}") for c in ("input_tokens", "output_tokens", "usd", "input_usd", "output_usd")])

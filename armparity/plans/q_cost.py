@@ -6,7 +6,7 @@ from armparity.operators import economics as E
 from armparity.operators import latency as L
 from armparity.operators import metrics as M
 from armparity.operators import ranking as R
-from armparity.plans.q_metrics import SCORED, _pairs
+from armparity.plans.q_metrics import SCORED
 from armparity.plans.q_stats import USD
 from armparity.plans.registry import query
 from armparity.sources import registries as reg

@@ -94,16 +94,16 @@ ALT = EST + TSUM[TSUM.index(", cs AS"):].replace(CS := FOLDED[:FOLDED.index(", f
 
 
 def evidence(src):
-    return G.build_evidence(src.view("calls").select("task").distinct(), estimates(src))
+    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(estimates))
 
 
 def checks(src):
-    return G.check_gates(evidence(src), src.view("gates"), sentinels(src))
+    return G.check_gates(src.once(evidence), src.view("gates"), sentinels(src))
 
 
 @query("gate_evidence", EST + " SELECT task, gate, n, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, unit, reason FROM ev", _VIEWS)
 def gate_evidence(src):
-    return evidence(src).select("task", "gate", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "unit", "reason")
+    return src.once(evidence).select("task", "gate", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "unit", "reason")
 
 
 @query("gate_resolve_bounds", EST + " SELECT task, 'latency_p95' AS gate, round(value, 6) AS bound_value FROM sent", _VIEWS)
@@ -113,23 +113,23 @@ def gate_resolve_bounds(src):
 
 @query("gate_checks", EST + " SELECT task, gate, direction, round(bound_value, 6) AS bound_value, round(compared_value, 6) AS compared_value, passed FROM chk2", _VIEWS)
 def gate_checks(src):
-    return checks(src).select("task", "gate", "direction", F.round("bound_value", 6).alias("bound_value"), F.round("compared_value", 6).alias("compared_value"), "passed")
+    return src.once(checks).select("task", "gate", "direction", F.round("bound_value", 6).alias("bound_value"), F.round("compared_value", 6).alias("compared_value"), "passed")
 
 
 @query("gate_missing", EST + " SELECT task, gate FROM ev WHERE lo IS NULL", _VIEWS)
 def gate_missing(src):
-    return G.missing_gates(src.view("calls").select("task").distinct(), checks(src))
+    return G.missing_gates(src.view("calls").select("task").distinct(), src.once(checks))
 
 
 @query("gate_alternatives", ALT + " SELECT task, gate, passed, alt_passed, passed OR coalesce(alt_passed, false) AS effective_passed, CASE WHEN alt_passed IS NOT NULL THEN concat(wins, 'W/', losses, 'L') END AS alt_summary FROM chk3", _VIEWS)
 def gate_alternatives(src):
-    return G.apply_alternatives(checks(src), A.triage_summary(triage(src))).select("task", "gate", "passed", "alt_passed", "effective_passed", "alt_summary")
+    return G.apply_alternatives(src.once(checks), A.triage_summary(triage(src))).select("task", "gate", "passed", "alt_passed", "effective_passed", "alt_summary")
 
 
 @query("gate_verdict", ALT + """ SELECT task, CASE WHEN blk > 0 THEN 'HOLD' WHEN missing <> '' THEN 'INCOMPLETE' ELSE r END AS verdict, CASE WHEN blk = 0 AND missing <> '' THEN r END AS provisional, failed, missing, passed_by_alt
  FROM (SELECT *, CASE WHEN failed = '' THEN 'MIGRATE' WHEN hard = 0 THEN 'TUNE_FIRST' ELSE 'UNDETERMINED' END AS r FROM dc)""", _VIEWS)
 def gate_verdict(src):
-    alt = G.apply_alternatives(checks(src), A.triage_summary(triage(src)))
+    alt = G.apply_alternatives(src.once(checks), A.triage_summary(triage(src)))
     return G.decide(src.view("calls").select("task").distinct(), alt, src.view("gates"))
 
 

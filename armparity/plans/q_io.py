@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from armparity.functions import keys
 from armparity.operators import judge as J
 from armparity.operators import retrieval as RT
-from armparity.operators import stats as S
 from armparity.plans.q_keys import STORE
 from armparity.plans.registry import query
 from armparity.session import checkpoint_root

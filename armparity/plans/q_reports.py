@@ -138,8 +138,8 @@ def rpt_latency(src):
   CASE WHEN ev.point IS NULL THEN 'not measured' WHEN g.unit = 'fraction' THEN format('{:.3f}', ev.point) WHEN g.unit = 'percent' THEN format('{:.1f}%', ev.point) WHEN g.unit = 'ms' THEN concat(format('{:,}', CAST(round_even(ev.point, 0) AS BIGINT)), ' ms') ELSE format('{:+.2f} pp', ev.point) END AS point
  FROM ev JOIN gates g USING (gate) LEFT JOIN chk3 c ON c.task = ev.task AND c.gate = ev.gate""", _VIEWS)
 def rpt_scorecard(src):
-    alt = G.apply_alternatives(checks(src), A.triage_summary(triage(src)))
-    table = R.gate_table(evidence(src), alt, src.view("gates"), F.lit(True), F.lit(True))
+    alt = G.apply_alternatives(src.once(checks), A.triage_summary(triage(src)))
+    table = R.gate_table(src.once(evidence), alt, src.view("gates"), F.lit(True), F.lit(True))
     return table.select("task", "ordinal", "gate", "bound", "result", "reason", F.split_part("measured", F.lit(" ["), F.lit(1)).alias("point"))
 
 

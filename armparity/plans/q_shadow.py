@@ -10,7 +10,7 @@ from armparity.operators import judge as J
 from armparity.operators import metrics as M
 from armparity.operators import ranking as R
 from armparity.operators import stats as S
-from armparity.plans.q_judge import CELL_SCORES, FOLDED, scored_cells
+from armparity.plans.q_judge import CELL_SCORES, scored_cells
 from armparity.plans.q_metrics import SCORED, _C, _N
 from armparity.plans.q_stats import REPS, duck_replicates, q
 from armparity.plans.registry import query

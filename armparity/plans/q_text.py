@@ -1,6 +1,5 @@
 """Normalisation, similarity and report text."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from armparity.functions import render, text

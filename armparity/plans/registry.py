@@ -21,6 +21,12 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return study.table(self.spark, self.sf_dir, name)
 
+    def once(self, build: Callable[[Source], DataFrame]) -> DataFrame:
+        """A frame several parts of one query share, built once."""
+        if build not in self._views:
+            self._views[build] = build(self)
+        return self._views[build]
+
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
             self._views[name] = study.view(self.spark, self.sf_dir, name)

@@ -11,6 +11,6 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 def spark():
     from armparity.session import local_session
 
-    session = local_session(8, 8)
+    session = local_session(8, 4)
     yield session
     session.stop()
