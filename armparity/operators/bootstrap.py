@@ -44,11 +44,8 @@ def _draws(df: DataFrame, keep, key: str, seed: int) -> DataFrame:
 
 
 def _weight(j: int) -> Column:
-    """Poisson(1) count of draw ``j``."""
-    total = F.lit(0)
-    for step in POISSON_STEPS:
-        total = total + (F.col(f"_u{j}") >= step).cast("int")
-    return total
+    """Poisson(1) count of draw ``j``; one SQL text, so building it is one call."""
+    return F.expr(" + ".join(f"CAST(_u{j} >= {step} AS INT)" for step in POISSON_STEPS))
 
 
 def hash_replicates(df: DataFrame, by, key: str, values, resamples: int = 200, seed: int = 20260801) -> DataFrame:
