@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armparity.llm import bpe, html_text, toxicity, url_filter
+from armparity.llm import bpe, html_text, line_dedup, toxicity, url_filter
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.fit(url_filter.labelled_urls()))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), count="n_lines_removed")
+    return cut.select("doc_id", "text", "n_lines_removed")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filter": op3_url_filter,
+    "op4_line_dedup": op4_line_dedup,
     "op7_html_text": op7_html_text,
 }
 ORACLES: dict[str, str] = {}
