@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armparity.llm import bpe, html_text, line_dedup, toxicity, url_filter
+from armparity.llm import bpe, html_text, line_dedup, ngram_join, toxicity, url_filter
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", "n_lines_removed")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_of AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_of JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c * 5 >= (a.n + b.n - c) * 4),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links
+FROM documents d"""
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -41,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op7_html_text": op7_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_ngram_join": _OP5_SQL.strip()}
