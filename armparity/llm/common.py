@@ -82,3 +82,27 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def columns_of(df: DataFrame) -> str:
     """The frame's schema as DDL."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def summed(df: DataFrame, ways: int = 64) -> DataFrame:
+    """Element-wise sums by ``key`` of the arrays in ``data`` (binary, float64), in two steps.
+
+    Arrays of one key have one length. A task adds them as they stream in and holds one
+    array per key, so ``df`` may have any number of rows.
+    """
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(data.as_buffer(), np.float64)
+                if key in held:
+                    held[key] += values
+                else:
+                    held[key] = values.copy()
+        for key, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["key", "data"])
+
+    schema = "key int, data binary"
+    return df.select("key", "data").repartition(ways).mapInArrow(run, schema).repartition("key").mapInArrow(run, schema)

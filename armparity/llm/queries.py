@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armparity.llm import bpe, html_text, line_dedup, ngram_join, toxicity, url_filter
+from armparity.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, toxicity, url_filter
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -60,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op7_html_text": op7_html_text,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {"op5_ngram_join": _OP5_SQL.strip()}
