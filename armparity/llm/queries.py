@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from armparity.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, toxicity, url_filter
+from armparity.llm import ann_forest, bpe, decontaminate, html_text, line_dedup, ngram_join, toxicity, url_filter
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -49,6 +50,10 @@ SELECT d.doc_id, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS class_id,
 FROM documents d"""
 
 
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_line_dedup": op4_line_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_hash_forest": op6_hash_forest,
     "op7_html_text": op7_html_text,
     "op10_decontaminate": op10_decontaminate,
 }
