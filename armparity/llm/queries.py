@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armparity.llm import ann_forest, bpe, context_mixing, decontaminate, html_text, line_dedup, ngram_join, toxicity, url_filter
+from armparity.llm import ann_forest, bpe, context_mixing, decontaminate, html_text, line_dedup, ngram_join, suffix_dedup, toxicity, url_filter
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return context_mixing.score(table(spark, sf_dir, "documents"), held_out)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_hash_forest": op6_hash_forest,
     "op7_html_text": op7_html_text,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_context_mixing": op9_context_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
