@@ -75,8 +75,11 @@ def side(calls: DataFrame, arm: str, prefix: str) -> DataFrame:
     """One arm's answers, parsed where they are read, before any shuffle."""
     rows = calls.filter(F.col("arm") == arm).withColumn("shape", P.shape(F.col("payload_json"))).withColumn(
         "p", P.answer(F.col("payload_json"), F.col("shape")))
-    return rows.select("task", "item_id", field_values(F.col("task"), F.col("p"), F.col("shape")).alias(f"{prefix}_fields"),
-                       F.col("p").isNotNull().alias(f"{prefix}_answered"))
+    answers = rows.select("task", "item_id", field_values(F.col("task"), F.col("p"), F.col("shape")).alias("fields"), F.col("p").isNotNull().alias("answered"))
+    # an item is one observation: a second call of it is refused, as in any paired sample
+    one = answers.groupBy("task", "item_id").agg(F.count("*").alias("_n"), F.first("fields").alias("fields"), F.first("answered").alias("answered"))
+    again = F.raise_error(F.concat(F.lit(f"item called more than once in arm {arm}: "), F.col("item_id").cast("string"))).cast("boolean")
+    return one.select("task", "item_id", F.col("fields").alias(f"{prefix}_fields"), F.when(F.col("_n") > 1, again).otherwise(F.col("answered")).alias(f"{prefix}_answered"))
 
 
 def compare_items(calls: DataFrame, baseline: str, candidate: str, similarity: Similarity = T.lexical_similarity,

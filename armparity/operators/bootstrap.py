@@ -1,14 +1,14 @@
 """Bootstrap intervals for means, paired differences, ratios of sums and percentiles.
 
-Three ways to draw, all deterministic in the seed and independent of partitioning:
-
-``hash_replicates``   Poisson(1) weights from md5 of (seed, block, item), in SQL only.
-                      Row-local and combined map-side; cost is rows x replicates.
-``histogram_replicates``  values are counted first, then redrawn from the counts: the same
-                      law as drawing items. Cost is distinct values x replicates, whatever
-                      the number of rows. Groups with few distinct values draw a
-                      multinomial per chunk of replicates; others draw Poisson counts per
-                      distinct value, spread over all tasks.
+Two ways to draw, both deterministic in the seed and independent of partitioning:
+
+``histogram_replicates``  the default. Values are counted first, then redrawn from the
+                      counts: a multinomial draw, the law of drawing n items out of n.
+                      Cost is distinct values x replicates, whatever the number of rows.
+``hash_replicates``   Poisson(1) weights from md5 of (seed, block, item), in SQL only, for
+                      comparison with SQL on small groups. Row-local and combined map-side;
+                      cost is rows x replicates. A replicate may draw no row at all
+                      (chance exp(-n)) and then has no statistic.
 ``estimate``          point and percentile bounds over the replicates of each group.
 
 Replicate -1 is the sample itself (weight 1 per row), so the point estimate, its n and
@@ -17,6 +17,9 @@ the dropped rows come out of the same pass as the interval.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -120,70 +123,71 @@ def _mix(seed: int, *parts) -> list[int]:
     return [seed, *[hash_ & 0xFFFFFFFF for p in parts for hash_ in (int(p), int(p) >> 32)]]
 
 
+#: Distinct values drawn together. More are cut into blocks: first the draws fall to the blocks, then to the values of each.
+CELLS = 2048
+
+
+def _key(row) -> int:
+    """64 bits of a group's key values, the same on every worker."""
+    return int.from_bytes(hashlib.blake2b(repr(tuple(row)).encode(), digest_size=8).digest(), "big")
+
+
 def histogram_replicates(df: DataFrame, by, values, resamples: int = RESAMPLES, seed: int = 20260801,
-                         chunk: int = 500, max_cells: int = 20_000) -> DataFrame:
-    """Replicates drawn from value counts; same columns as :func:`hash_replicates`."""
+                         chunk: int = 500, cells: int = CELLS) -> DataFrame:
+    """Replicates drawn from value counts; same columns as :func:`hash_replicates`.
+
+    Every replicate draws as many rows as the sample has. A group with many distinct
+    values is drawn block by block: how many draws a block gets is multinomial over the
+    blocks, and given that, what they are is multinomial within it, so the law is the
+    same whatever the number of blocks, and no task holds more than a block.
+    """
     by, values = list(by), list(values)
     hist = df.groupBy(*by, *[F.col(v).cast("double").alias(v) for v in values]).agg(F.count("*").alias("_c"))
-    sizes = hist.groupBy(*by).agg(F.count("*").alias("_cells"))
-    sized = hist.join(sizes, by)
-    group = F.xxhash64(*by)
-    names = ["sw", *[f"s_{v}" for v in values]]
-    keys = [df.schema[c] for c in by]
-    out = T.StructType([*keys, T.StructField("replicate", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names],
-                        T.StructField("dropped", T.LongType())])
-
+    used = F.lit(True)
+    for v in values:
+        used = used & F.col(v).isNotNull()
+    lost = hist.groupBy(*by).agg(F.sum(F.when(used, 0).otherwise(F.col("_c"))).alias("dropped"), F.sum(F.when(used, F.col("_c")).otherwise(0)).alias("_n"),
+                                 F.ceil(F.count_if(used) / cells).cast("int").alias("_blocks"))
+    marked = hist.filter(used).alias("x").join(lost.alias("y"), null_safe_on(by)).select(*[F.col(f"x.{c}") for c in by], *values, "_c", "_blocks")
+    blocked = marked.withColumn("_b", F.pmod(F.xxhash64(*values), F.col("_blocks")).cast("int")).drop("_blocks")
+    shares = blocked.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "_bc"))).alias("_shares"))
     chunks = -(-resamples // chunk)
-    small = sized.filter(F.col("_cells") <= max_cells).drop("_cells").withColumn("_g", group).withColumn(
+    spread = blocked.alias("x").join(shares.alias("y"), null_safe_on(by)).select(*[F.col(f"x.{c}") for c in by], "_b", *values, "_c", "_shares").withColumn(
         "_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
+    names = ["sw", *[f"s_{v}" for v in values]]
+    out = T.StructType([*[df.schema[c] for c in by], T.StructField("replicate", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        keyed = {name: pdf[name].iloc[0] for name in by}
-        g, part = pdf["_g"].iloc[0], int(pdf["_chunk"].iloc[0])
-        used = pdf.dropna(subset=values).sort_values(values)
-        c, x = used["_c"].to_numpy(np.int64), used[values].to_numpy(np.float64)
-        n = int(c.sum())
-        if part < 0 or n == 0:
-            sums, replicates = (c @ x).reshape(1, -1), np.array([-1])
-            if part >= 0:
-                return pd.DataFrame(columns=out.names)
+        key = [pdf[c].iloc[0] for c in by]
+        block, part = int(pdf["_b"].iloc[0]), int(pdf["_chunk"].iloc[0])
+        pdf = pdf.sort_values(values)
+        c, x = pdf["_c"].to_numpy(np.int64), pdf[values].to_numpy(np.float64)
+        if part < 0:
+            totals, sums, replicates = np.array([c.sum()]), (c @ x).reshape(1, -1), np.array([-1])
         else:
             size = min(chunk, resamples - part * chunk)
-            rng = np.random.default_rng(_mix(seed, g, part))
-            step = max(1, 4_000_000 // len(c))
-            sums = np.vstack([rng.multinomial(n, c / n, size=min(step, size - i)) @ x for i in range(0, size, step)])
+            shares = [(int(s["_b"]), int(s["_bc"])) for s in pdf["_shares"].iloc[0]]
+            counts = np.array([n for _, n in shares])
+            g = _key(key)
+            drawn = np.random.default_rng(_mix(seed, g, part)).multinomial(counts.sum(), counts / counts.sum(), size=size)
+            totals = drawn[:, [b for b, _ in shares].index(block)]
+            sums = np.random.default_rng(_mix(seed, g, part, block + 1)).multinomial(totals, c / c.sum()) @ x
             replicates = np.arange(size) + part * chunk
-        res = pd.DataFrame({**{k: [v] * len(replicates) for k, v in keyed.items()}, "replicate": replicates, "sw": float(n),
-                            **{f"s_{v}": sums[:, i] for i, v in enumerate(values)}})
-        res["dropped"] = int(pdf["_c"].sum()) - n
+        res = pd.DataFrame({"replicate": replicates, "sw": totals.astype(float), **{f"s_{v}": sums[:, i] for i, v in enumerate(values)}})
+        for i, name in enumerate(by):
+            res.insert(i, name, [key[i]] * len(res))
         return res
 
-    few = small.groupBy("_g", "_chunk").applyInPandas(draw, out)
-
-    large = sized.filter(F.col("_cells") > max_cells).drop("_cells").withColumn("_row", F.xxhash64(*by, *values))
-    partial_schema = T.StructType([*keys, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in names], T.StructField("dropped", T.LongType())])
-
-    def spread(batches):
-        sums: dict = {}
-        lost: dict = {}
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[values].to_numpy(np.float64)])
-            for i, (c, row) in enumerate(zip(pdf["_c"].to_numpy(), pdf["_row"].to_numpy())):
-                key = tuple(pdf[b].iloc[i] for b in by)
-                w = np.concatenate([[c], np.random.default_rng(_mix(seed, row)).poisson(c, resamples)])
-                if np.isnan(x[i]).any():
-                    lost[key] = lost.get(key, 0) + int(c)
-                    sums.setdefault(key, np.zeros((x.shape[1], resamples + 1)))
-                else:
-                    sums[key] = sums.get(key, 0.0) + np.outer(x[i], w)
-        for key, s in sums.items():
-            yield pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, **{n: [s[i]] for i, n in enumerate(names)}, "dropped": [lost.get(key, 0)]})
-
-    parts = large.mapInPandas(spread, partial_schema)
-    zipped = parts.select(*by, "dropped", F.posexplode(F.arrays_zip(*names)).alias("_pos", "_z"))
-    many = zipped.groupBy(*by, (F.col("_pos") - 1).cast("long").alias("replicate")).agg(
-        *[F.sum(f"_z.{n}").alias(n) for n in names], F.sum("dropped").alias("dropped"))
-    return few.unionByName(many)
+    parts = spread.groupBy(*by, "_b", "_chunk").applyInPandas(draw, out)
+    sums = parts.groupBy(*by, "replicate").agg(*[F.sum(n).alias(n) for n in names])
+    # a group without a usable row still has its count of dropped ones
+    empty = lost.filter("_n = 0").select(*by, F.lit(-1).cast("long").alias("replicate"), *[F.lit(0.0).alias(n) for n in names], "dropped")
+    return sums.alias("x").join(lost.alias("y"), null_safe_on(by)).select(*[F.col(f"x.{c}") for c in by], "replicate", *names, "dropped").unionByName(empty)
+
+
+def null_safe_on(by) -> Column:
+    """Join condition over the keys of two frames aliased ``x`` and ``y``; null keys meet."""
+    return functools.reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by], F.lit(True))
 
 
 def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples: int = RESAMPLES,
@@ -191,7 +195,7 @@ def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples
     """Bootstrap replicates of a percentile from value counts of a small domain (whole ms)."""
     by = list(by)
     chunks = -(-resamples // chunk)
-    spread = counts.withColumn("_g", F.xxhash64(*by)).withColumn("_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
+    spread = counts.withColumn("_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
     out = T.StructType([counts.schema[c] for c in by] + [
         T.StructField("replicate", T.LongType()), T.StructField("stat", T.DoubleType()), T.StructField("n", T.LongType())])
 
@@ -200,7 +204,7 @@ def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples
         c, x = pdf["_c"].to_numpy(np.int64), pdf[value].to_numpy(np.float64)
         part, n = int(pdf["_chunk"].iloc[0]), int(c.sum())
         size = 1 if part < 0 else min(chunk, resamples - part * chunk)
-        rng = np.random.default_rng(_mix(seed, pdf["_g"].iloc[0], max(part, 0)))
+        rng = np.random.default_rng(_mix(seed, _key(pdf[b].iloc[0] for b in by), max(part, 0)))
         h = q * (n - 1)
         lo, stats, step = int(np.floor(h)), [], max(1, 4_000_000 // len(c))
         for i in range(0, size, step):
@@ -215,7 +219,7 @@ def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples
             res.insert(i, name, pdf[name].iloc[0])
         return res
 
-    return spread.groupBy("_g", "_chunk").applyInPandas(draw, out)
+    return spread.groupBy(*by, "_chunk").applyInPandas(draw, out)
 
 
 def hash_percentile_replicates(df: DataFrame, by, key: str, value: str, q: float, resamples: int, seed: int = 20260801) -> DataFrame:

@@ -33,7 +33,7 @@ def paired_costs(calls: DataFrame, prices: DataFrame, by=("task",)) -> DataFrame
         "side", F.when(both, "both").otherwise("dropped"))
 
 
-def savings(pairs: DataFrame, by, resamples: int = 200, seed: int = 20260801, method: str = "hash") -> DataFrame:
+def savings(pairs: DataFrame, by, resamples: int = B.RESAMPLES, seed: int = 20260801, method: str = "histogram") -> DataFrame:
     """Percent saved with its interval, or why there is none; one pass over the pairs.
 
     Pairs with one side missing carry nulls on both, so they are counted and not costed.

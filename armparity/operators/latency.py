@@ -50,12 +50,12 @@ def disclosure(baseline_region: Column, candidate_region: Column, baseline_sourc
         .otherwise(F.concat(F.lit("Same region ("), baseline_region, F.lit(")"))))
 
 
-def probe_summary(calls: DataFrame, by, resamples: int = 24) -> DataFrame:
+def probe_summary(calls: DataFrame, by, resamples: int = B.RESAMPLES) -> DataFrame:
     """A probe's calls, percentiles and p95 interval; one observation has no interval."""
     by = list(by)
     stats = latency_stats(calls, by).join(
         calls.groupBy(*by).agg(F.count_if(F.col("status") == "ok").alias("calls_ok"), F.count_if(F.col("status") != "ok").alias("calls_error")), by)
-    ci = B.interval(B.hash_percentile_replicates(calls, by, "call_id", "total_ms", 0.95, resamples), by, F.col("stat"))
+    ci = B.interval(B.percentile_replicates(R.value_counts(calls, by, "total_ms"), by, "total_ms", 0.95, resamples), by, F.col("stat"))
     out = stats.join(ci.select(*by, "lo", "hi"), by, "left")
     few = F.col("n_total") < 2
     return out.withColumns({"lo": F.when(~few, F.col("lo")), "hi": F.when(~few, F.col("hi")),

@@ -34,8 +34,10 @@ def exact_percentiles(df: DataFrame, by, value: str, named: dict[str, float], ac
     """Exact interpolated percentiles of a continuous column for groups of any size.
 
     An approximate pass brackets each percentile within ``2 / accuracy`` of the rows; a
-    second pass counts what lies below the bracket and keeps only what lies inside, so
-    a small fixed share of the rows is ranked. A bracket that misses its rank is an error.
+    second pass counts the values inside the bracket, and of those below and above only
+    how many there are and which lies nearest. Interpolation needs two neighbouring
+    ranks, and where the bracket is narrower than that (small groups) the nearest value
+    outside is the other one. A bracket that misses both is an error.
     """
     by = list(by)
     margin = 2.0 / accuracy
@@ -46,19 +48,30 @@ def exact_percentiles(df: DataFrame, by, value: str, named: dict[str, float], ac
     asked = F.array(*[
         F.struct(F.lit(name).alias("_name"), F.lit(float(q)).alias("_q"), F.get("_e", F.lit(2 * i)).alias("_lo"), F.get("_e", F.lit(2 * i + 1)).alias("_hi"))
         for i, (name, q) in enumerate(named.items())])
-    placed = rows.join(bounds, by).select(*by, "_n", "_x", F.inline(F.filter(asked, lambda a: F.col("_x") <= a["_hi"])))
-    counts = placed.groupBy(*by, "_n", "_name", "_q", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = F.col("_q") * (F.col("_n") - 1)
-    ranked = counts.withColumn("_cum", F.sum("_c").over(upto)).withColumns({"_h": h, "_inside": F.col("_v").isNotNull()})
+    placed = rows.join(bounds, by).select(*by, "_n", "_x", F.inline(asked))
+    side = F.when(F.col("_x") < F.col("_lo"), -1).when(F.col("_x") > F.col("_hi"), 1).otherwise(0)
+    counts = placed.withColumn("_side", side).groupBy(*by, "_n", "_name", "_q", "_side", F.when(F.col("_side") == 0, F.col("_x")).alias("_v")).agg(
+        F.count("*").alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    upto = Window.partitionBy(*by, "_name").orderBy("_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"_cum": F.sum("_c").over(upto), "_h": F.col("_q") * (F.col("_n") - 1)})
+    inside, below, above = (F.col("_side") == k for k in (0, -1, 1))
+    low, high = F.floor("_h"), F.ceil("_h")
+
+    def at(rank: Column, name: str) -> list[Column]:
+        return [F.min(F.when(inside & (F.col("_cum") > rank), F.col("_v"))).alias(f"_{name}")]
+
     found = ranked.groupBy(*by, "_name", "_h").agg(
-        F.min(F.when(F.col("_inside") & (F.col("_cum") > F.floor("_h")), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_inside") & (F.col("_cum") > F.ceil("_h")), F.col("_v"))).alias("_b"),
-        F.coalesce(F.max(F.when(~F.col("_inside"), F.col("_cum"))), F.lit(0)).alias("_below"))
-    held = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_below") <= F.floor("_h"))
-    exact = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_b") - F.col("_a"))
-    checked = found.withColumn("_p", F.when(held, exact).otherwise(F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")))
-    return checked.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_p"))).alias(k) for k in named])
+        *at(low, "a"), *at(high, "b"), F.coalesce(F.max(F.when(below, F.col("_cum"))), F.lit(0)).alias("_below"), F.max(F.when(below, F.col("_most"))).alias("_before"),
+        F.max(F.when(inside, F.col("_cum"))).alias("_upto"), F.min(F.when(above, F.col("_least"))).alias("_after"))
+
+    def pick(rank: Column, name: str) -> Column:
+        missed = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+        return (F.when(rank == F.col("_below") - 1, F.col("_before")).when(rank == F.col("_upto"), F.col("_after"))
+                .when((rank >= F.col("_below")) & (rank < F.col("_upto")), F.col(name)).otherwise(missed).cast("double"))
+
+    a, b = pick(low, "_a"), pick(high, "_b")
+    exact = found.withColumns({"_pa": a, "_pb": b}).withColumn("_p", F.col("_pa") + (F.col("_h") - F.floor("_h")) * (F.col("_pb") - F.col("_pa")))
+    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == k, F.col("_p"))).alias(k) for k in named])
 
 
 def lowest_by_hash(df: DataFrame, strata, quotas: DataFrame, order_hash: Column, hex_digits: int = 3) -> DataFrame:

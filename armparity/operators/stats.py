@@ -37,14 +37,14 @@ def _replicates(rows: DataFrame, by, key: str, values, resamples: int, seed: int
     raise ValueError(f"unknown bootstrap method {method!r}")
 
 
-def paired_delta(pairs: DataFrame, by, key: str = "item_id", resamples: int = 200, seed: int = 20260801,
-                 method: str = "hash") -> DataFrame:
+def paired_delta(pairs: DataFrame, by, key: str = "item_id", resamples: int = B.RESAMPLES, seed: int = 20260801,
+                 method: str = "histogram") -> DataFrame:
     """Estimate of mean(candidate) - mean(baseline) drawing the same items in both arms."""
     return B.estimate(_replicates(pairs, by, key, ("base", "cand"), resamples, seed, method), by, B.delta_stat("base", "cand"))
 
 
-def mean_estimate(values: DataFrame, by, key: str = "item_id", value: str = "value", resamples: int = 200,
-                  seed: int = 20260801, method: str = "hash") -> DataFrame:
+def mean_estimate(values: DataFrame, by, key: str = "item_id", value: str = "value", resamples: int = B.RESAMPLES,
+                  seed: int = 20260801, method: str = "histogram") -> DataFrame:
     """Mean with its interval; rows without a value are counted as dropped."""
     return B.estimate(_replicates(values, by, key, (value,), resamples, seed, method), by, B.mean_stat(value))
 

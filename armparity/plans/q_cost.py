@@ -28,7 +28,7 @@ def eco_call_cost(src):
 @query("eco_savings", USD + """ SELECT c.task, count(p.item_id) AS n, count(*) - count(p.item_id) AS dropped, round(sum(base), 9) AS base_usd, round(sum(cand), 9) AS cand_usd, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point,
   CASE WHEN count(p.item_id) < 2 THEN 'fewer than two paired items' END AS reason FROM (SELECT DISTINCT task, item_id FROM calls) c LEFT JOIN cost_pairs p USING (task, item_id) GROUP BY ALL""", _CP)
 def eco_savings(src):
-    est = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",), resamples=8)
+    est = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",))
     return est.select("task", "n", "dropped", F.round("base_usd", 9).alias("base_usd"), F.round("cand_usd", 9).alias("cand_usd"), F.round("point", 7).alias("point"), "reason")
 
 
@@ -244,7 +244,7 @@ def lat_disclosure(src):
 
 @query("lat_probe_summary", """ SELECT model, region, count(*) AS n_calls, count(*) FILTER (WHERE status = 'ok') AS calls_ok, round(quantile_cont(total_ms, 0.5), 6) AS total_p50, round(quantile_cont(total_ms, 0.95), 6) AS total_p95, CASE WHEN count(total_ms) < 2 THEN 'fewer than two timings' END AS reason FROM calls GROUP BY ALL""", ("calls",))
 def lat_probe_summary(src):
-    out = L.probe_summary(src.view("calls"), ("model", "region"), resamples=8)
+    out = L.probe_summary(src.view("calls"), ("model", "region"))
     return rounded(out.select("model", "region", "n_calls", "calls_ok", "total_p50", "total_p95", "reason"), "total_p50", "total_p95", digits=6)
 
 

@@ -13,7 +13,7 @@ from armparity.operators import stats as S
 from armparity.plans.q_judge import FOLDED, scored_cells
 from armparity.plans.q_metrics import LONG, SCORED, _pairs
 from armparity.plans.q_shadow import AGREE, TSUM, shadow_calls, triage
-from armparity.plans.q_stats import P95_REPS, REPS, SEED, USD, duck_replicates
+from armparity.plans.q_stats import REPS, SEED, USD, duck_replicates, inside
 from armparity.plans.registry import query
 
 _EST = ("task", "gate", "n", "dropped", "point", "lo", "hi", "unit")
@@ -44,14 +44,14 @@ def mean_gates(src):
 
 def estimates(src):
     """Estimates of all six gates per task."""
-    means = S.paired_delta(mean_gates(src), ("task", "gate"), resamples=REPS)
+    means = S.paired_delta(mean_gates(src), ("task", "gate"))
     pp = F.col("gate").endswith("_pp")
     means = means.withColumns({c: F.col(c) * F.when(pp, 100.0).otherwise(1.0) for c in ("point", "lo", "hi")}).withColumn(
         "unit", F.when(pp, "percentage_points").otherwise("fraction"))
-    cost = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",), resamples=REPS).withColumns(
+    cost = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",)).withColumns(
         {"gate": F.lit("cost_savings_pct"), "unit": F.lit("percent")})
     calls = src.view("calls").filter("status = 'ok' and arm = 'candidate'")
-    latency = B.interval(B.hash_percentile_replicates(calls, ("task",), "call_id", "total_ms", 0.95, P95_REPS), ("task",), F.col("stat")).withColumns(
+    latency = B.interval(B.percentile_replicates(R.value_counts(calls, ("task",), "total_ms"), ("task",), "total_ms", 0.95), ("task",), F.col("stat")).withColumns(
         {"gate": F.lit("latency_p95"), "unit": F.lit("ms"), "dropped": F.lit(0).cast("long")})
     return means.select(*_EST).unionByName(cost.select(*_EST)).unionByName(latency.select(*_EST))
 
@@ -90,20 +90,20 @@ EST = LONG + FOLDED + AGREE[len(SCORED):] + """, mg AS (
 ALT = EST + TSUM[TSUM.index(", cs AS"):].replace(CS := FOLDED[:FOLDED.index(", folded AS")], "", 1) + """, chk3 AS (SELECT c.*, CASE WHEN NOT passed AND alt IS NOT NULL THEN CASE WHEN wins + losses + ties > 0 THEN wins >= losses END END AS alt_passed, wins, losses FROM chk2 c LEFT JOIN ts USING (task)),
  st AS (SELECT t.task, g.gate, g.role, passed OR coalesce(alt_passed, false) AS ok, alt_passed FROM (SELECT DISTINCT task FROM calls) t CROSS JOIN gates g LEFT JOIN chk3 c ON c.task = t.task AND c.gate = g.gate),
  dc AS (SELECT task, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE NOT ok), '') AS failed, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE ok IS NULL), '') AS missing,
-   coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE alt_passed), '') AS passed_by_alt, count(*) FILTER (WHERE NOT ok AND role = 'blocking') AS blk, count(*) FILTER (WHERE NOT ok AND role <> 'quality') AS hard FROM st GROUP BY ALL)"""
+   coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE alt_passed), '') AS passed_by_alt, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE NOT ok AND role = 'blocking'), '') AS blk, count(*) FILTER (WHERE NOT ok AND role <> 'quality') AS hard FROM st GROUP BY ALL)"""
 
 
 def evidence(src):
-    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(estimates))
+    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(estimates), src.view("gates"))
 
 
 def checks(src):
     return G.check_gates(src.once(evidence), src.view("gates"), sentinels(src))
 
 
-@query("gate_evidence", EST + " SELECT task, gate, n, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, unit, reason FROM ev", _VIEWS)
+@query("gate_evidence", EST + " SELECT task, gate, n, round(point, 6) AS point, lo <= point AND point <= hi AS inside, unit, reason FROM ev", _VIEWS)
 def gate_evidence(src):
-    return src.once(evidence).select("task", "gate", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], "unit", "reason")
+    return src.once(evidence).select("task", "gate", "n", F.round("point", 6).alias("point"), inside(), "unit", "reason")
 
 
 @query("gate_resolve_bounds", EST + " SELECT task, 'latency_p95' AS gate, round(value, 6) AS bound_value FROM sent", _VIEWS)
@@ -111,14 +111,14 @@ def gate_resolve_bounds(src):
     return G.resolve_bounds(src.view("gates"), sentinels(src)).withColumn("bound_value", F.round("bound_value", 6))
 
 
-@query("gate_checks", EST + " SELECT task, gate, direction, round(bound_value, 6) AS bound_value, round(compared_value, 6) AS compared_value, passed FROM chk2", _VIEWS)
+@query("gate_checks", EST + " SELECT task, gate, direction, round(bound_value, 6) AS bound_value, passed FROM chk2", _VIEWS)
 def gate_checks(src):
-    return src.once(checks).select("task", "gate", "direction", F.round("bound_value", 6).alias("bound_value"), F.round("compared_value", 6).alias("compared_value"), "passed")
+    return src.once(checks).select("task", "gate", "direction", F.round("bound_value", 6).alias("bound_value"), "passed")
 
 
 @query("gate_missing", EST + " SELECT task, gate FROM ev WHERE lo IS NULL", _VIEWS)
 def gate_missing(src):
-    return G.missing_gates(src.view("calls").select("task").distinct(), src.once(checks))
+    return G.missing_gates(src.view("calls").select("task").distinct(), src.once(checks), src.view("gates"))
 
 
 @query("gate_alternatives", ALT + " SELECT task, gate, passed, alt_passed, passed OR coalesce(alt_passed, false) AS effective_passed, CASE WHEN alt_passed IS NOT NULL THEN concat(wins, 'W/', losses, 'L') END AS alt_summary FROM chk3", _VIEWS)
@@ -126,11 +126,36 @@ def gate_alternatives(src):
     return G.apply_alternatives(src.once(checks), A.triage_summary(triage(src))).select("task", "gate", "passed", "alt_passed", "effective_passed", "alt_summary")
 
 
-@query("gate_verdict", ALT + """ SELECT task, CASE WHEN blk > 0 THEN 'HOLD' WHEN missing <> '' THEN 'INCOMPLETE' ELSE r END AS verdict, CASE WHEN blk = 0 AND missing <> '' THEN r END AS provisional, failed, missing, passed_by_alt
+@query("gate_verdict", ALT + """ SELECT task, CASE WHEN blk <> '' THEN 'HOLD' WHEN missing <> '' THEN 'INCOMPLETE' ELSE r END AS verdict, CASE WHEN blk = '' AND missing <> '' THEN r END AS provisional, failed, missing, passed_by_alt,
+  concat(CASE WHEN blk <> '' THEN concat('blocking gates failed: ', blk, '. the structure fails') WHEN missing <> '' THEN concat('not measured: ', missing, '; were these to pass: ', r) WHEN failed = '' THEN 'every gate holds on its bound'
+   WHEN hard = 0 THEN concat('quality gates failed: ', failed, '. the structure holds, quality is short') ELSE concat('no rule covers the failed gates: ', failed) END, CASE WHEN passed_by_alt <> '' THEN concat('; by agreed alternative: ', passed_by_alt) ELSE '' END) AS rationale
  FROM (SELECT *, CASE WHEN failed = '' THEN 'MIGRATE' WHEN hard = 0 THEN 'TUNE_FIRST' ELSE 'UNDETERMINED' END AS r FROM dc)""", _VIEWS)
 def gate_verdict(src):
     alt = G.apply_alternatives(src.once(checks), A.triage_summary(triage(src)))
-    return G.decide(src.view("calls").select("task").distinct(), alt, src.view("gates"))
+    return G.decide(src.view("calls").select("task").distinct(), alt, src.view("gates"), src.view("verdict_rules"))
+
+
+@query("gate_declared_only", """, g AS (SELECT task, count(*) AS n, avg(CAST(status = 'error' AS INTEGER)) AS r, avg(CAST(total_ms IS NOT NULL AS INTEGER)) AS m FROM calls WHERE arm = 'candidate' GROUP BY task),
+ b AS (SELECT *, r + 1.96 * sqrt(r * (1 - r) / n) > 0.05 AS bad, m - 1.96 * sqrt(m * (1 - m) / n) < 0.999 AS short FROM g)
+ SELECT task, CASE WHEN bad THEN 'STOP' ELSE 'INCOMPLETE' END AS verdict, CASE WHEN bad THEN 'blocking gates failed: error_rate. too many errors' ELSE concat('not measured: cost_savings_pct; were these to pass: ', CASE WHEN short THEN 'POLISH' ELSE 'GO' END) END AS rationale,
+  concat(CASE WHEN bad THEN 'error_rate' ELSE '' END, CASE WHEN bad AND short THEN ',' ELSE '' END, CASE WHEN short THEN 'timed_share' ELSE '' END) AS failed, 'cost_savings_pct' AS missing FROM b""", ("calls",))
+def gate_declared_only(src):
+    """Gates and verdict names that only the tables declare: one fails, one is never measured."""
+    spark = src.spark
+    gates = spark.sql("""SELECT * FROM VALUES ('error_rate', 'max', '0.05', 'fraction', NULL, 'blocking'), ('timed_share', 'min', '0.999', 'fraction', NULL, 'quality'),
+      ('cost_savings_pct', 'min', '30', 'percent', NULL, 'other') AS g(gate, direction, bound, unit, alt, role)""").withColumn("alt", F.col("alt").cast("string"))
+    names = spark.sql("SELECT * FROM VALUES ('GO', 'all_pass', 'good'), ('POLISH', 'only_quality_gates_fail', 'nearly'), ('STOP', 'any_blocking_gate_fails', 'too many errors') AS v(verdict, rule, description)")
+    calls = src.view("calls").filter("arm = 'candidate'")
+    shares = calls.groupBy("task").agg(F.count("*").alias("n"), F.avg((F.col("status") == "error").cast("double")).alias("error_rate"),
+                                       F.avg(F.col("total_ms").isNotNull().cast("double")).alias("timed_share"))
+    long = shares.unpivot(["task", "n"], ["error_rate", "timed_share"], "gate", "point")
+    half = 1.96 * F.sqrt(F.col("point") * (1 - F.col("point")) / F.col("n"))
+    est = long.select("task", "gate", "n", F.lit(0).alias("dropped"), "point", (F.col("point") - half).alias("lo"), (F.col("point") + half).alias("hi"), F.lit("fraction").alias("unit"))
+    segments = calls.select("task").distinct()
+    none = spark.createDataFrame([], "task string, sentinel string, value double")
+    checked = G.check_gates(G.build_evidence(segments, est, gates), gates, none)
+    done = checked.withColumns({"alt_passed": F.lit(None).cast("boolean"), "effective_passed": F.col("passed")})
+    return G.decide(segments, done, gates, names).select("task", "verdict", "rationale", "failed", "missing")
 
 
 SMALL = SCORED + """, vp AS (SELECT task, item_id, max(CAST(tag = 'valid' AS INTEGER)) FILTER (WHERE arm = 'baseline') AS base, max(CAST(tag = 'valid' AS INTEGER)) FILTER (WHERE arm = 'candidate') AS cand FROM tagged GROUP BY ALL)""" + duck_replicates("v", "vp", "task", "item_id", ["base", "cand"])
@@ -139,10 +164,10 @@ SMALL = SCORED + """, vp AS (SELECT task, item_id, max(CAST(tag = 'valid' AS INT
 @query("gate_verdict_sql", SMALL + """ SELECT task, count(*) AS n, round(avg(cand - base) * 100, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, lo >= -2.0 AS passed, CASE WHEN lo >= -2.0 THEN 'MIGRATE' ELSE 'HOLD' END AS verdict
  FROM vp JOIN (SELECT task, quantile_cont(100 * (s_cand - s_base) / sw, 0.025) AS lo, quantile_cont(100 * (s_cand - s_base) / sw, 0.975) AS hi FROM v_r GROUP BY ALL) USING (task) GROUP BY task, lo, hi""", ("calls", "items"))
 def gate_verdict_sql(src):
-    """The flagship slice: validity per call, paired delta, interval, gate, verdict."""
+    """The flagship slice in the form that SQL can say: validity per call, paired delta, hash-drawn interval, gate, verdict."""
     tag = M.validity_tag(F.col("status"), F.col("task"), F.col("p"), F.col("shape"))
     rows = _pairs(src).select("task", "arm", "item_id", (tag == "valid").cast("double").alias("value"))
-    est = S.rescale(S.paired_delta(S.pair_samples(rows, ("task",)), ("task",), resamples=REPS).withColumn("unit", F.lit("fraction")), "percentage_points")
+    est = S.rescale(S.paired_delta(S.pair_samples(rows, ("task",)), ("task",), resamples=REPS, method="hash").withColumn("unit", F.lit("fraction")), "percentage_points")
     passed = F.col("lo") >= -2.0
     return est.select("task", "n", *[F.round(c, 6).alias(c) for c in ("point", "lo", "hi")], passed.alias("passed"), F.when(passed, "MIGRATE").otherwise("HOLD").alias("verdict"))
 

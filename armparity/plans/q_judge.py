@@ -115,5 +115,5 @@ def jdg_arm_report(src):
         "split", F.when(F.col("item_id") % 5 < 2, "core").otherwise("rest"))
     by = ("task", "arm", "split")
     noise = J.aggregate_repeats(items, 2, by)
-    est = S.mean_estimate(items.withColumn("value", F.round("item_mean", 12)), by, method="histogram", resamples=2000)
+    est = S.mean_estimate(items.withColumn("value", F.round("item_mean", 12)), by, method="histogram")
     return noise.join(est.select(*by, "lo", "hi"), list(by)).withColumns({c: F.round(c, 9) for c in ("mean_score", "lo", "hi", "mean_within_sd")})

@@ -84,7 +84,7 @@ _SUMMARY = """SELECT task, count(*) AS n_items, count(*) FILTER (WHERE comparabl
        + f""" SELECT s.*, lo, hi FROM ({_SUMMARY}) s JOIN (SELECT task, {q('s_value / sw', 0.025)} AS lo, {q('s_value / sw', 0.975)} AS hi FROM g_r GROUP BY ALL) USING (task)""", _VIEWS)
 def shd_agreement(src):
     items = A.compare_items(shadow_calls(src), "baseline", "candidate")
-    est = S.mean_estimate(items.withColumn("value", F.col("agreed").cast("double")), ("task",), resamples=REPS)
+    est = S.mean_estimate(items.withColumn("value", F.col("agreed").cast("double")), ("task",), resamples=REPS, method="hash")
     out = A.agreement_summary(items).join(est.select("task", "lo", "hi"), "task", "left")
     return out.withColumns({c: F.round(c, 9) for c in ("agreement", "structured_agreement", "lo", "hi")})
 

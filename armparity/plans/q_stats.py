@@ -42,7 +42,7 @@ def sta_mean(src):
  JOIN (SELECT task, arm, {q('s_value / sw', 0.025)} AS lo, {q('s_value / sw', 0.975)} AS hi FROM m_r GROUP BY ALL) USING (task, arm)""", _CV)
 def sta_bootstrap_mean(src):
     items = J.fold_repeats(scored_cells(src, "gated")).withColumnRenamed("item_mean", "value")
-    est = S.mean_estimate(items, ("task", "arm"), resamples=REPS)
+    est = S.mean_estimate(items, ("task", "arm"), resamples=REPS, method="hash")
     return est.select("task", "arm", "n", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
@@ -63,16 +63,21 @@ def sta_pair_samples(src):
  JOIN (SELECT task, metric, {q('(s_cand - s_base) / sw', 0.025)} AS lo, {q('(s_cand - s_base) / sw', 0.975)} AS hi FROM d_r GROUP BY ALL) USING (task, metric)""", _VIEWS)
 def sta_paired_delta(src):
     pairs = S.pair_samples(M.outcomes(_pairs(src)), ("task", "metric"))
-    est = S.paired_delta(pairs, ("task", "metric"), resamples=REPS)
+    est = S.paired_delta(pairs, ("task", "metric"), resamples=REPS, method="hash")
     return est.select("task", "metric", "n", "dropped", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("sta_paired_delta_counts", None)
+def inside():
+    return ((F.col("lo") <= F.col("point")) & (F.col("point") <= F.col("hi"))).alias("inside")
+
+
+@query("sta_paired_delta_counts", PAIRS + """ SELECT task, metric, count(base + cand) AS n, count(*) - count(base + cand) AS dropped, round(avg(cand - base), 9) AS point, 10000 AS resamples, true AS inside
+ FROM pairs GROUP BY ALL HAVING count(base + cand) > 1""", _VIEWS)
 def sta_paired_delta_counts(src):
     """The default interval: 10,000 replicates drawn from counts of distinct pairs."""
     pairs = S.pair_samples(M.outcomes(_pairs(src)), ("task", "metric"))
-    est = S.paired_delta(pairs, ("task", "metric"), resamples=B.RESAMPLES, method="histogram")
-    return est.select("task", "metric", "n", "dropped", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
+    est = S.paired_delta(pairs, ("task", "metric")).filter("n > 1")
+    return est.select("task", "metric", "n", "dropped", F.round("point", 9).alias("point"), "resamples", inside())
 
 
 def usd_pairs(src):
@@ -92,16 +97,16 @@ USD = """, usd AS (SELECT c.*, input_tokens / 1e6 * input_per_1m + output_tokens
 def sta_savings(src):
     from armparity.operators import economics as E
 
-    est = E.savings(usd_pairs(src), ("task",), resamples=REPS)
+    est = E.savings(usd_pairs(src), ("task",), resamples=REPS, method="hash")
     return est.select("task", "n", *[F.round(c, 7).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("sta_savings_counts", None)
+@query("sta_savings_counts", USD + " SELECT task, count(*) AS n, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point, 10000 AS resamples, true AS inside FROM cost_pairs GROUP BY ALL", ("calls", "prices"))
 def sta_savings_counts(src):
     from armparity.operators import economics as E
 
-    est = E.savings(usd_pairs(src), ("task",), resamples=B.RESAMPLES, method="histogram")
-    return est.select("task", "n", *[F.round(c, 7).alias(c) for c in ("point", "lo", "hi")])
+    est = E.savings(usd_pairs(src), ("task",))
+    return est.select("task", "n", F.round("point", 7).alias("point"), "resamples", inside())
 
 
 P95_REPS = 24
@@ -117,11 +122,12 @@ def sta_p95(src):
     return B.interval(reps, ("task", "arm"), F.col("stat")).select("task", "arm", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("sta_p95_counts", None)
+@query("sta_p95_counts", " SELECT task, arm, count(*) AS n, round(quantile_cont(total_ms, 0.95), 6) AS point, 10000 AS resamples, true AS inside FROM calls WHERE total_ms IS NOT NULL AND status = 'ok' GROUP BY ALL", ("calls",))
 def sta_p95_counts(src):
     counts = R.value_counts(src.view("calls").filter("status = 'ok'"), ("task", "arm"), "total_ms")
-    reps = B.percentile_replicates(counts, ("task", "arm"), "total_ms", 0.95, resamples=2000)
-    return B.interval(reps, ("task", "arm"), F.col("stat"))
+    reps = B.percentile_replicates(counts, ("task", "arm"), "total_ms", 0.95)
+    out = B.interval(reps, ("task", "arm"), F.col("stat"))
+    return out.select("task", "arm", "n", F.round("point", 6).alias("point"), "resamples", inside())
 
 
 @query("sta_percentile", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,

@@ -213,6 +213,11 @@ SELECT * FROM (VALUES (1, 'quality_delta_pp', 'min', '-2.0', 'percentage_points'
   (5, 'cost_savings_pct', 'min', '30', 'percent', NULL, 'other'),
   (6, 'latency_p95', 'max', 'baseline_p95', 'ms', NULL, 'other')) AS g(ordinal, gate, direction, bound, unit, alt, role)"""
 
+VIEWS["verdict_rules"] = """
+SELECT * FROM (VALUES ('MIGRATE', 'all_pass', 'every gate holds on its bound'),
+  ('TUNE_FIRST', 'only_quality_gates_fail', 'the structure holds, quality is short'),
+  ('HOLD', 'any_blocking_gate_fails', 'the structure fails')) AS v(verdict, rule, description)"""
+
 VIEWS["price_book"] = """
 SELECT p_partkey AS book_id, concat('m', p_partkey) AS model,
        CASE WHEN p_size % 10 = 0 THEN 'VERIFY' ELSE CAST(CAST(p_size AS BIGINT) AS STRING) END AS input,
@@ -250,18 +255,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SCAN_TASKS: dict[tuple[str, ...], int] = {}
-
-
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a log read by fewer tasks than there are cores; a large log stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = tuple(df.inputFiles())
-    if files not in _SCAN_TASKS:
-        _SCAN_TASKS[files] = df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if _SCAN_TASKS[files] < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One study view as a Spark DataFrame."""
     sql = _dialect(VIEWS[name], "spark")
@@ -270,8 +263,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
         frames[t] = table(spark, sf_dir, t)
-        if t == "events":
-            frames[t] = _spread(frames[t], "event_id")
     if not frames:
         return spark.sql(sql)
     # spark.sql formats with str.format, so literal braces are doubled first

@@ -24,7 +24,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench, with a temporary folder to write in; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("armparity")
@@ -33,6 +33,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="armparity-local-"))
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -42,10 +43,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: the cluster's if it names one."""
+    """Shared folder for written intermediates; executors and driver must all reach it, so it has to be configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    root = tempfile.mkdtemp(prefix="armparity-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root

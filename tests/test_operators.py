@@ -96,7 +96,7 @@ def sample(spark, values):
 
 
 @pytest.mark.parametrize("method,values,expected", [
-    ("histogram", [0, 1], (0.5, 0.0, 1.0)), ("histogram", [1, 1, 1, 0], (0.75, 0.25, 1.0)), ("histogram", [1] * 5, (1.0, 1.0, 1.0)), ("hash", [1] * 9, (1.0, 1.0, 1.0))])
+    ("histogram", [2, 6], (4.0, 2.0, 6.0)), ("histogram", [3] * 7, (3.0, 3.0, 3.0)), ("hash", [1] * 9, (1.0, 1.0, 1.0))])
 def test_interval_goldens(spark, method, values, expected):
     r = S.mean_estimate(sample(spark, values), ("g",), resamples=2000, method=method).first()
     assert (r.point, r.lo, r.hi) == expected and r.n == len(values)
@@ -113,9 +113,9 @@ def test_intervals_agree_with_numpy(spark):
     d = (cand - base)[rng.integers(0, 400, (10000, 400))].mean(axis=1)
     lo, hi = np.percentile(d, [2.5, 97.5])
     pairs = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(base, cand))], "g string, item_id long, base double, cand double")
-    for method, n, cells in (("histogram", 10000, 20000), ("hash", 1000, None), ("histogram", 4000, 1)):
+    for method, n, cells in (("histogram", 10000, 2048), ("hash", 1000, None), ("histogram", 4000, 3)):
         reps = (B.hash_replicates(pairs, ("g",), "item_id", ("base", "cand"), n) if method == "hash"
-                else B.histogram_replicates(pairs, ("g",), ("base", "cand"), n, max_cells=cells))
+                else B.histogram_replicates(pairs, ("g",), ("base", "cand"), n, cells=cells))
         r = B.estimate(reps, ("g",), B.delta_stat("base", "cand")).first()
         assert r.point == pytest.approx((cand - base).mean(), abs=1e-12) and r.n == 400
         assert r.lo == pytest.approx(lo, abs=0.008) and r.hi == pytest.approx(hi, abs=0.008), method
@@ -146,13 +146,27 @@ def test_duplicate_items_are_refused(spark):
 
 
 def test_kappa(spark):
-    rows = [(True, True)] * 6 + [(False, False)] * 2 + [(True, False), (False, True)]
-    df = spark.createDataFrame([("x", *r) for r in rows] + [("y", True, True)] * 40, "g string, a boolean, b boolean")
+    rows = [(True, True)] * 9 + [(False, False)] * 4 + [(True, False)] * 3 + [(False, True)] * 4
+    df = spark.createDataFrame([("x", *r) for r in rows] + [("y", False, False)] * 12, "g string, a boolean, b boolean")
     got = {r.g: r for r in S.kappa(df, ("g",), F.col("a"), F.col("b")).collect()}
-    assert got["x"].kappa == pytest.approx((0.8 - 0.58) / (1 - 0.58))
+    assert got["x"].kappa == pytest.approx((13 / 20 - (12 * 13 + 8 * 7) / 400) / (1 - (12 * 13 + 8 * 7) / 400))
     assert got["y"].kappa is None and "undefined" in got["y"].kappa_note
 
 
+def test_every_replicate_of_a_small_group_counts(spark):
+    r = S.mean_estimate(sample(spark, [2, 6]), ("g",), resamples=500).first()
+    assert r.resamples == 500
+
+
+def test_exact_percentiles_of_small_groups_and_ties(spark):
+    rng = np.random.default_rng(6)
+    groups = {f"{n}{kind}": rng.normal(size=n) if kind == "a" else rng.integers(0, 3, n).astype(float) for n in (1, 2, 3, 10, 100, 2000) for kind in "ab"}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, v double")
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 0.999, "f": 1.0}
+    for r in R.exact_percentiles(df, ("g",), "v", qs).collect():
+        assert [r[k] for k in qs] == pytest.approx([np.quantile(groups[r.g], q) for q in qs.values()])
+
+
 @pytest.mark.parametrize("parts", [1, 4, 17])
 def test_exact_percentiles_on_a_skewed_group(spark, parts):
     x = np.concatenate([np.full(5000, 7.0), np.random.default_rng(5).lognormal(3, 2, 3000)])
@@ -199,20 +213,21 @@ def test_best_document_matches_brute_force_at_any_rarity(spark):
 GATES = [("quality_delta_pp", "min", "-2.0", "percentage_points", None, "quality"), ("json_schema_validity", "min", "0.99", "fraction", None, "blocking"),
          ("groundedness_delta_pp", "min", "-1.0", "percentage_points", None, "quality"), ("shadow_agreement", "min", "0.90", "fraction", "clause", "blocking"),
          ("cost_savings_pct", "min", "30", "percent", None, "other"), ("latency_p95", "max", "baseline_p95", "ms", None, "other")]
+VERDICTS = [("MIGRATE", "all_pass", "fine"), ("TUNE_FIRST", "only_quality_gates_fail", "close"), ("HOLD", "any_blocking_gate_fails", "broken")]
 GOOD = {"quality_delta_pp": (-1.0, 1.0, "percentage_points"), "json_schema_validity": (0.995, 1.0, "fraction"), "groundedness_delta_pp": (0.0, 0.0, "percentage_points"),
         "shadow_agreement": (0.95, 0.99, "fraction"), "cost_savings_pct": (40.0, 50.0, "percent"), "latency_p95": (100.0, 900.0, "ms")}
 
 
-def decide(spark, wins=(5, 3), **changes):
+def decide(spark, wins=(5, 3), extra=(), **changes):
     est = {k: v for k, v in {**GOOD, **changes}.items() if v is not None}
-    gates = spark.createDataFrame(GATES, "gate string, direction string, bound string, unit string, alt string, role string")
+    gates = spark.createDataFrame([*GATES, *extra], "gate string, direction string, bound string, unit string, alt string, role string")
     rows = spark.createDataFrame([("t", g, 10, (lo + hi) / 2, lo, hi, u) for g, (lo, hi, u) in est.items()], "task string, gate string, n long, point double, lo double, hi double, unit string")
     segments = spark.createDataFrame([("t",)], "task string")
     sentinels = spark.createDataFrame([("t", "baseline_p95", 1000.0)], "task string, sentinel string, value double")
     ok = None if wins is None else wins[0] >= wins[1]
     triage = spark.createDataFrame([("t", *(wins or (0, 0)), ok)], "task string, wins long, losses long, wins_ge_losses boolean")
-    checks = G.check_gates(G.build_evidence(segments, rows), gates, sentinels)
-    return G.decide(segments, G.apply_alternatives(checks, triage), gates).first()
+    checks = G.check_gates(G.build_evidence(segments, rows, gates), gates, sentinels)
+    return G.decide(segments, G.apply_alternatives(checks, triage), gates, spark.createDataFrame(VERDICTS, "verdict string, rule string, description string")).first()
 
 
 def test_verdicts(spark):
@@ -229,6 +244,30 @@ def test_verdicts(spark):
     assert decide(spark, wins=None, **bad_agreement).verdict == "HOLD"
 
 
+def test_gates_and_rules_come_from_the_tables(spark):
+    extra = [("error_rate", "max", "0.1", "fraction", None, "blocking")]
+    failed = decide(spark, extra=extra, error_rate=(0.2, 0.3, "fraction"))
+    assert (failed.verdict, failed.failed) == ("HOLD", "error_rate") and "error_rate" in failed.rationale
+    unmeasured = decide(spark, extra=extra)
+    assert (unmeasured.verdict, unmeasured.missing) == ("INCOMPLETE", "error_rate")
+    with pytest.raises(Exception, match="undeclared gate"):
+        decide(spark, error_rate=(0.2, 0.3, "fraction"))
+    with pytest.raises(ValueError, match="more than once"):
+        decide(spark, extra=[GATES[0]])
+    names = "verdict string, rule string, description string"
+    with pytest.raises(ValueError, match="without a verdict"):
+        G.verdict_names(spark.createDataFrame(VERDICTS[:2], names))
+    with pytest.raises(ValueError, match="more than once"):
+        G.verdict_names(spark.createDataFrame([*VERDICTS, ("GO", "all_pass", "")], names))
+
+
+def test_repeated_calls_of_an_item_are_refused(spark):
+    row = ("feature_extractor", 1, "baseline", '{"title":"x"}')
+    calls = spark.createDataFrame([row, row, ("feature_extractor", 1, "candidate", '{"title":"x"}')], "task string, item_id long, arm string, payload_json string")
+    with pytest.raises(Exception, match="more than once"):
+        A.compare_items(calls, "baseline", "candidate").collect()
+
+
 def test_units_must_match(spark):
     with pytest.raises(Exception, match="unit mismatch"):
         decide(spark, quality_delta_pp=(0.9, 0.98, "fraction"))
