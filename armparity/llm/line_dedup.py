@@ -193,3 +193,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, count: str | No
     text = F.when(F.col(ranges).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
     cut = F.coalesce(F.aggregate(ranges, F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
     return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], *([cut.alias(count)] if count else []))
+
+
+def keep_rest(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """:func:`dedup_lines` without the documents of which it leaves no word; those that had none before stay."""
+    count = fresh(docs, "cut")[0]
+    return dedup_lines(docs, least_words, count).filter((F.col(count) == 0) | F.col("text").rlike(f"[^{BLANKS}]")).drop(count)

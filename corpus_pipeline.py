@@ -19,8 +19,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go from the text; every document stays."""
-    return line_dedup.dedup_lines(docs)
+    """Blocks of lines that an earlier document has go from the text; a document of which no word is left goes with them."""
+    return line_dedup.keep_rest(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
