@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from armparity.plans.study import INTENTS
+from armparity.constants import INTENTS
 
 #: Field kinds used when two answers are compared.
 AGREEMENT_KINDS = {

@@ -116,27 +116,21 @@ def unit_glyphs(col: Column) -> Column:
 
 
 def surface_violation(text: Column, original: Column, must_keep: Column, forbid: list[str]) -> Column:
-    """First broken rule of a rewrite, or null: literals, patterns, numbers, units."""
+    """First broken rule of a rewrite as ``kind: what``, or null.
 
-    def first_missing(left: Column, right: Column) -> Column:
-        return F.try_element_at(F.array_sort(F.array_except(left, right)), F.lit(1))
+    Kept words first, then forbidden patterns, then whatever either side has alone: numbers, then unit signs.
+    """
+    def named(kind: str, what: Column) -> Column:
+        return F.concat(F.lit(f"{kind}: "), what)
 
-    lost_literal = F.try_element_at(
-        F.filter(must_keep, lambda m: ~F.contains(F.lower(text), F.lower(m))), F.lit(1)
-    )
-    rules = [F.concat(F.lit("dropped required literal "), lost_literal)]
-    for pattern in forbid:
-        rules.append(
-            F.when(F.rlike(text, F.lit(pattern)),
-                   F.concat(F.lit("introduced forbidden content "), F.regexp_substr(text, F.lit(pattern))))
-        )
-    before, after = quantities(original), quantities(text)
-    rules.append(F.concat(F.lit("dropped number "), first_missing(before, after)))
-    rules.append(F.concat(F.lit("introduced number "), first_missing(after, before)))
-    before, after = unit_glyphs(original), unit_glyphs(text)
-    rules.append(F.concat(F.lit("dropped unit character "), first_missing(before, after)))
-    rules.append(F.concat(F.lit("re-spelled a unit using "), first_missing(after, before)))
-    return F.coalesce(*rules)
+    missing = F.filter(must_keep, lambda m: ~F.contains(F.lower(text), F.lower(m)))
+    found = [named("lost word", F.try_element_at(missing, F.lit(1)))]
+    found += [F.when(F.rlike(text, F.lit(p)), named("not allowed", F.regexp_substr(text, F.lit(p)))) for p in forbid]
+    for kind, marks in (("number", quantities), ("unit sign", unit_glyphs)):
+        for word, here, there in (("lost", original, text), ("new", text, original)):
+            alone = F.array_sort(F.array_except(marks(here), marks(there)))
+            found.append(named(f"{word} {kind}", F.try_element_at(alone, F.lit(1))))
+    return F.coalesce(*found)
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
@@ -147,7 +141,8 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return F.when(~F.rlike(out, F.lit(r"\{\{|\}\}")), out)
 
 
-ISO_STAMP = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\+00:00|Z)"
+#: Fixed pattern of a stamp in UTC.
+ISO_STAMP = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\+00:00|Z)\b"
 
 
 def sgt_text(ts: Column) -> Column:

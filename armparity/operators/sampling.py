@@ -97,6 +97,10 @@ def stratified_sample(items: DataFrame, strata, size: int, key: str, seed: int)
 
 
 def mark_core(items: DataFrame, strata, size: int, key: str, seed: int) -> DataFrame:
+    """Marks exactly ``size`` core rows; a core larger than the items is an error."""
+    have = items.count()
+    if not 0 <= size <= have:
+        raise ValueError(f"a core of {size} cannot be taken from {have} items")
     picked = stratified_sample(items, strata, size, key, seed).select(key, F.lit(True).alias("_in"))
     return items.join(picked, key, "left").withColumn("is_core", F.coalesce("_in", F.lit(False))).drop("_in")
 

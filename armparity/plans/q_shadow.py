@@ -191,8 +191,8 @@ def shd_carry_figures(src):
 XP = CELL_SCORES + """, crit AS (SELECT call_id, judge, repeat, string_agg(criterion_id, ',' ORDER BY criterion_id) AS ids FROM verdicts GROUP BY ALL),
  jc AS (SELECT cs.*, crit.ids FROM cs LEFT JOIN crit USING (call_id, judge, repeat)),
  xp AS (SELECT coalesce(a.task, b.task) AS task, coalesce(a.arm, b.arm) AS arm, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.repeat, b.repeat) AS repeat, coalesce(a.call_id, b.call_id) AS call_id,
-   CASE WHEN a.status IS NULL OR b.status IS NULL THEN 'only one judge scored this cell' WHEN a.status <> 'ok' THEN concat('gated judge call failed: ', a.error) WHEN b.status <> 'ok' THEN concat('cross-check judge call failed: ', b.error)
-     WHEN a.ids <> b.ids THEN 'the two judges scored different criterion sets' END AS unusable, a.score AS ga, b.score AS ch
+   CASE WHEN a.status IS NULL OR b.status IS NULL THEN 'scored once only' WHEN a.status <> 'ok' THEN concat('no verdict of the gated judge: ', a.error) WHEN b.status <> 'ok' THEN concat('no verdict of the checking judge: ', b.error)
+     WHEN a.ids <> b.ids THEN 'criteria differ between the judges' END AS unusable, a.score AS ga, b.score AS ch
    FROM (SELECT * FROM jc WHERE judge = 'gated') a FULL JOIN (SELECT * FROM jc WHERE judge = 'check') b ON a.call_id = b.call_id AND a.repeat = b.repeat),
  xc AS (SELECT x.task, x.arm, x.item_id, x.repeat, a.criterion_id, a.passed AS gated, b.passed AS "check" FROM xp x JOIN verdicts a ON a.call_id = x.call_id AND a.repeat = x.repeat AND a.judge = 'gated'
    JOIN verdicts b ON b.call_id = x.call_id AND b.repeat = x.repeat AND b.judge = 'check' AND a.criterion_id = b.criterion_id WHERE unusable IS NULL)"""

@@ -159,10 +159,10 @@ WITH d AS (SELECT o_orderkey AS id, concat('heat to ', o_custkey, ' °C for 2.5
    regexp_extract_all(a, '[µμ°²³⁻Ωωπ±×Å]') AS ua, regexp_extract_all(b, '[µμ°²³⁻Ωωπ±×Å]') AS ub FROM d),
  w AS (SELECT *, list_filter(qa, lambda x: NOT list_contains(qb, x)) AS lost, list_filter(qb, lambda x: NOT list_contains(qa, x)) AS gained,
    list_filter(ua, lambda x: NOT list_contains(ub, x)) AS ulost, list_filter(ub, lambda x: NOT list_contains(ua, x)) AS ugained FROM q)
-SELECT id, CASE WHEN NOT contains(lower(b), lower(concat('order ', id))) THEN concat('dropped required literal order ', id)
-  WHEN regexp_matches(b, '\(as [a-z]+\)') THEN concat('introduced forbidden content ', regexp_extract(b, '\(as [a-z]+\)'))
-  WHEN len(lost) > 0 THEN concat('dropped number ', lost[1]) WHEN len(gained) > 0 THEN concat('introduced number ', gained[1])
-  WHEN len(ulost) > 0 THEN concat('dropped unit character ', ulost[1]) WHEN len(ugained) > 0 THEN concat('re-spelled a unit using ', ugained[1]) END AS violation FROM w""")
+SELECT id, CASE WHEN NOT contains(lower(b), lower(concat('order ', id))) THEN concat('lost word: order ', id)
+  WHEN regexp_matches(b, '\(as [a-z]+\)') THEN concat('not allowed: ', regexp_extract(b, '\(as [a-z]+\)'))
+  WHEN len(lost) > 0 THEN concat('lost number: ', lost[1]) WHEN len(gained) > 0 THEN concat('new number: ', gained[1])
+  WHEN len(ulost) > 0 THEN concat('lost unit sign: ', ulost[1]) WHEN len(ugained) > 0 THEN concat('new unit sign: ', ugained[1]) END AS violation FROM w""")
 def gen_surface_guard(src):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     a = F.concat(F.lit("heat to "), cust.cast("string"), F.lit(" °C for 2.5 h, order "), key.cast("string"))

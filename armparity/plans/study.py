@@ -12,10 +12,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Task names, difficulty buckets with their planned shares, intents.
-TASKS = ("query_rewriter", "chunk_summarizer", "feature_extractor")
+from armparity.constants import INTENTS, TASKS
+
+#: Difficulty buckets with their planned shares.
 MIX = (("simple", 0.40), ("multi_hop", 0.25), ("extraction", 0.20), ("edge", 0.15))
-INTENTS = ("prior_art", "ownership", "landscape", "freedom_to_operate", "citation_lookup")
 
 BASELINE, CANDIDATE = "baseline", "candidate"
 

@@ -15,3 +15,5 @@ ITEM = (
 )
 CALL_REQUIRED = ("trace_id", "subagent", "model", "status")
 ITEM_REQUIRED = ("item_id", "subagent", "gold")
+#: Fixed values of two fields.
+CALL_ALLOWED = {"status": ("ok", "error"), "provenance": ("synthetic", "customer")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from armparity import schemas
 from armparity.functions.plan import filter_above
@@ -15,25 +16,32 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.trim("line") != "")
 
 
-def parse_strict(lines: DataFrame, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``rec`` and ``reject``: bad JSON, unknown keys, missing or mistyped required fields."""
-    spark = lines.sparkSession
-    names = spark.createDataFrame([], schema).columns
-    staged = lines.withColumns({
-        "_keys": F.json_object_keys("line"),
-        "rec": F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})})
-    unknown = F.array_except("_keys", F.array(*[F.lit(n) for n in names]))
+def parse_strict(lines: DataFrame, schema: str, required: tuple[str, ...] = (), allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Adds ``rec`` and ``reject``: bad JSON, unknown keys at the top or in a nested record, missing or mistyped required fields, values outside a fixed list."""
+    fields = lines.sparkSession.createDataFrame([], schema).schema.fields
+    nested = {f.name: [n.name for n in f.dataType.fields] for f in fields if isinstance(f.dataType, T.StructType)}
+    keys = {"_keys": F.json_object_keys("line"), **{f"_keys_{n}": F.json_object_keys(F.get_json_object("line", f"$.{n}")) for n in nested}}
+    staged = lines.withColumns({**keys, "rec": F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})})
+
+    def beyond(found: Column, known: list[str], prefix: str = "") -> Column:
+        extra = F.array_sort(F.array_except(F.coalesce(found, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in known])))
+        return F.transform(extra, lambda x: F.concat(F.lit(prefix), x))
+
+    unknown = F.concat(beyond(F.col("_keys"), [f.name for f in fields]), *[beyond(F.col(f"_keys_{n}"), names, f"{n}.") for n, names in nested.items()])
     missing = F.filter(F.array(*[F.when(F.col(f"rec.{n}").isNull(), F.lit(n)) for n in required] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     reject = (
         F.when(F.col("_keys").isNull() | F.col("rec._bad").isNotNull(), F.lit("not a valid record"))
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown keys: "), F.array_join(F.array_sort(unknown), ", ")))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown keys: "), F.array_join(unknown, ", ")))
         .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))))
-    return staged.withColumn("reject", reject).drop("_keys")
+    for name, values in (allowed or {}).items():
+        value = F.col(f"rec.{name}")
+        reject = reject.when(value.isNotNull() & ~value.isin(*values), F.concat(F.lit(f"not a {name}: "), value))
+    return staged.withColumn("reject", reject).drop(*keys)
 
 
 def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(calls, rejects)``; a reject names its file and carries the line."""
-    return _split(parse_strict(read_lines(spark, path), schemas.CALL, schemas.CALL_REQUIRED))
+    return _split(parse_strict(read_lines(spark, path), schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED))
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +54,8 @@ def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def canonical(df: DataFrame) -> Column:
-    """One canonical JSON object per row, members in alphabetical order."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    """One canonical JSON object per row, members in alphabetical order, null members kept."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
 
 
 def write_jsonl(df: DataFrame, path: str, key: str, partitions: int | None = None) -> None:

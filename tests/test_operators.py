@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from armparity import schemas
 from armparity.functions import keys, payload as P, render, text
 from armparity.operators import agreement as A
 from armparity.operators import bootstrap as B
@@ -16,6 +17,7 @@ from armparity.operators import ranking as R
 from armparity.operators import retrieval as RT
 from armparity.operators import sampling as SM
 from armparity.operators import stats as S
+from armparity.sources import jsonl
 
 
 def one(spark, *cols, row=None):
@@ -261,6 +263,22 @@ def test_gates_and_rules_come_from_the_tables(spark):
         G.verdict_names(spark.createDataFrame([*VERDICTS, ("GO", "all_pass", "")], names))
 
 
+def test_lines_are_read_strictly_and_keep_nulls(spark):
+    good = '{"trace_id":"a","subagent":"t","model":"m","status":"ok","usage":{"input_tokens":1},"error":null}'
+    bad = [good.replace('"input_tokens":1', '"input_tokens":1,"extra":2'), good.replace('"ok"', '"weird"'), good.replace('"trace_id":"a",', ""), "{"]
+    lines = spark.createDataFrame([(x,) for x in [good, *bad]], "line string")
+    got = [r.reject for r in jsonl.parse_strict(lines, schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED).select("reject").collect()]
+    assert got == [None, "unknown keys: usage.extra", "not a status: weird", "missing: trace_id", "not a valid record"]
+    one_null = spark.createDataFrame([(1, None)], "b long, a string")
+    assert one_null.select(jsonl.canonical(one_null)).first()[0] == '{"a":null,"b":1}'
+
+
+def test_a_core_larger_than_the_items_is_refused(spark):
+    items = spark.createDataFrame([("t", 1), ("t", 2)], "task string, item_id long")
+    with pytest.raises(ValueError, match="cannot be taken"):
+        SM.mark_core(items, ("task",), 3, "item_id", 1)
+
+
 def test_repeated_calls_of_an_item_are_refused(spark):
     row = ("feature_extractor", 1, "baseline", '{"title":"x"}')
     calls = spark.createDataFrame([row, row, ("feature_extractor", 1, "candidate", '{"title":"x"}')], "task string, item_id long, arm string, payload_json string")
