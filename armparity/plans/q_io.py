@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from armparity import schemas
 from armparity.functions import keys
 from armparity.operators import judge as J
 from armparity.operators import retrieval as RT
@@ -139,12 +140,18 @@ def stream_of(src, columns, parts=4):
     return ST.read_log(src.spark, path, kept.drop("_span").schema, files_per_trigger=parts)
 
 
-@query("str_ingest", " SELECT status, count(*) AS n, count(*) FILTER (WHERE k = 99) AS n_rejected FROM calls GROUP BY ALL", ("calls",))
+@query("str_ingest", """ SELECT CASE WHEN k % 50 = 13 THEN 'not a valid record' WHEN k % 50 = 14 THEN 'unknown keys: extra' WHEN k % 50 = 16 THEN 'missing: trace_id' END AS reject,
+  CASE WHEN k % 50 NOT IN (13, 14, 16) THEN status END AS status, count(*) AS n, count(*) FILTER (WHERE k % 50 IN (13, 14, 16)) AS n_rejected FROM calls WHERE k % 50 <> 15 GROUP BY ALL""", ("calls",))
 def str_ingest(src):
-    out = scratch(src, "ingest")
-    ST.run_available(stream_of(src, ["call_id", "k", "status", "ts"]), out, scratch(src, "ck"), rejects=F.col("k") == 99)
-    rows = src.spark.read.option("basePath", out).parquet(out)
-    return rows.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("rejected").cast("boolean")).alias("n_rejected"))
+    """Log lines as they arrive, parsed strictly; broken ones go to the folder of rejects."""
+    path, out = scratch(src, "lines"), scratch(src, "ingest")
+    log_lines(src).write.text(path)
+    lines = src.spark.readStream.option("maxFilesPerTrigger", 2).text(path).select(F.col("value").alias("line")).filter(F.trim("line") != "")
+    parsed = jsonl.parse_strict(lines, schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED)
+    rows = parsed.select("line", "reject", F.when(F.col("reject").isNull(), F.col("rec.status")).alias("status"))
+    ST.run_available(rows, out, scratch(src, "ck"), rejects=F.col("reject").isNotNull())
+    kept = src.spark.read.option("basePath", out).parquet(out)
+    return kept.groupBy("reject", "status").agg(F.count("*").alias("n"), F.count_if(F.col("rejected").cast("boolean")).alias("n_rejected"))
 
 
 @query("str_keep_latest", STORE + """ SELECT task, model, input_sha, ordinal, status FROM store QUALIFY row_number() OVER (PARTITION BY task, model, input_sha ORDER BY ordinal DESC) = 1""", ("calls",))
@@ -184,15 +191,15 @@ def health(src, window):
     out = scratch(src, "health")
     ST.run_available(ST.call_health(stream_of(src, ["arm", "status", "total_ms", "ts"]), window), out, scratch(src, "ck"), mode="update")
     final = ST.last_update(src.spark, out, ("start", "end", "arm"))
-    return final.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "arm", "n", "errors")
+    return final.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "arm", "n", "errors", "p95")
 
 
-@query("str_health_tumbling", " SELECT CAST(date_trunc('hour', ts) AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors FROM calls GROUP BY ALL", ("calls",))
+@query("str_health_tumbling", " SELECT CAST(date_trunc('hour', ts) AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, quantile_disc(total_ms, 0.95) AS p95 FROM calls GROUP BY ALL", ("calls",))
 def str_health_tumbling(src):
     return health(src, F.window("ts", "1 hour"))
 
 
-@query("str_health_sliding", """, w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * i) MINUTE AS start FROM calls, (SELECT unnest(range(4)) AS i)) SELECT CAST(start AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors FROM w GROUP BY ALL""", ("calls",))
+@query("str_health_sliding", """, w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * i) MINUTE AS start FROM calls, (SELECT unnest(range(4)) AS i)) SELECT CAST(start AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, quantile_disc(total_ms, 0.95) AS p95 FROM w GROUP BY ALL""", ("calls",))
 def str_health_sliding(src):
     return health(src, F.window("ts", "1 hour", "15 minutes"))
 
