@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from armparity.llm import line_dedup, ngram_join, suffix_dedup
@@ -131,21 +133,53 @@ def test_substrings_against_brute_force(docs_of, group):
     assert suffix_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
-def test_long_texts_are_cut_into_overlapping_slices(docs_of, monkeypatch):
+def test_slices_of_a_long_text_leave_no_window_out(monkeypatch):
+    text = "".join(random.Random(12).choices("abcdefgh", k=7000)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * 450, text], pa.binary())], names=["data"])
+
+    def windows():
+        found = {}
+        for data, ends, rows in suffix_dedup._groups(batch, 0):
+            starts = [0, *ends[:-1]]
+            for p, lo, hi, _ in zip(*suffix_dedup.anchors(np.frombuffer(data, np.uint8), ends)):
+                k = int(np.searchsorted(ends, p, side="right"))
+                row, at = rows[k]
+                for w in range(int(lo), int(hi) + 1):
+                    key = (row, w + at - int(starts[k]))
+                    assert key not in found
+                    found[key] = int(p) + at - int(starts[k])
+        return found
+
+    whole = windows()
     monkeypatch.setattr(suffix_dedup, "SLICE", 1500)
-    rng = random.Random(12)
-    a = "".join(rng.choices("abcdefgh", k=7000))
-    rows = [(1, a), (2, "x" * 10 + a[1300:3900]), (3, a[5000:5600])]
-    want = sorted((i, *x) for (i, _), x in zip(rows, brute_spans([t.encode() for _, t in rows])))
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_substrings(docs_of(rows)).collect())
-    assert got == want
+    assert windows() == whole and len(whole) == 7000 - 399 + 51
+
+
+def test_pairs_and_windows_say_the_same(monkeypatch):
+    rng = random.Random(13)
+    text = lambda n: bytes(rng.choices(b"abcd", k=n))
+    core = text(900)
+    for _ in range(20):
+        chunks, places = [], []
+        while len(chunks) < rng.randint(2, 12):
+            low, high = rng.randint(0, 300), rng.randint(600, 900)
+            before, after = text(rng.choice([0, 40])), text(rng.choice([0, 30]))
+            chunk = before + core[low:high] + after
+            if len(chunk) >= 400 and chunk not in chunks and 400 - low + len(before) + 128 <= len(chunk):
+                chunks.append(chunk)
+                places.append(400 - low + len(before))
+        every = []
+        for most in (48, 1):
+            monkeypatch.setattr(suffix_dedup, "PAIRS", most)
+            every.append(suffix_dedup.equal_windows(chunks, places))
+        # the window loop looks only at windows that hold the anchor
+        held = [[(max(a, 0), min(b, p)) for a, b in runs if max(a, 0) <= min(b, p)] for runs, p in zip(every[0], places)]
+        assert held == every[1]
 
 
 def test_suffix_order_and_collisions(monkeypatch):
     parts = [b"abc", b"ab", b"abd", b"", b"zz"]
     order = suffix_dedup._Sorted(parts)
     assert sorted(range(5), key=lambda k: order.rank[k]) == sorted(range(5), key=lambda k: parts[k])
-    import numpy as np
-
     monkeypatch.setattr(suffix_dedup, "_LETTERS", np.ones(256, np.uint64))  # every hash of a length collides
     assert suffix_dedup._Sorted([b"abc", b"abd"]).extension(0, 1) == 2

@@ -89,7 +89,8 @@ def test_a_text_in_parts_scores_like_the_whole():
     s = context_mixing.Settings(slots=10, segment=8, block=4)
     alphabet = context_mixing.Alphabet(["a", "b", "c"], np.array([5, 3, 1]), 2, 4, np.zeros(257))
     mixer = context_mixing.Mixer(np.random.default_rng(2).integers(0, 9, (context_mixing.CONTEXTS, 2 << s.slots)).astype(float))
-    symbols = alphabet.symbols(list("abcabcxaabbccyab"))
+    symbols, spelled = alphabet.symbols(list("abcabcxaabbccyab"))
+    assert spelled == ["x", "y"]
     whole = mixer.score(symbols, 0, [(0, len(symbols), 0)], alphabet, s)[0]
     parts = sum(mixer.score(symbols[max(0, low - 2) : low + 16], min(low, 2), [(0, min(16, len(symbols) - low), low)], alphabet, s)[0] for low in range(0, len(symbols), 16))
     assert parts == pytest.approx(whole, rel=1e-5)
