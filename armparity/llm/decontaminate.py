@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armparity.llm.common import ASCII_LOWER, checkpointed, fingerprint, fresh, summed
+from armparity.llm.common import checkpointed, fingerprint, fresh, summed
 
 _EDGES = ".,;:!?()[]{}<>\"'*%$&#-_/\\«»“”‘’…¿¡"
 
@@ -42,9 +42,14 @@ class Settings:
     block_chars: int = 16_000_000  #: characters of benchmark text searched at a time
 
 
+def _lower(text: str | None) -> str:
+    """A-Z lower-cased; bytes do that faster than a table of characters."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _words(text: str | None) -> list[str]:
     """Words without the punctuation at their edges, in lower case (A-Z)."""
-    return [w for w in (x.strip(_EDGES) for x in (text or "").translate(ASCII_LOWER).split()) if w]
+    return [w for w in (x.strip(_EDGES) for x in _lower(text).split()) if w]
 
 
 def lcs_length(item: dict[int, int], size: int, window: list[int]) -> int:
@@ -69,9 +74,7 @@ def _coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
         for batch in batches:
             codes = []
             for value in batch.column(3):
-                text = value.as_py() or ""
-                text = text.lower() if text.isascii() else text.translate(ASCII_LOWER)
-                words = [x.strip(_EDGES) for x in text.split()]
+                words = [x.strip(_EDGES) for x in _lower(value.as_py()).split()]
                 codes.append(np.fromiter([get(w, 0) for w in words if w], np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.binary())], names=["doc_id", "k1", "k2", "codes"])
 
