@@ -31,6 +31,9 @@ SLICE = 1 << 21  #: bytes hashed at a time
 #: Distinct chunks of one anchor sorted in a task; the windows of larger groups are counted by their hashes instead.
 GROUP = 2048
 
+#: Chunks of one anchor that are compared pair by pair from their sorted order; more go through the windows one by one.
+PAIRS = 48
+
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.Generator(np.random.PCG64(400)).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -174,6 +177,14 @@ class _Sorted:
         p, q = self.parts[x], self.parts[y]
         return p[n] - q[n] if n < len(p) and n < len(q) else len(p) - len(q)
 
+    def pairs(self) -> np.ndarray:
+        """Common extension of every two strings: the least of the neighbours' between them in suffix order."""
+        n = len(self.parts)
+        out = np.zeros((n, n), np.int64)
+        for k in range(n - 1):
+            out[k, k + 1 :] = np.minimum.accumulate(self.common[k:])
+        return np.maximum(out, out.T)[np.ix_(self.rank, self.rank)]
+
     def classes(self, length: int) -> np.ndarray:
         """A number per string, equal for those that share their first ``length`` bytes."""
         return np.r_[0, np.cumsum(self.common < length)][self.rank]
@@ -188,6 +199,19 @@ def equal_windows(chunks: list[bytes], places: list[int], length: int = LENGTH)
     left = _Sorted([c[:p][::-1] for c, p in zip(chunks, places)])
     at, sizes = np.array(places), np.array([len(c) for c in chunks])
     found = [np.zeros(n - length + 1, bool) for n in sizes]
+    if len(chunks) <= PAIRS:
+        # of two chunks the equal windows are one run, given by how far they agree on either side of the anchor
+        ahead, behind = right.pairs(), left.pairs()
+        for x in range(len(chunks)):
+            for y in range(x):
+                for k, other in ((x, y), (y, x)):
+                    lo = max(int(at[k] - behind[x, y]), 0)
+                    hi = min(int(at[k] + ahead[x, y]), int(sizes[k])) - length
+                    # a window counts where both chunks have it
+                    lo, hi = max(lo, int(at[k] - at[other])), min(hi, int(at[k] - at[other] + sizes[other] - length))
+                    if lo <= hi:
+                        found[k][lo : hi + 1] = True
+        return [_runs(f) for f in found]
     # a window that starts ``back`` before the anchor is the last ``back`` bytes up to it and the first ``length - back`` from it
     first, last = at - (sizes - length), at
     for back in range(max(0, int(first.min())), int(last.max()) + 1):
