@@ -58,15 +58,8 @@ def lowered(text: Column) -> Column:
 
 def words_of(text: str | None) -> list[str]:
     """Words of a text: maximal runs without ASCII white space, A-Z lower-cased."""
-    if not text:
-        return []
-    text = text.translate(ASCII_LOWER) if not text.isascii() else text.lower()
-    # str.split() also cuts at other Unicode blanks, so it serves only where there are none
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    for c in BLANKS[1:]:
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+    # bytes know just the ASCII letters and blanks, and UTF-8 never hides one in another character
+    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
 
 
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
