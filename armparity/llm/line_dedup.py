@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment: common blocks go from the later of two overlapping documents.
 
-Every line is hashed, and a line that several documents have pairs each later one with
-the first that has it: one partner per line of a document, however many hold the line,
-so no group is expanded into pairs and no frequent line needs a cap. In each pair the
-shared lines are aligned by patience diff. Its anchors are the rare lines, those that
+Every line is hashed; lines that one document alone has are left out from there on. A
+document is paired with the first holder of each of its lines, of each further copy of a
+line, and of each run of 2, 4, 8, ... of its shared lines and of all of them. So it has
+a number of partners that depends on its own lines only, however many hold a line: no
+group is expanded into pairs and no frequent line needs a cap. In each pair the lines
+found in common are aligned by patience diff. Its anchors are the rare lines, those that
 occur once on either side; their longest increasing run is kept, and repeated lines are
 matched in order between anchors. Runs of aligned lines form blocks, and blocks that are
 long enough are deleted from the later document.
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armparity.llm.common import BLANKS, fingerprint, fresh
+from armparity.llm.common import BLANKS, checkpointed, fingerprint, fresh
 
 #: A block of fewer words is no sign of copying and stays.
 LEAST_WORDS = 5
@@ -122,56 +124,125 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, words int, at array<struct<p:int,o:int>>")
 
 
-def _align(pairs: DataFrame) -> DataFrame:
-    """Aligned lines of the later document of each pair, from the lines the two share."""
+_KEYS = "g1 bigint, g2 bigint, doc_id bigint, k1 bigint, k2 bigint, size int, at array<int>"
+
+
+def _sequence(lines: list[dict]) -> list[tuple[int, int, int, tuple[int, int]]]:
+    """Position, ordinal, words and hash of the shared lines of a document, in order."""
+    return sorted((x["p"], x["o"], line["words"], (line["h1"], line["h2"])) for line in lines for x in line["at"])
+
+
+def _keys_of(hashes: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Keys by which a document finds partners: hash, lines it stands for, and where these start in ``hashes``.
+
+    A line has one key with all its places, and one with its k-th place for each further
+    copy. A run of 2, 4, 8, ... lines, and the run of all, has one for each copy.
+    """
+    def keys(level: list[bytes], size: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        places: dict[bytes, list[int]] = {}
+        for k, h in enumerate(level):
+            places.setdefault(h, []).append(k)
+        for h, at in places.items():
+            for k, place in enumerate(at):
+                d = h if size == 1 and not k else xxhash.xxh3_128_digest(h + size.to_bytes(8) + k.to_bytes(8))
+                yield int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True), size, at if size == 1 and not k else [place]
+
+    level = [a.to_bytes(8, signed=True) + b.to_bytes(8, signed=True) for a, b in hashes]
+    yield from keys(level, 1)
+    whole = xxhash.xxh3_128_digest(b"".join(level))
+    size = 1
+    while 2 * size <= len(hashes):
+        level = [xxhash.xxh3_128_digest(a + b) for a, b in zip(level, level[size:])]
+        size *= 2
+        yield from keys(level, size)
+    if size < len(hashes):
+        yield from keys([whole], len(hashes))
+
+
+def _keys(shared: DataFrame) -> DataFrame:
+    """The keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for shared in batch.column(2).to_pylist():
-                ours = sorted((x["p"], i) for i, s in enumerate(shared) for x in s["at"])
-                theirs = sorted((x["p"], i) for i, s in enumerate(shared) for x in s["first_at"])
-                details = {x["p"]: (x["o"], s["words"]) for s in shared for x in s["at"]}
-                found.append([{"p": p, "o": details[p][0], "w": details[p][1]} for p in patience(theirs, ours)])
-            kind = pa.list_(pa.struct([("p", pa.int32()), ("o", pa.int32()), ("w", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["k1", "k2", "lines"])
-
-    return pairs.select("k1", "k2", "shared").mapInArrow(run, "k1 bigint, k2 bigint, lines array<struct<p:int,o:int,w:int>>")
+            for row in range(batch.num_rows):
+                hashes = [h for _, _, _, h in _sequence(batch.column(3)[row].as_py())]
+                found = list(_keys_of(hashes))
+                for low in range(0, len(found), 1 << 14):
+                    g1, g2, size, at = zip(*found[low : low + (1 << 14)])
+                    own = [pa.array([batch.column(c)[row].as_py()] * len(g1), pa.int64()) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), *own, pa.array(size, pa.int32()), pa.array(at, pa.list_(pa.int32()))],
+                        names=["g1", "g2", "doc_id", "k1", "k2", "size", "at"])
+
+    return shared.select("doc_id", "k1", "k2", "lines").mapInArrow(run, _KEYS)
+
+
+def _aligned(hashes: list[tuple[int, int]], found: list[dict]) -> set[int]:
+    """Places in ``hashes`` that align with a partner, from the keys that each partner has."""
+    names: dict[tuple[int, int], int] = {}
+    ids = [names.setdefault(h, len(names)) for h in hashes]
+    partners: dict[tuple[int, int], list[dict]] = {}
+    for x in found:
+        partners.setdefault((x["a1"], x["a2"]), []).append(x)
+    out: set[int] = set()
+    for keys in partners.values():
+        ours: set[int] = set()
+        theirs: dict[int, int] = {}
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for x in keys:
+            if len(x["at"]) > 1 or len(x["first_at"]) > 1:
+                ours.update(x["at"])
+                theirs.update((k, ids[x["at"][0]]) for k in x["first_at"])
+            else:
+                a, b = x["at"][0], x["first_at"][0]
+                runs.setdefault(b - a, []).append((a, a + x["size"]))
+        for ahead, parts in runs.items():
+            done = 0
+            for low, high in sorted(parts):  # runs overlap; each place is taken once
+                for k in range(max(low, done), high):
+                    ours.add(k)
+                    theirs[k + ahead] = ids[k]
+                done = max(done, high)
+        out.update(patience(sorted(theirs.items()), [(k, ids[k]) for k in sorted(ours)]))
+    return out
 
 
-def _blocks(lines: DataFrame, least_words: int) -> DataFrame:
+def _blocks(found: DataFrame, least_words: int) -> DataFrame:
     """Ranges of positions that go from each document: runs of aligned lines with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.column(2).to_pylist():
+            for lines, keys in zip(batch.column(2), batch.column(3)):
+                sequence = _sequence(lines.as_py())
                 ranges, block, words = [], [], 0
-                for x in [*sorted(row, key=lambda x: x["p"]), None]:
-                    if block and (x is None or x["o"] != block[-1]["o"] + 1):
+                for k in [*sorted(_aligned([h for _, _, _, h in sequence], keys.as_py())), None]:
+                    x = None if k is None else sequence[k]
+                    if block and (x is None or x[1] != block[-1][1] + 1):
                         if words >= least_words:
-                            ranges.append({"a": block[0]["p"], "b": block[-1]["p"]})
+                            ranges.append({"a": block[0][0], "b": block[-1][0]})
                         block, words = [], 0
                     if x is not None:
                         block.append(x)
-                        words += x["w"]
+                        words += x[2]
                 out.append(ranges)
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["k1", "k2", "ranges"])
 
-    return lines.mapInArrow(run, "k1 bigint, k2 bigint, ranges array<struct<a:int,b:int>>").filter(F.size("ranges") > 0)
+    return found.mapInArrow(run, "k1 bigint, k2 bigint, ranges array<struct<a:int,b:int>>").filter(F.size("ranges") > 0)
 
 
 def duplicate_blocks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``k1``, ``k2`` (fingerprint of id and text) and ``ranges`` of line positions, for each document that loses lines."""
     occ = _occurrences(docs)
-    first = (occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "k1", "k2", "at")).alias("first"), F.max("doc_id").alias("last"))
-             .filter("first.doc_id < last").select("h1", "h2", "first"))
-    later = occ.join(first, ["h1", "h2"]).filter("doc_id > first.doc_id")
-    shared = F.struct("h1", "h2", "words", "at", F.col("first.at").alias("first_at"))
-    pairs = later.groupBy("k1", "k2", F.col("first.k1").alias("a1"), F.col("first.k2").alias("a2")).agg(F.collect_set(shared).alias("shared"))
-    lines = _align(pairs).groupBy("k1", "k2").agg(F.flatten(F.collect_list("lines")).alias("lines"))
-    return _blocks(lines, least_words)
+    several = occ.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h1", "h2")
+    shared = checkpointed(occ.join(several, ["h1", "h2"]).groupBy("doc_id", "k1", "k2").agg(F.collect_set(F.struct("h1", "h2", "words", "at")).alias("lines")))
+    keys = _keys(shared)
+    first = (keys.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "k1", "k2", "at")).alias("first"), F.max("doc_id").alias("last"))
+             .filter("first.doc_id < last").select("g1", "g2", "first"))
+    match = F.struct("size", "at", F.col("first.k1").alias("a1"), F.col("first.k2").alias("a2"), F.col("first.at").alias("first_at"))
+    found = keys.join(first, ["g1", "g2"]).filter("doc_id > first.doc_id").groupBy("k1", "k2").agg(F.collect_list(match).alias("found"))
+    return _blocks(shared.select("k1", "k2", "lines").join(found, ["k1", "k2"]), least_words)
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, count: str | None = None) -> DataFrame:

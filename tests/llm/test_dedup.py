@@ -49,6 +49,31 @@ def test_lines_against_brute_force(docs_of):
                 assert out[i] == [line for line in lines if first[line] == i]
 
 
+def test_copies_whose_lines_have_other_first_holders(docs_of):
+    many = [f"{k} is one of a hundred lines here" for k in range(100)]
+    odd, twice = [f"odd {line}" for line in LINES], "this line is there several times over"
+    rows = [(1, many[::-1]), (2, many), (3, many), (4, ["own words before the block start", *many[20:52], "own words behind the block end"]),
+            (5, [odd[1], odd[0]]), (6, odd[:2]), (7, odd[:2]), (8, odd[1::-1]), (9, [twice]), (10, [twice, odd[9], twice, twice]), (11, [twice, twice, twice, odd[10]])]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs_of([(i, "\n".join(t)) for i, t in rows])).collect()}
+    assert out[1] == "\n".join(many[::-1]) and len(out[2].split("\n")) == 99  # in another order only one line can align
+    assert out[3] == "" and out[4] == "own words before the block start\nown words behind the block end"
+    assert out[6] in odd[:2] and out[7] == "" and out[8] == ""
+    assert out[10].split("\n").count(twice) == 2 and out[11] == odd[10]
+
+
+def test_copies_in_crossing_order_against_brute_force(docs_of):
+    rng = random.Random(21)
+    rows = []
+    for i in range(80):
+        t = list(rows[rng.randrange(i)][1]) if i % 3 == 2 else rng.choices(LINES[:12], k=rng.randint(2, 9))
+        rows.append((i, t))
+    out = {r.doc_id: r.text.split("\n") if r.text else [] for r in line_dedup.dedup_lines(docs_of([(i, "\n".join(t)) for i, t in rows])).collect()}
+    for i, t in rows:
+        assert all(line in out[i] for line in t if not any(line in u for _, u in rows[:i]))  # nothing of its own goes
+        if any(t == u for _, u in rows[:i]):
+            assert out[i] == []  # a copy of any earlier document goes as a whole
+
+
 def sets(text):
     w = words_of(text)
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
