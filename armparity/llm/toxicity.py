@@ -3,8 +3,9 @@
 P(grade >= k) = sigmoid(w . x - t_k): the weights are shared by all thresholds, the
 thresholds are ordered, and the sum of the probabilities is the expected severity.
 Features are the words of a text and the first letters of its longer words, present or
-not. They are screened by a chi-square count over the labelled texts; the fit then
-takes a bounded sample of labelled rows (:class:`Settings`).
+not. They are screened by a chi-square count over all labelled texts; the fit then
+takes a bounded sample of these (:class:`Settings`), with some texts of every feature
+that was chosen.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armparity.llm.common import columns_of
+from armparity.llm.common import checkpointed, columns_of, fingerprint
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -29,9 +30,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Settings:
     """Bounds and parameters of a fit."""
 
-    per_class: int = 4000  #: labelled rows of each class that the fit takes, those lowest by hash
+    per_class: int = 4000  #: labelled texts of each class that the fit takes, those lowest by hash
     features: int = 3000  #: features kept by the screening
-    least_docs: int = 5  #: texts of the sample a feature must be in
+    least_docs: int = 5  #: labelled texts a feature must be in; the fit takes as many of each feature
     least_chi2: float = 30.0
     grades: int = 4  #: 0 clean, then rising severity
     decay: float = 2e-5  #: ridge on the weights
@@ -58,56 +59,90 @@ def features(text: str | None) -> set[str]:
     return words.union(*({"^" + w[:4], "^" + w[:5]} for w in words if len(w) > 5))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Texts of the labelled rows taken for the fit: ``toxic``, ``text``.
+_KEY = ["doc_id", "h1", "h2"]
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    h1, h2 = fingerprint(F.col("text"))
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All labelled texts without the text: ``h1``, ``h2`` by which they are ordered, ``toxic``, and the lowest ``doc_id``.
 
     A document labelled more than once counts once, and so does a text that several
     documents have: as toxic if any label says so.
     """
     marked = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    taken = [marked.filter(F.col("toxic") == y).orderBy(*order).limit(s.per_class) for y in (0, 1)]
-    ids = taken[0].unionByName(taken[1])
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     # copies of one text are one observation, else their chance words look like signs
-    return texts.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+    rows = _hashed(docs).select(*_KEY).join(marked, "doc_id")
+    return checkpointed(rows.groupBy("h1", "h2").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")))
+
+
+def _rows(docs: DataFrame, labelled: DataFrame, place: dict[str, int], s: Settings) -> list[tuple[int, list[int]]]:
+    """Class and features of the texts that the fit takes: the lowest of each class, and ``least_docs`` of every feature too rare among them."""
+    taken = [labelled.filter(F.col("toxic") == y).orderBy("h1", "h2").limit(s.per_class) for y in (0, 1)]
+    ids = checkpointed(taken[0].unionByName(taken[1]))
+
+    def encode(text: str | None) -> list[int]:
+        return sorted(place[f] for f in features(text) if f in place)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["y", "x"])
+
+    texts = _hashed(docs).join(F.broadcast(ids), _KEY).dropDuplicates(_KEY)
+    rows = [(r.y, r.x) for r in texts.select("toxic", "text").mapInArrow(encoded, "y int, x array<int>").collect()]
+    held = Counter(k for _, x in rows for k in x)
+    rare = {k for k in place.values() if held[k] < s.least_docs}
+    if rare:
+
+        def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [encode(t.as_py()) for t in batch.column(1)]
+                kept = [k for k, x in enumerate(found) if not rare.isdisjoint(x)]
+                own = [batch.column(c).take(pa.array(kept, pa.int32())) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([found[k] for k in kept], pa.list_(pa.int32()))], names=[*_KEY, "x"])
+
+        hashed = _hashed(docs)
+        more = (hashed.mapInArrow(holders, f"doc_id {dict(hashed.dtypes)['doc_id']}, h1 bigint, h2 bigint, x array<int>")
+                .join(labelled.join(F.broadcast(ids), ["h1", "h2"], "left_anti"), _KEY).dropDuplicates(_KEY))
+        of = more.select("h1", "h2", "toxic", "x", F.explode("x").alias("f")).filter(F.col("f").isin(*rare))
+        # Spark applies the rank limit before the shuffle as well
+        rank = F.row_number().over(Window.partitionBy("f").orderBy("h1", "h2"))
+        more = of.withColumn("rank", rank).filter(F.col("rank") <= s.least_docs).dropDuplicates(["h1", "h2"]).withColumnRenamed("toxic", "y")
+        rows += [(r.y, r.x) for r in more.select("y", "x").collect()]
+    return sorted(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model | None:
     """The model, or ``None`` where either class has no labelled text (then nothing is judged toxic)."""
-    sample = _sample(docs, labels, s)
+    labelled = _labelled(docs, labels)
+    total = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if len(total) < 2:
+        return None
+    n0, n1 = float(total[0]), float(total[1])
+    texts = _hashed(docs).join(labelled.hint("merge"), _KEY).dropDuplicates(_KEY)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 seen[y].update(features(t.as_py()))
-                seen[y][""] += 1
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), *(pa.array([seen[y][n] for n in names], pa.int64()) for y in (0, 1))], names=["f", "n0", "n1"])
 
-    counts = sample.mapInArrow(counted, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    total = counts.filter("f = ''").collect()
-    if not total or not total[0].n0 or not total[0].n1:
-        return None
-    n0, n1 = float(total[0].n0), float(total[0].n1)
+    counts = texts.select("toxic", "text").mapInArrow(counted, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1"), F.col("n0")
     n = n0 + n1
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n0 * n1 * (a + b) * (n - a - b))
-    chosen = (counts.filter((F.col("f") != "") & (a + b >= s.least_docs) & (a + b < n)).withColumn("chi2", chi2)
+    chosen = (counts.filter((a + b >= s.least_docs) & (a + b < n)).withColumn("chi2", chi2)
               .filter(F.col("chi2") >= s.least_chi2).orderBy(F.desc("chi2"), "f").limit(s.features).collect())
     names = sorted(r.f for r in chosen)
     harsh = {r.f for r in chosen if r.n1 * n0 > 8 * r.n0 * n1}
-    place = {f: i for i, f in enumerate(names)}
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [sorted(place[f] for f in features(t.as_py()) if f in place) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["y", "x"])
-
-    rows = sorted((r.y, r.x) for r in sample.mapInArrow(encoded, "y int, x array<int>").collect())
+    rows = _rows(docs, labelled, {f: i for i, f in enumerate(names)}, s)
     return _regress(rows, names, np.array([f in harsh for f in names]), s)
 
 

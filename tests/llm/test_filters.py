@@ -37,6 +37,17 @@ def test_toxic_texts_are_found_and_graded(labelled, docs_of, spark):
     assert kept.columns == probe.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if not r.toxic}
 
 
+def test_a_term_too_rare_in_the_sample_is_a_feature(docs_of, spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join([*rng.choices([f"w{k}" for k in range(40)], k=20), *(["nasty"] if i % 4 == 0 else [])])) for i in range(800)]
+    rows += [(1000 + i, f"{t} grim") for i, (_, t) in enumerate(rows[1:80:4])]  # their only sign
+    labels = spark.createDataFrame([(i, int("nasty" in t or "grim" in t)) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels, toxicity.Settings(per_class=20))
+    assert model.weights["grim"] > 0 and model.weights["nasty"] > 0
+    got = {r.doc_id: r.severity for r in toxicity.severity(docs_of([(1, "w1 w2"), (2, "w1 w2 grim")]), model).collect()}
+    assert got[2] > got[1]
+
+
 def test_without_labels_nothing_is_toxic(labelled):
     docs, labels = labelled
     assert toxicity.fit(docs, labels.filter("toxic = 0")) is None
