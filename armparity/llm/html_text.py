@@ -2,7 +2,8 @@
 
 Pass one labels each block by itself: what its place says (menus, forms, adverts), link
 density, length and stop-word density make it good or bad, or leave it undecided. Pass
-two gives undecided blocks the label of their nearest decided neighbours.
+two gives undecided blocks the label of their nearest decided neighbours. An article
+only shifts what a block in it needs; blocks inside and outside are judged by the same signs.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ class Settings:
     stop_low: float = 0.15
     stop_high: float = 0.25
     most_links: float = 0.35
+    article_links: float = 0.6  #: share of links above which a block in an article is bad
 
 
 GOOD, BAD, OPEN = 1, 0, -1
@@ -74,11 +76,11 @@ def _marked(attrs: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """Blocks in page order: text with single blanks, characters of it in links, place (BAD aside, GOOD in an article, OPEN)."""
-    found: list[tuple[str, int, int]] = []
+def blocks(page: str) -> list[tuple[str, int, int, int]]:
+    """Blocks in page order: text with single blanks, characters of it in links, place (BAD aside, GOOD in an article, OPEN), number of its article (0 outside)."""
+    found: list[tuple[str, int, int, int]] = []
     open_tags: list[tuple[str, bool]] = []
-    aside = inside = links = 0
+    aside = inside = links = articles = 0
     parts: list[str] = []
     linked: list[str] = []
 
@@ -86,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, len(" ".join(html.unescape("".join(linked)).split())), BAD if aside else GOOD if inside else OPEN))
+                found.append((text, len(" ".join(html.unescape("".join(linked)).split())), BAD if aside else GOOD if inside else OPEN, articles if inside else 0))
             parts.clear()
             linked.clear()
 
@@ -132,26 +134,31 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         bad = tag in _ASIDE or tag == "header" and not inside or tag not in ("html", "body") and bool(attrs) and _marked(attrs)
         open_tags.append((tag, bad))
         aside += bad
+        articles += tag in _MAIN and not inside
         inside += tag in _MAIN
         links += tag == "a"
     flush()
     return found
 
 
-def _alone(text: str, linked: int, place: int, has_article: bool, s: Settings) -> int:
+def _alone(text: str, linked: int, place: int, s: Settings) -> int:
     """Label of a block by itself."""
-    if place == BAD or has_article and place == OPEN:
+    if place == BAD:
         return BAD
     density = linked / len(text)
-    if place == OPEN and density > s.most_links:
+    if density > (s.article_links if place == GOOD else s.most_links):
         return BAD
     if len(text) < s.short:
         return OPEN
     words = _WORD.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density <= s.most_links and (stops >= s.stop_high or stops >= s.stop_low and len(text) >= s.long or place == GOOD and len(text) >= s.long):
+    if place == GOOD:
+        if density <= s.most_links:
+            return GOOD if stops >= s.stop_low else OPEN
+        return OPEN if stops >= s.stop_low else BAD
+    if stops >= s.stop_high or stops >= s.stop_low and len(text) >= s.long:
         return GOOD
-    return OPEN if place == GOOD or stops >= s.stop_low else BAD
+    return OPEN if stops >= s.stop_low else BAD
 
 
 def main_text(page: str | None, s: Settings = Settings()) -> str:
@@ -159,38 +166,39 @@ def main_text(page: str | None, s: Settings = Settings()) -> str:
 
     An undecided block takes the label of the nearest decided one on either side; where
     the two differ, the nearer by characters between, of equals the good one. Blocks
-    inside an article ask within it only, and are good if nothing there is decided;
-    elsewhere a block no neighbour decides is bad.
+    inside an article ask within it only, and what stands aside there is not asked; where
+    nothing is decided on one side of them, they are good. Blocks outside ask each other
+    and what stands aside; one that no neighbour decides is bad.
     """
     if not page:
         return ""
     found = blocks(page)
-    has_article = any(place == GOOD for _, _, place in found)
-    labels = [_alone(text, linked, place, has_article, s) for text, linked, place in found]
+    labels = [_alone(text, linked, place, s) for text, linked, place, _ in found]
     ends, total = [], 0
-    for text, _, _ in found:
+    for text, *_ in found:
         total += len(text)
         ends.append(total)
     near: list[list[int | None]] = []
     for order in (range(len(found)), range(len(found) - 1, -1, -1)):
         seen: list[int | None] = [None] * len(found)
-        last = None
+        last: dict[int, int] = {}
         for k in order:
-            if found[k][2] == BAD or found[k][2] != (GOOD if has_article else OPEN):
-                if not has_article:
-                    last = k  # a menu or advert beside an open block is a decided neighbour
-            elif labels[k] != OPEN:
-                last = k
-            seen[k] = last
+            place, article = found[k][2:]
+            scope = article if place == GOOD else 0
+            if labels[k] != OPEN:
+                last[scope] = k  # a menu or advert beside an open block is a decided neighbour
+            seen[k] = last.get(scope)
         near.append(seen)
     out = []
-    for k, (text, _, place) in enumerate(found):
+    for k, (text, _, place, _) in enumerate(found):
         label = labels[k]
         if label == OPEN:
             before, after = near[0][k], near[1][k]
             sides = [x for x in (before, after) if x is not None]
-            if not sides:
-                label = GOOD if place == GOOD else BAD
+            if place == GOOD and len(sides) < 2:
+                label = GOOD
+            elif not sides:
+                label = BAD
             else:
                 between = {x: max(ends[x], ends[k]) - min(ends[x], ends[k]) - len(found[max(x, k)][0]) for x in sides}
                 label = labels[max(sides, key=lambda x: (-between[x], labels[x]))]

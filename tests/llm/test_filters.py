@@ -96,6 +96,16 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    (f"<nav>Menu</nav><article><h3><a href=/n>Next story</a></h3></article><div><h2>Title</h2><p>{LONG}</p><p>Short.</p></div><footer>us</footer>", f"Title {LONG} Short."),
+    (f"<article><h1>Head</h1><p>{LONG}</p><ul><li><a href=/a>One more</a></li><li>and</li><li><a href=/b>another one</a></li></ul></article>", f"Head {LONG}"),
+    (f"<article><p>{LONG}</p></article><div>All rights with us</div><div><a href=/x>Elsewhere</a></div>", LONG),
+    (f"<article><p>{LONG}</p></article><article><p>A second one</p></article>", f"{LONG} A second one"),
+])
+def test_an_article_does_not_decide_alone(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article>é 中</article>", "x"), (1, "u", "<article>é 中</article>", "x"), (None, None, None, "y"),
                                    (2, "v", "<article>" + "<p>word</p>" * 30_000, "z")], "page_id long, url string, html string, text string")
