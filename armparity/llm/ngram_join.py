@@ -3,9 +3,9 @@
 Each tree of the forest is a trie of MinHash signatures. A document matches others by
 its prefix in the trie; the prefix is shortened, from the full depth on, until the
 chance that two documents at the threshold share one in some tree reaches the target
-recall. That depth depends on the threshold and the number of trees only, so the level
-of the sorted trie where the ascent ends is a grouping by equal prefixes, which Spark
-does for all trees at once. Documents that meet form candidate groups; within a group
+recall. That depth depends on the threshold and the number of trees only, so it is set
+before any data is read and no trie is built: documents are grouped by equal prefixes of
+that depth (MinHash banding), which Spark does for all trees at once. Documents that meet form candidate groups; within a group
 every two texts are compared exactly, block against block, and counted where they are:
 no pairs are emitted.
 """
