@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armparity.llm import ann_forest, bpe, context_mixing, decontaminate, html_text, line_dedup, ngram_join, suffix_dedup, toxicity, url_filter
+from armparity.llm import (ann_forest, bpe, context_mixing, decontaminate, html_text, language_id, line_dedup, ngram_join, suffix_dedup, token_alignment,
+                           toxicity, turn_repair, url_filter)
 from armparity.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -71,6 +72,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -82,5 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_context_mixing": op9_context_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_language_id": op12_language_id,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES: dict[str, str] = {"op5_ngram_join": _OP5_SQL.strip()}
