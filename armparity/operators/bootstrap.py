@@ -190,40 +190,8 @@ def null_safe_on(by) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by], F.lit(True))
 
 
-def percentile_replicates(counts: DataFrame, by, value: str, q: float, resamples: int = RESAMPLES,
-                          seed: int = 20260801, chunk: int = 500) -> DataFrame:
-    """Bootstrap replicates of a percentile from value counts of a small domain (whole ms)."""
-    by = list(by)
-    chunks = -(-resamples // chunk)
-    spread = counts.withColumn("_chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1))))
-    out = T.StructType([counts.schema[c] for c in by] + [
-        T.StructField("replicate", T.LongType()), T.StructField("stat", T.DoubleType()), T.StructField("n", T.LongType())])
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(value)
-        c, x = pdf["_c"].to_numpy(np.int64), pdf[value].to_numpy(np.float64)
-        part, n = int(pdf["_chunk"].iloc[0]), int(c.sum())
-        size = 1 if part < 0 else min(chunk, resamples - part * chunk)
-        rng = np.random.default_rng(_mix(seed, _key(pdf[b].iloc[0] for b in by), max(part, 0)))
-        h = q * (n - 1)
-        lo, stats, step = int(np.floor(h)), [], max(1, 4_000_000 // len(c))
-        for i in range(0, size, step):
-            drawn = c.reshape(1, -1) if part < 0 else rng.multinomial(n, c / n, size=min(step, size - i))
-            cum = drawn.cumsum(axis=1)
-            a = x[(cum <= lo).sum(axis=1)]
-            b = x[(cum <= min(lo + 1, n - 1)).sum(axis=1)]
-            stats.append(a + (h - lo) * (b - a))
-        first = -1 if part < 0 else part * chunk
-        res = pd.DataFrame({"replicate": np.arange(size, dtype=np.int64) + first, "stat": np.concatenate(stats), "n": n})
-        for i, name in enumerate(by):
-            res.insert(i, name, pdf[name].iloc[0])
-        return res
-
-    return spread.groupBy(*by, "_chunk").applyInPandas(draw, out)
-
-
 def hash_percentile_replicates(df: DataFrame, by, key: str, value: str, q: float, resamples: int, seed: int = 20260801) -> DataFrame:
-    """The same in SQL only: weighted counts per (replicate, value), then a weighted percentile."""
+    """Percentiles by hash weights, in SQL only: weighted counts per (replicate, value), then a weighted percentile."""
     by = list(by)
     blocks = -(-resamples // 8)
     drawn = df.filter(F.col(value).isNotNull()).select(*by, key, value).withColumn("_block", F.explode(F.sequence(F.lit(-1), F.lit(blocks - 1))))

@@ -37,8 +37,10 @@ def latency_frame(stats: DataFrame, metrics: list[str], by=("task", "arm")) -> D
 def gate_table(evidence: DataFrame, checks: DataFrame, gates: DataFrame, prices_verified: Column, same_region: Column) -> DataFrame:
     """Segment x gate rows with bound, measured text, tested bound and result."""
     shown = render.estimate_text(F.col("point"), F.col("lo"), F.col("hi"), F.col("unit"))
+    paired = (F.col("unit") == "percentage_points") & F.col("point").isNotNull()
     cell = (
-        F.when(F.col("gate") == "cost_savings_pct", render.cost_cell(prices_verified, F.when(F.col("point").isNotNull(), shown)))
+        F.when(paired, render.paired_delta_text(shown, F.col("n"), F.col("dropped")))
+        .when(F.col("gate") == "cost_savings_pct", render.cost_cell(prices_verified, F.when(F.col("point").isNotNull(), shown)))
         .when(F.col("gate") == "latency_p95", render.latency_cell(F.when(F.col("point").isNotNull(), shown), same_region, F.lit("global")))
         .otherwise(shown))
     result = F.when(F.col("passed").isNull(), "not evaluated").when(F.col("passed"), "PASS").when(

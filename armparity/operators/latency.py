@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armparity.operators import bootstrap as B
+from armparity.operators import order_statistics as OS
 from armparity.operators import ranking as R
 
 
@@ -50,12 +51,20 @@ def disclosure(baseline_region: Column, candidate_region: Column, baseline_sourc
         .otherwise(F.concat(F.lit("Same region ("), baseline_region, F.lit(")"))))
 
 
-def probe_summary(calls: DataFrame, by, resamples: int = B.RESAMPLES) -> DataFrame:
+def p95_interval(calls: DataFrame, by, resamples: int = B.RESAMPLES, method: str = "order", key: str = "call_id") -> DataFrame:
+    """``n``, ``point``, ``lo``, ``hi`` of the 95th percentile per group: by drawn order statistics, or with ``hash`` weights as SQL can draw them."""
+    by = list(by)
+    if method == "hash":
+        return B.interval(B.hash_percentile_replicates(calls, by, key, "total_ms", 0.95, resamples), by, F.col("stat"))
+    return B.interval(OS.percentile_replicates(R.value_counts(calls, by, "total_ms"), by, "total_ms", 0.95, resamples), by, F.col("stat"))
+
+
+def probe_summary(calls: DataFrame, by, resamples: int = B.RESAMPLES, method: str = "order") -> DataFrame:
     """A probe's calls, percentiles and p95 interval; one observation has no interval."""
     by = list(by)
     stats = latency_stats(calls, by).join(
         calls.groupBy(*by).agg(F.count_if(F.col("status") == "ok").alias("calls_ok"), F.count_if(F.col("status") != "ok").alias("calls_error")), by)
-    ci = B.interval(B.percentile_replicates(R.value_counts(calls, by, "total_ms"), by, "total_ms", 0.95, resamples), by, F.col("stat"))
+    ci = p95_interval(calls, by, resamples, method)
     out = stats.join(ci.select(*by, "lo", "hi"), by, "left")
     few = F.col("n_total") < 2
     return out.withColumns({"lo": F.when(~few, F.col("lo")), "hi": F.when(~few, F.col("hi")),

@@ -7,7 +7,7 @@ from armparity.operators import latency as L
 from armparity.operators import metrics as M
 from armparity.operators import ranking as R
 from armparity.plans.q_metrics import SCORED
-from armparity.plans.q_stats import USD
+from armparity.plans.q_stats import P95_REPS, REPS, USD, duck_p95, duck_replicates
 from armparity.plans.registry import query
 from armparity.sources import registries as reg
 
@@ -25,11 +25,12 @@ def eco_call_cost(src):
     return E.call_cost(src.view("calls"), src.view("prices")).select("call_id", F.round("usd", 10).alias("usd"))
 
 
-@query("eco_savings", USD + """ SELECT c.task, count(p.item_id) AS n, count(*) - count(p.item_id) AS dropped, round(sum(base), 9) AS base_usd, round(sum(cand), 9) AS cand_usd, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point,
-  CASE WHEN count(p.item_id) < 2 THEN 'fewer than two paired items' END AS reason FROM (SELECT DISTINCT task, item_id FROM calls) c LEFT JOIN cost_pairs p USING (task, item_id) GROUP BY ALL""", _CP)
+@query("eco_savings", USD + duck_replicates("s", "cost_pairs", "task", "item_id", ["base", "cand"]) + """ SELECT e.*, lo, hi FROM (SELECT c.task, count(p.item_id) AS n, count(*) - count(p.item_id) AS dropped, round(sum(base), 9) AS base_usd, round(sum(cand), 9) AS cand_usd, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point,
+  CASE WHEN count(p.item_id) < 2 THEN 'fewer than two paired items' END AS reason FROM (SELECT DISTINCT task, item_id FROM calls) c LEFT JOIN cost_pairs p USING (task, item_id) GROUP BY ALL) e
+  LEFT JOIN (SELECT task, round(quantile_cont(100 * (s_base - s_cand) / s_base, 0.025), 7) AS lo, round(quantile_cont(100 * (s_base - s_cand) / s_base, 0.975), 7) AS hi FROM s_r WHERE s_base > 0 GROUP BY ALL) USING (task)""", _CP)
 def eco_savings(src):
-    est = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",))
-    return est.select("task", "n", "dropped", F.round("base_usd", 9).alias("base_usd"), F.round("cand_usd", 9).alias("cand_usd"), F.round("point", 7).alias("point"), "reason")
+    est = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",), resamples=REPS, method="hash")
+    return est.select("task", "n", "dropped", *[F.round(c, 9).alias(c) for c in ("base_usd", "cand_usd")], *[F.round(c, 7).alias(c) for c in ("point", "lo", "hi")], "reason")
 
 
 SEG = """, seg AS (SELECT c_mktsegment AS segment, task, count(*) / count(DISTINCT CAST(ts AS DATE)) AS calls_per_day, avg(input_tokens) AS avg_in, avg(output_tokens) AS avg_out FROM calls JOIN customer ON user_id = c_custkey GROUP BY ALL)"""
@@ -242,10 +243,11 @@ def lat_disclosure(src):
     return r.join(nxt, "model_id").select("model_id", L.disclosure(F.col("region"), F.col("candidate_region"), F.col("region_source")).alias("disclosure"))
 
 
-@query("lat_probe_summary", """ SELECT model, region, count(*) AS n_calls, count(*) FILTER (WHERE status = 'ok') AS calls_ok, round(quantile_cont(total_ms, 0.5), 6) AS total_p50, round(quantile_cont(total_ms, 0.95), 6) AS total_p95, CASE WHEN count(total_ms) < 2 THEN 'fewer than two timings' END AS reason FROM calls GROUP BY ALL""", ("calls",))
+@query("lat_probe_summary", duck_p95("model, region", "true") + """ SELECT s.*, lo, hi FROM (SELECT model, region, count(*) AS n_calls, count(*) FILTER (WHERE status = 'ok') AS calls_ok, round(quantile_cont(total_ms, 0.5), 6) AS total_p50, round(quantile_cont(total_ms, 0.95), 6) AS total_p95, CASE WHEN count(total_ms) < 2 THEN 'fewer than two timings' END AS reason FROM calls GROUP BY ALL) s
+  LEFT JOIN (SELECT model, region, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi FROM p95_r GROUP BY ALL) USING (model, region)""", ("calls",))
 def lat_probe_summary(src):
-    out = L.probe_summary(src.view("calls"), ("model", "region"))
-    return rounded(out.select("model", "region", "n_calls", "calls_ok", "total_p50", "total_p95", "reason"), "total_p50", "total_p95", digits=6)
+    out = L.probe_summary(src.view("calls"), ("model", "region"), P95_REPS, "hash")
+    return rounded(out.select("model", "region", "n_calls", "calls_ok", "total_p50", "total_p95", "lo", "hi", "reason"), "total_p50", "total_p95", "lo", "hi", digits=6)
 
 
 PRB = """, pb AS (SELECT user_id, CAST(ts AS DATE) AS d, task, min_by(region, call_id) FILTER (WHERE arm = 'baseline') AS br, min_by(CASE WHEN k % 4 = 0 THEN 'region-a' ELSE region END, call_id) FILTER (WHERE arm = 'candidate') AS cr, min_by(model, call_id) FILTER (WHERE arm = 'candidate') AS cm FROM calls GROUP BY ALL)"""

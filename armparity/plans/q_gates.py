@@ -7,13 +7,14 @@ from armparity.operators import bootstrap as B
 from armparity.operators import economics as E
 from armparity.operators import gates as G
 from armparity.operators import judge as J
+from armparity.operators import latency as L
 from armparity.operators import metrics as M
 from armparity.operators import ranking as R
 from armparity.operators import stats as S
 from armparity.plans.q_judge import FOLDED, scored_cells
 from armparity.plans.q_metrics import LONG, SCORED, _pairs
 from armparity.plans.q_shadow import AGREE, TSUM, shadow_calls, triage
-from armparity.plans.q_stats import REPS, SEED, USD, duck_replicates, inside
+from armparity.plans.q_stats import P95_REPS, REPS, SEED, USD, duck_replicates
 from armparity.plans.registry import query
 
 _EST = ("task", "gate", "n", "dropped", "point", "lo", "hi", "unit")
@@ -42,16 +43,17 @@ def mean_gates(src):
     return paired.unionByName(agreed)
 
 
-def estimates(src):
-    """Estimates of all six gates per task."""
-    means = S.paired_delta(mean_gates(src), ("task", "gate"))
+def estimates(src, resamples=B.RESAMPLES, p95_resamples=B.RESAMPLES, hashed=False):
+    """Estimates of all six gates per task; ``hashed`` draws as SQL can, for comparison with it."""
+    how = {"method": "hash"} if hashed else {}
+    means = S.paired_delta(src.once(mean_gates), ("task", "gate"), resamples=resamples, **how)
     pp = F.col("gate").endswith("_pp")
     means = means.withColumns({c: F.col(c) * F.when(pp, 100.0).otherwise(1.0) for c in ("point", "lo", "hi")}).withColumn(
         "unit", F.when(pp, "percentage_points").otherwise("fraction"))
-    cost = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",)).withColumns(
+    cost = E.savings(E.paired_costs(src.view("calls"), src.view("prices")), ("task",), resamples=resamples, **how).withColumns(
         {"gate": F.lit("cost_savings_pct"), "unit": F.lit("percent")})
     calls = src.view("calls").filter("status = 'ok' and arm = 'candidate'")
-    latency = B.interval(B.percentile_replicates(R.value_counts(calls, ("task",), "total_ms"), ("task",), "total_ms", 0.95), ("task",), F.col("stat")).withColumns(
+    latency = L.p95_interval(calls, ("task",), p95_resamples, **how).withColumns(
         {"gate": F.lit("latency_p95"), "unit": F.lit("ms"), "dropped": F.lit(0).cast("long")})
     return means.select(*_EST).unionByName(cost.select(*_EST)).unionByName(latency.select(*_EST))
 
@@ -82,7 +84,7 @@ EST = LONG + FOLDED + AGREE[len(SCORED):] + """, mg AS (
   UNION ALL SELECT task, 'latency_p95', n, 0, point, lo, hi, 'ms' FROM (SELECT task, count(total_ms) AS n, quantile_cont(total_ms, 0.95) AS point FROM calls WHERE status = 'ok' AND arm = 'candidate' AND total_ms IS NOT NULL GROUP BY ALL)
    JOIN (SELECT task, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM ly GROUP BY ALL) USING (task)),
  sent AS (SELECT task, quantile_cont(total_ms, 0.95) AS value FROM calls WHERE status = 'ok' AND arm = 'baseline' AND total_ms IS NOT NULL GROUP BY ALL),
- ev AS (SELECT s.task, g.gate, est.n, est.point, est.lo, est.hi, est.unit, CASE WHEN est.point IS NULL THEN CASE WHEN g.gate = 'groundedness_delta_pp' AND s.task = 'query_rewriter' THEN 'inapplicable: the task has no groundedness instrument' ELSE 'not measured' END END AS reason
+ ev AS (SELECT s.task, g.gate, est.n, est.dropped, est.point, est.lo, est.hi, est.unit, CASE WHEN est.point IS NULL THEN CASE WHEN g.gate = 'groundedness_delta_pp' AND s.task = 'query_rewriter' THEN 'inapplicable: the task has no groundedness instrument' ELSE 'not measured' END END AS reason
    FROM (SELECT DISTINCT task FROM calls) s CROSS JOIN gates g LEFT JOIN est ON est.task = s.task AND est.gate = g.gate),
  chk AS (SELECT ev.task, g.gate, g.direction, coalesce(TRY_CAST(g.bound AS DOUBLE), sent.value) AS bound_value, CASE WHEN g.direction = 'min' THEN lo ELSE hi END AS compared_value, g.alt, g.role, ev.point, ev.lo, ev.hi, ev.unit, ev.n
    FROM ev JOIN gates g USING (gate) LEFT JOIN sent ON sent.task = ev.task WHERE ev.lo IS NOT NULL),
@@ -93,17 +95,41 @@ ALT = EST + TSUM[TSUM.index(", cs AS"):].replace(CS := FOLDED[:FOLDED.index(", f
    coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE alt_passed), '') AS passed_by_alt, coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (WHERE NOT ok AND role = 'blocking'), '') AS blk, count(*) FILTER (WHERE NOT ok AND role <> 'quality') AS hard FROM st GROUP BY ALL)"""
 
 
+def hashed_estimates(src):
+    return estimates(src, REPS, P95_REPS, hashed=True)
+
+
 def evidence(src):
-    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(estimates), src.view("gates"))
+    """Evidence from draws that SQL can repeat."""
+    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(hashed_estimates), src.view("gates"))
 
 
 def checks(src):
     return G.check_gates(src.once(evidence), src.view("gates"), sentinels(src))
 
 
-@query("gate_evidence", EST + " SELECT task, gate, n, round(point, 6) AS point, lo <= point AND point <= hi AS inside, unit, reason FROM ev", _VIEWS)
+def drawn_evidence(src):
+    """Evidence from 10,000 replicates of each statistic."""
+    return G.build_evidence(src.view("calls").select("task").distinct(), src.once(estimates), src.view("gates"))
+
+
+def drawn_checks(src):
+    return G.check_gates(src.once(drawn_evidence), src.view("gates"), sentinels(src))
+
+
+def _six(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("gate_evidence", EST + " SELECT task, gate, n, dropped, round(point, 6) AS point, round(lo, 6) AS lo, round(hi, 6) AS hi, unit, reason FROM ev", _VIEWS)
 def gate_evidence(src):
-    return src.once(evidence).select("task", "gate", "n", F.round("point", 6).alias("point"), inside(), "unit", "reason")
+    return _six(src.once(evidence).select("task", "gate", "n", "dropped", "point", "lo", "hi", "unit", "reason"), "point", "lo", "hi")
+
+
+@query("gate_evidence_drawn", None)
+def gate_evidence_drawn(src):
+    """The evidence a verdict is made of: 10,000 draws of every bound."""
+    return src.once(drawn_evidence).select("task", "gate", "n", "dropped", "point", "lo", "hi", "unit", "reason")
 
 
 @query("gate_resolve_bounds", EST + " SELECT task, 'latency_p95' AS gate, round(value, 6) AS bound_value FROM sent", _VIEWS)
@@ -111,9 +137,9 @@ def gate_resolve_bounds(src):
     return G.resolve_bounds(src.view("gates"), sentinels(src)).withColumn("bound_value", F.round("bound_value", 6))
 
 
-@query("gate_checks", EST + " SELECT task, gate, direction, round(bound_value, 6) AS bound_value, passed FROM chk2", _VIEWS)
+@query("gate_checks", EST + " SELECT task, gate, direction, round(bound_value, 6) AS bound_value, round(compared_value, 6) AS compared_value, passed FROM chk2", _VIEWS)
 def gate_checks(src):
-    return src.once(checks).select("task", "gate", "direction", F.round("bound_value", 6).alias("bound_value"), "passed")
+    return _six(src.once(checks).select("task", "gate", "direction", "bound_value", "compared_value", "passed"), "bound_value", "compared_value")
 
 
 @query("gate_missing", EST + " SELECT task, gate FROM ev WHERE lo IS NULL", _VIEWS)
@@ -131,10 +157,20 @@ def gate_alternatives(src):
    WHEN hard = 0 THEN concat('quality gates failed: ', failed, '. the structure holds, quality is short') ELSE concat('no rule covers the failed gates: ', failed) END, CASE WHEN passed_by_alt <> '' THEN concat('; by agreed alternative: ', passed_by_alt) ELSE '' END) AS rationale
  FROM (SELECT *, CASE WHEN failed = '' THEN 'MIGRATE' WHEN hard = 0 THEN 'TUNE_FIRST' ELSE 'UNDETERMINED' END AS r FROM dc)""", _VIEWS)
 def gate_verdict(src):
-    alt = G.apply_alternatives(src.once(checks), A.triage_summary(triage(src)))
+    return _decided(src, checks)
+
+
+def _decided(src, checked):
+    alt = G.apply_alternatives(src.once(checked), A.triage_summary(triage(src)))
     return G.decide(src.view("calls").select("task").distinct(), alt, src.view("gates"), src.view("verdict_rules"))
 
 
+@query("gate_verdict_drawn", None)
+def gate_verdict_drawn(src):
+    """The verdict on 10,000 draws of every bound; the form above decides from the draws that SQL can repeat."""
+    return _decided(src, drawn_checks)
+
+
 @query("gate_declared_only", """, g AS (SELECT task, count(*) AS n, avg(CAST(status = 'error' AS INTEGER)) AS r, avg(CAST(total_ms IS NOT NULL AS INTEGER)) AS m FROM calls WHERE arm = 'candidate' GROUP BY task),
  b AS (SELECT *, r + 1.96 * sqrt(r * (1 - r) / n) > 0.05 AS bad, m - 1.96 * sqrt(m * (1 - m) / n) < 0.999 AS short FROM g)
  SELECT task, CASE WHEN bad THEN 'STOP' ELSE 'INCOMPLETE' END AS verdict, CASE WHEN bad THEN 'blocking gates failed: error_rate. too many errors' ELSE concat('not measured: cost_savings_pct; were these to pass: ', CASE WHEN short THEN 'POLISH' ELSE 'GO' END) END AS rationale,

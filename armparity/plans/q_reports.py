@@ -134,13 +134,20 @@ def rpt_latency(src):
     return R.latency_frame(LT.latency_stats(src.view("calls"), ("task", "arm")), ["total_p50", "total_p95", "ttft_p95"]).withColumn("value", F.round("value", 6))
 
 
+def _number(x):
+    return (f"CASE g.unit WHEN 'fraction' THEN format('{{:.3f}}', {x}) WHEN 'percent' THEN format('{{:.1f}}%', {x}) WHEN 'ms' THEN concat(format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT)), ' ms')"
+            f" ELSE format('{{:+.2f}} pp', {x}) END")
+
+
 @query("rpt_scorecard", ALT + """ SELECT ev.task, g.ordinal, g.gate, g.bound, CASE WHEN c.passed IS NULL THEN 'not evaluated' WHEN c.passed THEN 'PASS' WHEN alt_passed THEN concat('PASS (by alternative clause: ', wins, 'W/', losses, 'L)') ELSE 'FAIL' END AS result, ev.reason,
-  CASE WHEN ev.point IS NULL THEN 'not measured' WHEN g.unit = 'fraction' THEN format('{:.3f}', ev.point) WHEN g.unit = 'percent' THEN format('{:.1f}%', ev.point) WHEN g.unit = 'ms' THEN concat(format('{:,}', CAST(round_even(ev.point, 0) AS BIGINT)), ' ms') ELSE format('{:+.2f} pp', ev.point) END AS point
+  CASE WHEN ev.point IS NULL THEN CASE WHEN g.gate = 'latency_p95' THEN 'region split: not comparable' ELSE 'not measured' END
+   ELSE concat(""" + ", ".join([_number("ev.point"), "' ['", _number("ev.lo"), "', '", _number("ev.hi"), "']'"]) + """,
+    CASE WHEN g.unit = 'percentage_points' THEN concat(' (paired n=', ev.n, CASE WHEN ev.dropped > 0 THEN concat(', ', ev.dropped, ' unpaired dropped') ELSE '' END, ')') WHEN g.gate = 'latency_p95' THEN ' (same-region probe, global)' ELSE '' END) END AS measured
  FROM ev JOIN gates g USING (gate) LEFT JOIN chk3 c ON c.task = ev.task AND c.gate = ev.gate""", _VIEWS)
 def rpt_scorecard(src):
     alt = G.apply_alternatives(src.once(checks), A.triage_summary(triage(src)))
     table = R.gate_table(src.once(evidence), alt, src.view("gates"), F.lit(True), F.lit(True))
-    return table.select("task", "ordinal", "gate", "bound", "result", "reason", F.split_part("measured", F.lit(" ["), F.lit(1)).alias("point"))
+    return table.select("task", "ordinal", "gate", "bound", "result", "reason", "measured")
 
 
 @query("rpt_figures", XR + " SELECT task, arm, judge, round(CASE judge WHEN 'gated' THEN ra ELSE rb END, 9) AS pass_rate FROM rep, (VALUES ('gated'), ('check')) v(judge) WHERE arm IS NOT NULL", ("cells", "verdicts"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from armparity.operators import bootstrap as B
 from armparity.operators import judge as J
+from armparity.operators import latency as L
 from armparity.operators import metrics as M
 from armparity.operators import ranking as R
 from armparity.operators import stats as S
@@ -67,17 +68,21 @@ def sta_paired_delta(src):
     return est.select("task", "metric", "n", "dropped", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
-def inside():
-    return ((F.col("lo") <= F.col("point")) & (F.col("point") <= F.col("hi"))).alias("inside")
+def sound(spread):
+    """The interval holds the point and is about as wide as the normal law says of ``spread``, the statistic's standard error; a constant has none."""
+    wide = (F.col("hi") - F.col("lo")) / spread
+    return ((F.col("lo") <= F.col("point")) & (F.col("point") <= F.col("hi")) & F.when(spread > 1e-12, wide.between(2.6, 5.2)).otherwise(F.col("hi") - F.col("lo") < 1e-9)).alias("sound")
 
 
-@query("sta_paired_delta_counts", PAIRS + """ SELECT task, metric, count(base + cand) AS n, count(*) - count(base + cand) AS dropped, round(avg(cand - base), 9) AS point, 10000 AS resamples, true AS inside
+@query("sta_paired_delta_counts", PAIRS + """ SELECT task, metric, count(base + cand) AS n, count(*) - count(base + cand) AS dropped, round(avg(cand - base), 9) AS point, 10000 AS resamples, true AS sound
  FROM pairs GROUP BY ALL HAVING count(base + cand) > 1""", _VIEWS)
 def sta_paired_delta_counts(src):
     """The default interval: 10,000 replicates drawn from counts of distinct pairs."""
     pairs = S.pair_samples(M.outcomes(_pairs(src)), ("task", "metric"))
-    est = S.paired_delta(pairs, ("task", "metric")).filter("n > 1")
-    return est.select("task", "metric", "n", "dropped", F.round("point", 9).alias("point"), "resamples", inside())
+    d = F.col("cand") - F.col("base")
+    spread = pairs.groupBy("task", "metric").agg((F.stddev_pop(d) / F.sqrt(F.count(d))).alias("se"))
+    est = S.paired_delta(pairs, ("task", "metric")).filter("n > 1").join(spread, ["task", "metric"])
+    return est.select("task", "metric", "n", "dropped", F.round("point", 9).alias("point"), "resamples", sound(F.col("se")))
 
 
 def usd_pairs(src):
@@ -101,33 +106,47 @@ def sta_savings(src):
     return est.select("task", "n", *[F.round(c, 7).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("sta_savings_counts", USD + " SELECT task, count(*) AS n, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point, 10000 AS resamples, true AS inside FROM cost_pairs GROUP BY ALL", ("calls", "prices"))
+@query("sta_savings_counts", USD + " SELECT task, count(*) AS n, round(100 * (sum(base) - sum(cand)) / sum(base), 7) AS point, 10000 AS resamples, true AS sound FROM cost_pairs GROUP BY ALL", ("calls", "prices"))
 def sta_savings_counts(src):
     from armparity.operators import economics as E
 
-    est = E.savings(usd_pairs(src), ("task",))
-    return est.select("task", "n", F.round("point", 7).alias("point"), "resamples", inside())
+    pairs = usd_pairs(src).filter("side = 'both'")
+    # the ratio's error by its residuals around the line through the origin
+    ratio = pairs.groupBy("task").agg((F.sum("cand") / F.sum("base")).alias("r"))
+    spread = pairs.join(ratio, "task").groupBy("task").agg((100 * F.stddev_pop(F.col("cand") - F.col("r") * F.col("base")) * F.sqrt(F.count("*")) / F.sum("base")).alias("se"))
+    est = E.savings(usd_pairs(src), ("task",)).join(spread, "task")
+    return est.select("task", "n", F.round("point", 7).alias("point"), "resamples", sound(F.col("se")))
 
 
 P95_REPS = 24
 
-@query("sta_p95", f""", x AS (SELECT task, arm, total_ms, b * 8 + j AS replicate, CAST('0x' || substr(md5(concat('{SEED}|', b, '|', call_id)), CAST(1 + 4 * j AS INTEGER), 4) AS BIGINT) AS u
-  FROM calls, (SELECT unnest(range(3)) AS b), (SELECT unnest(range(8)) AS j) WHERE total_ms IS NOT NULL AND status = 'ok'),
- y AS (SELECT task, arm, replicate, total_ms, unnest(range({' + '.join(f'CAST(u >= {s} AS INTEGER)' for s in B.POISSON_STEPS)})) AS copy FROM x),
- z AS (SELECT task, arm, replicate, quantile_cont(total_ms, 0.95) AS stat FROM y GROUP BY ALL)
- SELECT task, arm, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi FROM z GROUP BY ALL""", ("calls",))
+
+def duck_p95(by, where):
+    """DuckDB text of hash replicates ``p95_r`` of the 95th percentile of ``total_ms``."""
+    return f""", p95_x AS (SELECT {by}, total_ms, b * 8 + j AS replicate, CAST('0x' || substr(md5(concat('{SEED}|', b, '|', call_id)), CAST(1 + 4 * j AS INTEGER), 4) AS BIGINT) AS u
+  FROM calls, (SELECT unnest(range({-(-P95_REPS // 8)})) AS b), (SELECT unnest(range(8)) AS j) WHERE total_ms IS NOT NULL AND {where}),
+ p95_y AS (SELECT {by}, replicate, total_ms, unnest(range({' + '.join(f'CAST(u >= {s} AS INTEGER)' for s in B.POISSON_STEPS)})) AS copy FROM p95_x),
+ p95_r AS (SELECT {by}, replicate, quantile_cont(total_ms, 0.95) AS stat FROM p95_y GROUP BY ALL)"""
+
+
+@query("sta_p95", duck_p95("task, arm", "status = 'ok'") + """
+ SELECT task, arm, round(quantile_cont(stat, 0.025), 6) AS lo, round(quantile_cont(stat, 0.975), 6) AS hi FROM p95_r GROUP BY ALL""", ("calls",))
 def sta_p95(src):
     calls = src.view("calls").filter("status = 'ok'")
-    reps = B.hash_percentile_replicates(calls, ("task", "arm"), "call_id", "total_ms", 0.95, P95_REPS)
-    return B.interval(reps, ("task", "arm"), F.col("stat")).select("task", "arm", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return L.p95_interval(calls, ("task", "arm"), P95_REPS, "hash").select("task", "arm", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("sta_p95_counts", " SELECT task, arm, count(*) AS n, round(quantile_cont(total_ms, 0.95), 6) AS point, 10000 AS resamples, true AS inside FROM calls WHERE total_ms IS NOT NULL AND status = 'ok' GROUP BY ALL", ("calls",))
+@query("sta_p95_counts", " SELECT task, arm, count(*) AS n, round(quantile_cont(total_ms, 0.95), 6) AS point, 10000 AS resamples, true AS lo_sound, true AS hi_sound FROM calls WHERE total_ms IS NOT NULL AND status = 'ok' GROUP BY ALL", ("calls",))
 def sta_p95_counts(src):
-    counts = R.value_counts(src.view("calls").filter("status = 'ok'"), ("task", "arm"), "total_ms")
-    reps = B.percentile_replicates(counts, ("task", "arm"), "total_ms", 0.95)
-    out = B.interval(reps, ("task", "arm"), F.col("stat"))
-    return out.select("task", "arm", "n", F.round("point", 6).alias("point"), "resamples", inside())
+    """The default interval, with a check of where in the sample its bounds lie."""
+    calls = src.view("calls").filter("status = 'ok' and total_ms is not null")
+    out = L.p95_interval(calls, ("task", "arm"))
+    below = calls.join(out, ["task", "arm"]).groupBy("task", "arm").agg(
+        *[F.avg((F.col("total_ms") <= F.col(b)).cast("double")).alias(f"at_{b}") for b in ("lo", "hi")])
+    error = F.sqrt(F.lit(0.95 * 0.05) / F.col("n"))
+    return out.join(below, ["task", "arm"]).select(
+        "task", "arm", "n", F.round("point", 6).alias("point"), "resamples", ((F.col("at_lo") - 0.95) / error).between(-2.9, -1.0).alias("lo_sound"),
+        ((F.col("at_hi") - 0.95) / error).between(1.0, 2.9).alias("hi_sound"))
 
 
 @query("sta_percentile", """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,

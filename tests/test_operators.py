@@ -131,16 +131,6 @@ def test_intervals_do_not_depend_on_partitioning(spark):
         assert len(rounded) == 1
 
 
-def test_percentile_bootstrap(spark):
-    ms = np.random.default_rng(3).integers(100, 900, 500)
-    df = spark.createDataFrame([("g", int(v)) for v in ms], "g string, ms long")
-    counts = R.value_counts(df, ("g",), "ms")
-    r = B.interval(B.percentile_replicates(counts, ("g",), "ms", 0.95, 2000), ("g",), F.col("stat")).first()
-    draws = np.percentile(ms[np.random.default_rng(4).integers(0, 500, (4000, 500))], 95, axis=1)
-    assert r.point == pytest.approx(np.percentile(ms, 95)) and r.n == 500
-    assert r.lo == pytest.approx(np.percentile(draws, 2.5), abs=6) and r.hi == pytest.approx(np.percentile(draws, 97.5), abs=6)
-
-
 def test_duplicate_items_are_refused(spark):
     rows = spark.createDataFrame([("t", "baseline", 1, 1.0), ("t", "baseline", 1, 0.0)], "task string, arm string, item_id long, value double")
     with pytest.raises(Exception, match="duplicate item"):
