@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +31,14 @@ from armparity.llm.common import columns_of, kept_table
 
 UNKNOWN = "und"
 _SPACE = "▁"  #: stands for the white space before a word
-_CHUNK = 1 << 20  #: letters of text scored at a time
+_CHUNK = 1 << 22  #: letters of text scored at a time
 
 
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 3  #: of expectation maximisation
     added: float = 0.05  #: to the expected uses of each piece
+    kept: int = 1 << 18  #: words whose sums a task remembers; the others are summed again
     #: Longer words go letter by letter through a loop of their own instead of a table of words of one length.
     long: int = 48
 
@@ -128,45 +130,52 @@ def _pieces(path: str) -> Pieces:
 
 
 class _Table:
-    """Words of one length: which piece runs from each place over each number of letters."""
+    """Words of one length: which pieces run from each place over each number of letters."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        self.length = len(words[0])
-        self.letters = np.array(words, dtype=f"<U{self.length}").view(np.uint32).astype(np.int64).reshape(len(words), self.length)
-        self.ids: list[np.ndarray] = []  #: by number of letters less one: word by first place
-        nodes = np.zeros((len(words), self.length), np.int64)
+        self.length, self.words = len(words[0]), len(words)
+        letters = np.array(words, dtype=f"<U{self.length}").view(np.uint32).astype(np.int64).reshape(len(words), self.length)
+        #: First place, end, numbers of the words and of the piece each has there.
+        self.runs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        nodes = np.zeros((self.length, len(words)), np.int64)  # by place and word
         for n in range(min(pieces.longest, self.length)):
-            nodes = nodes[:, : self.length - n].copy()
-            alive = np.flatnonzero(nodes.ravel() >= 0)
+            nodes = nodes[: self.length - n].copy()
+            alive = np.flatnonzero(nodes >= 0)
             if not len(alive):
                 break
-            nodes.ravel()[alive] = pieces.step(nodes.ravel()[alive], self.letters[:, n:].ravel()[alive] if n == 0 else np.ascontiguousarray(self.letters[:, n:]).ravel()[alive])
-            self.ids.append(np.where(nodes >= 0, pieces.piece[nodes], -1))
-        # letters that are no piece are spelled in bytes
-        self.spelled = np.argwhere(self.ids[0] < 0)
-        self.bytes = [pieces.spelled(chr(c)) for c in self.letters[tuple(self.spelled.T)].tolist()]
+            flat = nodes.reshape(-1)
+            flat[alive] = pieces.step(flat[alive], letters[:, n:].T.reshape(-1)[alive])
+            ids = np.where(nodes >= 0, pieces.piece[nodes], -1)
+            if n == 0:
+                # every letter counts: one that is no piece is spelled in bytes
+                self.runs += [(i, i + 1, np.arange(len(words)), ids[i]) for i in range(self.length)]
+                self.spelled = np.argwhere(ids < 0)
+                self.bytes = [pieces.spelled(chr(c)) for c in letters.T[tuple(self.spelled.T)].tolist()]
+                continue
+            places, rows = np.nonzero(ids >= 0)
+            cuts = np.searchsorted(places, np.arange(len(ids) + 1))
+            self.runs += [(i, i + n + 1, r, ids[i, r]) for i, r in ((i, rows[p:q]) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if q > p)]
 
     def chances(self, logs: np.ndarray) -> list[np.ndarray]:
-        """Probability of each piece of ``ids``, by language if ``logs`` has several; 0 where there is none."""
-        padded = np.concatenate([np.exp(logs).T, np.zeros((1, len(logs)))])  # the row before the first, -1, is the last
-        out = [padded[x] for x in self.ids]
-        if len(self.spelled):
-            out[0][tuple(self.spelled.T)] = np.array([np.exp(logs[:, list(b)].sum(axis=1)) for b in self.bytes])
+        """Probabilities of each run's pieces by language."""
+        by_piece = np.exp(logs).T
+        out = [by_piece[ids] for _, _, _, ids in self.runs]
+        for (place, word), letters in zip(self.spelled.tolist(), self.bytes):
+            out[place][word] = np.exp(logs[:, list(letters)].sum(axis=1))
         return out
 
     def sums(self, chances: list[np.ndarray], back: bool = False) -> np.ndarray:
         """Sum over all paths from the first place to each place, or, ``back``, from each to the last; axes place, word, language."""
-        out = np.zeros((self.length + 1, *chances[0][:, 0].shape))
-        if back:
-            out[self.length] = 1
-            for i in reversed(range(self.length)):
-                for n, p in enumerate(chances[: self.length - i], 1):
-                    out[i] += p[:, i] * out[i + n]
-            return out
-        out[0] = 1
-        for i in range(1, self.length + 1):
-            for n, p in enumerate(chances[:i], 1):
-                out[i] += p[:, i - n] * out[i - n]
+        out = np.zeros((self.length + 1, self.words, chances[0].shape[1]))
+        out[self.length if back else 0] = 1
+        order = sorted(range(len(self.runs)), key=lambda k: -self.runs[k][0] if back else self.runs[k][1])
+        for k in order:
+            start, end, rows, _ = self.runs[k]
+            into, source = (start, end) if back else (end, start)
+            if len(rows) == self.words:
+                out[into] += chances[k] * out[source]
+            else:
+                out[into][rows] += chances[k] * out[source][rows]
         return out
 
 
@@ -231,13 +240,12 @@ def expected_uses(pieces: Pieces, words: list[str], of: np.ndarray, times: np.nd
                 ahead, behind = (x[:, :, 0] for x in (table.sums(chances), table.sums(chances, back=True)))
                 sure = ahead[-1] >= _LEAST
                 weight = np.where(sure, n[some] / np.maximum(ahead[-1], _LEAST), 0)
-                for k, (ids, p) in enumerate(zip(table.ids, chances), 1):
-                    share = p[:, :, 0] * ahead[: table.length - k + 1].T * behind[k:].T * weight[:, None]
-                    out[lang] += np.bincount(ids[ids >= 0], weights=share[ids >= 0], minlength=pieces.size)
-                    if k == 1 and len(table.spelled):
-                        for at, letters in zip(share[tuple(table.spelled.T)].tolist(), table.bytes):
-                            for b in letters:
-                                out[lang, b] += at
+                shares = [p[:, 0] * ahead[start][rows] * behind[end][rows] * weight[rows] for (start, end, rows, _), p in zip(table.runs, chances)]
+                for (place, word), letters in zip(table.spelled.tolist(), table.bytes):
+                    for x in letters:
+                        out[lang, x] += shares[place][word]
+                ids, share = np.concatenate([r[3] for r in table.runs]), np.concatenate(shares)
+                out[lang] += np.bincount(ids[ids >= 0], weights=share[ids >= 0], minlength=pieces.size)
                 slow = some[~sure]
             for k in slow:
                 word = marked[k]
@@ -278,9 +286,15 @@ def _some(column: pa.Array) -> Iterator[list[str | None]]:
         yield texts
 
 
+#: What ``str.split`` takes for white space beyond the six ASCII characters.
+_OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
+
+
 def split(text: str | None) -> list[str]:
     """Words of a text: runs without ASCII white space."""
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
+    text = text or ""
+    return _WORD.findall(text) if _OTHER_BLANKS.search(text) else text.split()
 
 
 def fit(docs: DataFrame, path: str, s: Settings = Settings()) -> Model:
@@ -333,12 +347,22 @@ def predict(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, logs = _pieces(path), sent.value
+        # the sums of the words that came first
+        known: dict[str, int] = {}
+        held = np.zeros((s.kept, len(names) or 1))
         for batch in batches:
             langs, scores = [], []
             for texts in _some(batch.column(where)):
                 parts = [split(t) if t and names and any(map(str.isalpha, t)) else [] for t in texts]
                 codes, words = pd.factorize(np.array(list(chain.from_iterable(parts)), object))
-                logs_of = word_logs(pieces, list(words), logs, s.long)
+                logs_of = np.zeros((len(words), len(names) or 1))
+                at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+                logs_of[at >= 0] = held[at[at >= 0]]
+                new = np.flatnonzero(at < 0)
+                logs_of[new] = word_logs(pieces, [words[k] for k in new], logs, s.long)
+                keep = [k for k in new[: s.kept - len(known)].tolist() if len(words[k]) < s.long]
+                held[len(known) : len(known) + len(keep)] = logs_of[keep]
+                known.update(zip((words[k] for k in keep), range(len(known), len(known) + len(keep))))
                 sizes = [len(p) for p in parts]
                 for some in np.split(codes, np.cumsum(sizes)[:-1]):
                     if not len(some):
