@@ -349,13 +349,13 @@ def predict(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFram
         pieces, logs = _pieces(path), sent.value
         # the sums of the words that came first
         known: dict[str, int] = {}
-        held = np.zeros((s.kept, len(names) or 1))
+        held = np.zeros((s.kept, len(names)))
         for batch in batches:
             langs, scores = [], []
             for texts in _some(batch.column(where)):
                 parts = [split(t) if t and names and any(map(str.isalpha, t)) else [] for t in texts]
                 codes, words = pd.factorize(np.array(list(chain.from_iterable(parts)), object))
-                logs_of = np.zeros((len(words), len(names) or 1))
+                logs_of = np.zeros((len(words), len(names)))
                 at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
                 logs_of[at >= 0] = held[at[at >= 0]]
                 new = np.flatnonzero(at < 0)
