@@ -128,16 +128,24 @@ def ret_live_figures(src):
 
 # --- streams -------------------------------------------------------------------------------------
 
-def stream_of(src, columns, parts=4):
+def stream_of(src, columns, parts=4, closed=None):
     """The call log written as it would arrive, a span of days after another, and read back as
-    a stream whose batches follow that order."""
-    path = scratch(src, "calls")
+    a stream whose batches follow that order; ``closed`` are rows that end it."""
+    path, staged = scratch(src, "calls"), scratch(src, "staged")
     rows = src.view("calls").withColumn("ts", F.col("ts").cast("timestamp"))
-    span = F.expr("(dayofmonth(ts) - 1) div 8")
-    kept = rows.select(*columns, span.alias("_span"))
+    kept = rows.select(*columns, F.expr("int((dayofmonth(ts) - 1) div 8)").alias("_span"))
+    kept.write.partitionBy("_span").parquet(staged)
+    schema = kept.drop("_span").schema
+    spans = src.spark.read.schema(kept.schema).parquet(staged)
     for i in range(4):
-        kept.filter(F.col("_span") == i).drop("_span").repartitionByRange(parts, "ts").write.mode("append").parquet(path)
-    return ST.read_log(src.spark, path, kept.drop("_span").schema, files_per_trigger=parts)
+        spans.filter(F.col("_span") == i).drop("_span").repartitionByRange(parts, "ts").write.mode("append").parquet(path)
+    if closed is not None:
+        ST.close_log(src.spark, path, schema, CLOSED, copies=closed)
+    return ST.read_log(src.spark, path, schema, files_per_trigger=parts)
+
+
+#: After all calls and every delay.
+CLOSED = "2024-03-01 00:00:00"
 
 
 @query("str_ingest", """ SELECT CASE WHEN k % 50 = 13 THEN 'not a valid record' WHEN k % 50 = 14 THEN 'unknown keys: extra' WHEN k % 50 = 16 THEN 'missing: trace_id' END AS reject,
@@ -170,21 +178,23 @@ def str_recording_window(src):
     return ST.last_update(src.spark, out, ("model",)).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
 
 
-@query("str_admit_first", " SELECT task, least(count(*), 100) AS admitted FROM calls GROUP BY ALL", ("calls",))
+@query("str_admit_first", " SELECT task, call_id, seq FROM (SELECT task, call_id, row_number() OVER (PARTITION BY task ORDER BY ts, call_id) AS seq FROM calls) WHERE seq <= 700", ("calls",))
 def str_admit_first(src):
+    """A live slice of 700 calls per task, in order of arrival."""
     out = scratch(src, "admit")
-    ST.run_available(ST.admit_first(stream_of(src, ["task", "item_id", "ts"]), "task", 100), out, scratch(src, "ck"))
-    return src.spark.read.parquet(out).groupBy("task").agg(F.count("*").alias("admitted"))
+    ST.admit_first(stream_of(src, ["task", "call_id", "ts"]), ("task",), 700, ("ts", "call_id"), out, scratch(src, "ck"))
+    return src.spark.read.parquet(out).select("task", "call_id", "seq")
 
 
-@query("str_pair_arms", """ SELECT b.item_id, b.total_ms AS b_ms, c.total_ms AS c_ms FROM (SELECT * FROM calls WHERE arm = 'baseline') b JOIN (SELECT * FROM calls WHERE arm = 'candidate') c USING (item_id) WHERE abs(epoch_us(b.ts) - epoch_us(c.ts)) <= 7200000000""", ("calls",))
+@query("str_pair_arms", """ SELECT coalesce(b.item_id, c.item_id) AS item_id, b.total_ms AS b_ms, c.total_ms AS c_ms, CASE WHEN c.call_id IS NULL THEN 'baseline only' WHEN b.call_id IS NULL THEN 'candidate only' ELSE 'both' END AS side
+ FROM (SELECT * FROM calls WHERE arm = 'baseline') b FULL JOIN (SELECT * FROM calls WHERE arm = 'candidate') c ON b.item_id = c.item_id AND abs(epoch_us(b.ts) - epoch_us(c.ts)) <= 7200000000""", ("calls",))
 def str_pair_arms(src):
     out = scratch(src, "pairs")
     cols = ["item_id", "arm", "total_ms", "ts"]
-    b, c = stream_of(src, cols).filter("arm = 'baseline'"), stream_of(src, cols).filter("arm = 'candidate'")
-    ST.run_available(ST.pair_arms(b, c), out, scratch(src, "ck"))
-    both = src.spark.read.parquet(out).filter("b_item is not null and c_item is not null")
-    return both.select(F.col("b_item").alias("item_id"), "b_ms", "c_ms")
+    calls = stream_of(src, cols, closed=[{"arm": "baseline"}, {"arm": "candidate"}])
+    ST.run_available(ST.pair_arms(calls.filter("arm = 'baseline'"), calls.filter("arm = 'candidate'")), out, scratch(src, "ck"))
+    side = F.when(F.col("c_item").isNull(), "baseline only").when(F.col("b_item").isNull(), "candidate only").otherwise("both")
+    return src.spark.read.parquet(out).select(F.coalesce("b_item", "c_item").alias("item_id"), "b_ms", "c_ms", side.alias("side"))
 
 
 def health(src, window):
@@ -199,14 +209,31 @@ def str_health_tumbling(src):
     return health(src, F.window("ts", "1 hour"))
 
 
-@query("str_health_sliding", """, w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * i) MINUTE AS start FROM calls, (SELECT unnest(range(4)) AS i)) SELECT CAST(start AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, quantile_disc(total_ms, 0.95) AS p95 FROM w GROUP BY ALL""", ("calls",))
+SLIDING = """, w AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL (15 * i) MINUTE AS start FROM calls, (SELECT unnest(range(4)) AS i)) SELECT CAST(start AS VARCHAR)[:19] AS start, arm, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, quantile_disc(total_ms, 0.95) AS p95 FROM w GROUP BY ALL"""
+
+
+@query("str_health_sliding", SLIDING, ("calls",))
 def str_health_sliding(src):
     return health(src, F.window("ts", "1 hour", "15 minutes"))
 
 
-@query("str_health_session", None)
+@query("str_health_panes", SLIDING, ("calls",))
+def str_health_panes(src):
+    """The same sliding windows, merged from the sketches of closed panes."""
+    out = scratch(src, "panes")
+    calls = stream_of(src, ["arm", "status", "total_ms", "ts"], closed=[{}])
+    ST.run_available(ST.health_panes(calls, "15 minutes"), out, scratch(src, "ck"))
+    final = ST.health_of_panes(src.spark.read.parquet(out).filter("arm is not null"), "1 hour", "15 minutes")
+    return final.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("str_health_session", """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER o) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM calls WINDOW o AS (PARTITION BY arm ORDER BY ts)),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY arm ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT arm, CAST(min(ts) AS VARCHAR)[:19] AS start, CAST(max(ts) + INTERVAL 30 MINUTE AS VARCHAR)[:19] AS "end", count(*) AS n, count(*) FILTER (WHERE status = 'error') AS errors, quantile_disc(total_ms, 0.95) AS p95 FROM s GROUP BY arm, session""", ("calls",))
 def str_health_session(src):
-    """Sessions closed by the final watermark; the last open ones stay in state by design."""
+    """Sessions of either arm, the last ones too: the log ends with a row that closes them."""
     out = scratch(src, "session")
-    ST.run_available(ST.call_health(stream_of(src, ["arm", "status", "total_ms", "ts"]), F.session_window("ts", "30 minutes")), out, scratch(src, "ck"))
-    return src.spark.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "arm", "n", "errors")
+    calls = stream_of(src, ["arm", "status", "total_ms", "ts"], closed=[{}])
+    ST.run_available(ST.call_health(calls, F.session_window("ts", "30 minutes")), out, scratch(src, "ck"))
+    rows = src.spark.read.parquet(out).filter("arm is not null")
+    return rows.select("arm", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n", "errors", "p95")

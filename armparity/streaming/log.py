@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 
 def read_log(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -52,32 +51,54 @@ def last_update(spark: SparkSession, out: str, key) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(*key, "_r.*")
 
 
-def admit_first(calls: DataFrame, by: str, limit: int, item: str = "item_id") -> DataFrame:
-    """Admit the first ``limit`` calls per group in arrival order; state is one counter per group."""
-    out_schema = f"{by} string, {item} bigint, seq bigint"
+def admit_first(stream: DataFrame, by, limit: int, order, out: str, checkpoint: str) -> None:
+    """Drain the stream and keep the first ``limit`` rows per group, numbered from 1 in ``seq``: by batch, within a batch by ``order``.
 
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        for pdf in batches:
-            room = max(0, limit - seen)
-            if room:
-                taken = pdf.head(room)
-                yield pd.DataFrame({by: key[0], item: taken[item].to_numpy(), "seq": range(seen + 1, seen + 1 + len(taken))})
-                seen += len(taken)
-        state.update((seen,))
+    What is remembered is what was admitted, at most ``limit`` rows per group: a batch
+    reads how many places earlier batches have taken. Its own rows are ranked with a rank
+    limit, which every task applies before the shuffle, so of a group with most of the
+    batch a task passes on ``limit`` rows and none sees the rest. A repeated batch
+    overwrites its folder and counts only the folders before it.
+    """
+    by = list(by)
+    first = Window.partitionBy(*by).orderBy(*order)
+    schema = T.StructType([*stream.schema.fields, T.StructField("seq", T.LongType()), T.StructField("batch", T.LongType())])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        ranked = batch.withColumn("seq", F.row_number().over(first).cast("long")).filter(F.col("seq") <= limit)
+        if batch_id:
+            taken = batch.sparkSession.read.schema(schema).option("basePath", out).parquet(out).filter(F.col("batch") < batch_id).groupBy(*by).agg(F.max("seq").alias("_taken"))
+            same = functools.reduce(lambda p, q: p & q, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by])
+            place = (F.col("x.seq") + F.coalesce("_taken", F.lit(0))).alias("seq")
+            ranked = ranked.alias("x").join(taken.alias("y"), same, "left").select(*[F.col(f"x.{c}") for c in batch.columns], place).filter(F.col("seq") <= limit)
+        ranked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def close_log(spark: SparkSession, path: str, schema: T.StructType, at: str, time: str = "ts", copies: list[dict] | None = None) -> None:
+    """Append rows that hold nothing but the time ``at`` (and, per row, the values in ``copies``) to a finished Parquet log.
 
-    return calls.select(by, item).groupBy(by).applyInPandasWithState(admit, out_schema, "seen bigint", "append", GroupStateTimeout.NoTimeout)
+    A watermark moves only with rows. This one says that nothing before ``at`` is to come,
+    so that open windows and sessions end and rows still waiting for a partner leave.
+    """
+    rows = [spark.range(1).select(*[(F.lit(at).cast(f.dataType) if f.name == time else F.lit(held.get(f.name)).cast(f.dataType)).alias(f.name) for f in schema]) for held in copies or [{}]]
+    functools.reduce(DataFrame.unionByName, rows).coalesce(1).write.mode("append").parquet(path)
 
 
 def pair_arms(baseline: DataFrame, candidate: DataFrame, within: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """Both arms' calls of an item as they arrive; an arm that never comes leaves one side.
 
-    Watermarks on both sides and the time bound let Spark forget old items.
+    Watermarks on both sides and the time bound let Spark forget old items: a call whose
+    partner can no longer come leaves alone, with nulls on the other side.
     """
     b = baseline.select(F.col("item_id").alias("b_item"), F.col("ts").alias("b_ts"), F.col("total_ms").alias("b_ms")).withWatermark("b_ts", late)
     c = candidate.select(F.col("item_id").alias("c_item"), F.col("ts").alias("c_ts"), F.col("total_ms").alias("c_ms")).withWatermark("c_ts", late)
     near = F.expr(f"b_item = c_item and c_ts >= b_ts - interval {within} and c_ts <= b_ts + interval {within}")
-    return b.join(c, near, "full_outer")
+    return b.join(c, near, "full_outer").filter("b_item is not null or c_item is not null")
 
 
 def call_health(calls: DataFrame, window: Column, by=("arm",), late: str = "1 hour") -> DataFrame:
@@ -86,3 +107,23 @@ def call_health(calls: DataFrame, window: Column, by=("arm",), late: str = "1 ho
     return w.groupBy(window.alias("w"), *by).agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.percentile_approx("total_ms", 0.95, 10000).alias("p95")
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "errors", "p95")
+
+
+def health_panes(calls: DataFrame, pane: str, by=("arm",), late: str = "1 hour", k: int = 4096) -> DataFrame:
+    """Counts and a quantile sketch of the latencies of each pane, a row once the pane is over.
+
+    Panes are disjoint, so a call is in the state once however many windows it is in. A
+    sketch of ``k`` holds few multiples of ``k`` values whatever the pane holds; up to
+    ``k`` values it is exact.
+    """
+    w = calls.withWatermark("ts", late)
+    return w.groupBy(F.window("ts", pane).alias("w"), *by).agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.count("total_ms").alias("timed"),
+        F.kll_sketch_agg_bigint("total_ms", k).alias("sketch")).select(F.col("w.start").alias("pane"), *by, "n", "errors", "timed", "sketch")
+
+
+def health_of_panes(panes: DataFrame, length: str, slide: str, by=("arm",), k: int = 4096) -> DataFrame:
+    """Sliding windows from their panes (as long as ``slide``): counts add up and sketches merge."""
+    return panes.groupBy(F.window("pane", length, slide).alias("w"), *by).agg(
+        F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.sum("timed").alias("_timed"), F.kll_merge_agg_bigint(F.when(F.col("timed") > 0, F.col("sketch")), k).alias("_s")
+    ).select(F.col("w.start").alias("start"), *by, "n", "errors", F.when(F.col("_timed") > 0, F.kll_sketch_get_quantile_bigint("_s", F.lit(0.95))).alias("p95"))
