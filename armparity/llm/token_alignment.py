@@ -18,9 +18,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,14 +31,13 @@ from pyspark.sql import functions as F
 
 from armparity.llm.common import checkpointed
 
-BATCH = 1 << 20  #: bytes of text aligned at a time
+BATCH = 1 << 21  #: bytes of text aligned at a time
 BLOCK = 1 << 23  #: bytes of text that share one list of id pairs
-CACHED = 1 << 17  #: units a worker remembers
+CACHED = 1 << 19  #: units a worker remembers
+_LONG = 64  #: letters of a unit worth remembering
 
 #: Neither side has a token across such a place: white space before a word belongs to the word, and the text before ends.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Longer units are encoded, not remembered.
-_LONG = 64
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -59,28 +58,74 @@ class _Side:
         self.last = np.array([k + first for k in ids], object)
 
 
+class _Known:
+    """Ids of units by side, one unit after the other, and whether both sides give the unit back."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def add(self, units: list[str], both: tuple[list[list[int]], list[list[int]]], good: list[bool]) -> None:
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        self.good = np.r_[self.good, np.array(good, bool)]
+        for side, rows in enumerate(both):
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            self.ids[side] = np.r_[self.ids[side], np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))]
+            self.ends[side] = np.r_[self.ends[side], self.ends[side][-1] + np.cumsum(sizes)]
+
+    def keep(self, n: int) -> None:
+        """The first ``n`` units stay: a text's frequent ones come early."""
+        if len(self.at) > n:
+            self.at = dict(islice(self.at.items(), n))
+            self.good = self.good[:n]
+            for side in (0, 1):
+                self.ends[side] = self.ends[side][: n + 1]
+                self.ids[side] = self.ids[side][: self.ends[side][-1]]
+
+    def of(self, side: int, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some units one after the other, and the end of each unit's."""
+        first, n = self.ends[side][units], np.diff(self.ends[side])[units]
+        ends = np.r_[0, np.cumsum(n)]
+        return self.ids[side][np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].astype(np.int64), ends
+
+
 @dataclass
 class _Pair:
     """Both tokenizers and what a worker remembers of them."""
 
     a: _Side
     b: _Side
-    encode_a: object
-    encode_b: object
-    known: dict[str, tuple[list[int], list[int]]] = field(default_factory=dict)
+    encode_a: Callable[[list[str]], list[list[int]]]
+    encode_b: Callable[[list[str]], list[list[int]]]
+    known: _Known = field(default_factory=_Known)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of either side for texts that begin with the added space; each distinct unit between cuts is encoded once."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of either side for texts that begin with the added space, and how many each text has; each distinct unit between cuts is encoded once."""
         parts = [_CUT.split(t) if t else [] for t in texts]
-        units = set(chain.from_iterable(parts))
-        if len(self.known) > CACHED:
-            self.known.clear()
-        have = {u: self.known[u] for u in units if u in self.known}
-        new = [u for u in units if u not in have]
-        found = dict(zip(new, zip(self.encode_a(new), self.encode_b([u[1:] for u in new]))))
-        self.known.update((u, x) for u, x in found.items() if len(u) <= _LONG)
-        have |= found
-        return tuple([list(chain.from_iterable(have[u][side] for u in p)) for p in parts] for side in (0, 1))
+        codes, units = pd.factorize(np.array([*chain.from_iterable(parts), ""], object)[:-1])
+        known = self.known
+        # long units last: they are not remembered
+        new = sorted((u for u in units if u not in known.at), key=lambda u: len(u) > _LONG)
+        worth = len(known.at) + sum(len(u) <= _LONG for u in new)
+        both = self.encode_a(new), self.encode_b([u[1:] for u in new])
+        known.add(new, both, [b"".join(map(self.a.pieces.__getitem__, a)) == u.encode() == b"".join(map(self.b.pieces.__getitem__, b)) for u, a, b in zip(new, *both)])
+        codes = np.fromiter(map(known.at.__getitem__, units), np.int64, len(units))[codes]
+        sizes = np.array([len(p) for p in parts])
+        bounds, spoilt = np.r_[0, np.cumsum(sizes)], np.zeros(len(texts), bool)
+        for d in set((np.searchsorted(bounds, np.flatnonzero(~known.good[codes]), side="right") - 1).tolist()):
+            # what single units lose might make up for one another
+            own, raw = codes[bounds[d] : bounds[d + 1]], texts[d].encode()
+            spoilt[d] = any(b"".join(map(side.pieces.__getitem__, known.of(k, own)[0].tolist())) != raw for k, side in enumerate((self.a, self.b)))
+        codes = codes[~np.repeat(spoilt, sizes)]
+        bounds = np.r_[0, np.cumsum(np.where(spoilt, 0, sizes))]
+        out = []
+        for side in (0, 1):
+            ids, ends = known.of(side, codes)
+            out.append((ids, np.diff(ends[bounds])))
+        known.keep(min(worth, CACHED))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -128,19 +173,12 @@ class Aligned:
 
 def align_batch(pair: _Pair, texts: list[str | None]) -> Aligned:
     """Texts of a batch; a text whose tokens do not give its bytes back has none."""
-    spaced = [" " + t if t else "" for t in texts]
-    rows: tuple[list, list] = ([], [])
-    for t, a, b in zip(spaced, *pair.encode(spaced)):
-        raw = t.encode()
-        kept = b"".join(map(pair.a.pieces.__getitem__, a)) == raw and b"".join(map(pair.b.pieces.__getitem__, b)) == raw
-        rows[0].append(a if kept else []), rows[1].append(b if kept else [])
     ids, bounds, ends, docs = [], [], [], []
-    for side, held in zip((pair.a, pair.b), rows):
-        counts = np.fromiter(map(len, held), np.int64, len(held))
-        ids.append(np.fromiter(chain.from_iterable(held), np.int64, int(counts.sum())))
+    for side, (held, counts) in zip((pair.a, pair.b), pair.encode([" " + t if t else "" for t in texts])):
+        ids.append(held)
         bounds.append(np.r_[0, np.cumsum(counts)])
-        ends.append(np.cumsum(side.sizes[ids[-1]]))
-        docs.append(np.repeat(np.arange(len(held)), counts))
+        ends.append(np.cumsum(side.sizes[held]))
+        docs.append(np.repeat(np.arange(len(counts)), counts))
     starts = [e - side.sizes[i] for e, side, i in zip(ends, (pair.a, pair.b), ids)]
     # both sides have the same bytes, so equal ends of the batch are equal ends of a document
     closes = (np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True))
