@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from armparity.constants import INTENTS
+from armparity.functions import json_schema as J
 
 #: Field kinds used when two answers are compared.
 AGREEMENT_KINDS = {
@@ -72,6 +73,33 @@ _TYPE_PATTERNS = {
 }
 
 
+def json_schema(rules: tuple[Rule, ...]) -> dict:
+    """An answer schema in the words of :mod:`armparity.functions.json_schema`."""
+    texts = {"type": "array", "items": {"type": "string"}}
+    kinds = {
+        "text": {"type": ["string"]}, "number": {"type": ["integer", "integer text"]}, "texts": texts,
+        "points": {"type": "array", "items": {
+            "type": "object", "properties": {"text": {"type": "string"}, "chunk_ids": texts}, "required": ["text", "chunk_ids"], "additionalProperties": False}},
+    }
+    properties = {}
+    for rule in rules:
+        schema = dict(json_schema(FILTER_RULES) if rule.kind == "filters" else kinds[rule.kind])
+        if rule.nullable:
+            schema["type"] = [*schema["type"], "null"]
+        if rule.allowed:
+            schema["enum"] = list(rule.allowed)
+        properties[rule.name] = schema
+    return {"type": "object", "properties": properties, "required": [r.name for r in rules if r.required], "additionalProperties": False}
+
+
+def gold_defects(task: Column, gold: Column) -> Column:
+    """``array<string>`` of what a gold answer (JSON text) breaks in its task's schema; a task without a schema is one defect."""
+    out = F.array(F.concat(F.lit("unknown task: "), F.coalesce(task, F.lit("null"))))
+    for name, rules in SCHEMAS.items():
+        out = F.when(task == name, J.defects_of_text(gold, json_schema(rules), "gold")).otherwise(out)
+    return out
+
+
 def shape(json_text: Column) -> Column:
     """Inferred type of a JSON text, keys in alphabetical order; null when it is not JSON."""
     return F.schema_of_variant(F.try_parse_json(json_text))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from armparity.functions import payload as P
+from armparity.functions.plan import filter_above
 from armparity.operators import ranking as R
 
 
@@ -153,14 +155,24 @@ def contamination(examples: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def contract_defects(items: DataFrame) -> DataFrame:
-    """Row integrity: unique ids, citations within the supplied chunks, three to five criteria."""
+    """Row integrity: a known task, gold that satisfies its schema, unique ids, citations within the supplied chunks, three to five criteria.
+
+    ``items`` has ``task``, ``gold`` (a JSON text), ``rubric_ids`` and ``chunk_ids``. The
+    chunks that gold cites are judged once the gold itself is sound.
+    """
+    points = F.try_variant_get(F.try_parse_json("gold"), "$.key_points", "array<struct<chunk_ids:array<string>>>")
+    none = F.array().cast("array<string>")
+    cited = F.coalesce(F.flatten(F.transform(points, lambda x: F.coalesce(x["chunk_ids"], none))), none)
+    items = items.withColumns({"_cited": cited, "_gold": F.array_join(P.gold_defects(F.col("task"), F.col("gold")), "; ")})
     checks = [
+        F.col("_gold"),
         F.when(F.size(F.array_distinct("rubric_ids")) != F.size("rubric_ids"), F.lit("duplicate rubric id")),
         F.when(F.size(F.array_distinct("chunk_ids")) != F.size("chunk_ids"), F.lit("duplicate chunk id")),
-        F.when(F.size(F.array_except("cited", "chunk_ids")) > 0, F.lit("gold cites an unknown chunk")),
+        F.when((F.col("_gold") == "") & (F.size(F.array_except("_cited", "chunk_ids")) > 0), F.lit("gold cites an unknown chunk")),
         F.when(~F.size("rubric_ids").between(3, 5), F.lit("rubric needs three to five criteria")),
     ]
-    return items.withColumn("defects", F.concat_ws("; ", *checks)).filter("defects <> ''")
+    found = items.withColumn("defects", F.concat_ws("; ", *[F.nullif(c, F.lit("")) for c in checks])).drop("_cited", "_gold")
+    return filter_above(found, F.col("defects") != "")
 
 
 def context_chunks(chunks: Column) -> Column:

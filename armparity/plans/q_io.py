@@ -45,15 +45,39 @@ def src_read_calls(src):
     return good.unionByName(rejects.groupBy(F.col("reject").alias("outcome")).agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("output_tokens")))
 
 
-@query("src_read_items", """ SELECT task, count(*) AS n, count(*) FILTER (WHERE core) AS n_core, CAST(sum(length(gold_json)) AS BIGINT) AS gold_chars FROM items GROUP BY ALL""", ("items",))
+@query("src_reject_positions", """, l AS (SELECT call_id, CAST(dayofmonth(ts) AS INTEGER) AS day, concat('{"trace_id":"', call_id, '","subagent":"', task, '","model":"', model, '","status":"', CASE WHEN k % 50 = 14 THEN 'lost' ELSE status END,
+   '","output":{"text":"né ', coalesce(output_text, '∅'), '"}}') AS good, k FROM calls),
+ m AS (SELECT *, CASE WHEN k % 50 = 13 THEN substr(good, 1, 30) WHEN k % 50 = 15 THEN '   ' ELSE good END AS line FROM l),
+ p AS (SELECT *, row_number() OVER w AS line_no, CAST(coalesce(sum(octet_length(encode(line)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM m WINDOW w AS (PARTITION BY day ORDER BY call_id))
+ SELECT day, line_no, "offset", line, CASE WHEN k % 50 = 13 THEN 'not a valid record' ELSE 'not a status: lost' END AS reject FROM p WHERE k % 50 IN (13, 14)""", ("calls",))
+def src_reject_positions(src):
+    """Where the broken lines of a log stand, in a file per day."""
+    path, k = scratch(src, "days"), F.col("k")
+    status = F.when(k % 50 == 14, "lost").otherwise(F.col("status"))
+    good = F.concat(F.lit('{"trace_id":"'), F.col("call_id").cast("string"), F.lit('","subagent":"'), "task", F.lit('","model":"'), "model", F.lit('","status":"'), status,
+                    F.lit('","output":{"text":"né '), F.coalesce("output_text", F.lit("∅")), F.lit('"}}'))
+    line = F.when(k % 50 == 13, F.substring(good, 1, 30)).when(k % 50 == 15, "   ").otherwise(good)
+    rows = src.view("calls").select("call_id", F.dayofmonth("ts").alias("day"), line.alias("value"))
+    rows.repartition("day").sortWithinPartitions("day", "call_id").select("day", "value").write.partitionBy("day").text(path)
+    rejects = jsonl.read_calls(src.spark, path)[1]
+    return rejects.select(F.regexp_extract("file", r"day=(\d+)", 1).cast("int").alias("day"), "line_no", "offset", "line", "reject")
+
+
+@query("src_read_items", """, x AS (SELECT *, CASE WHEN task = 'query_rewriter' AND item_id % 13 = 0 THEN 'gold.intent: missing' WHEN item_id % 20 = 3 THEN 'rubric needs three to five criteria' END AS reject FROM items)
+ SELECT task, reject, count(*) AS n, count(*) FILTER (WHERE core) AS n_core, CAST(sum(length(gold_json)) AS BIGINT) AS gold_chars FROM x GROUP BY ALL""", ("items",))
 def src_read_items(src):
+    """Gold items written as lines and read back; the items whose gold or rubric is broken are rejects."""
     path = scratch(src, "items")
+    n = F.when((F.col("item_id") % 20 == 3) & ~((F.col("task") == "query_rewriter") & (F.col("item_id") % 13 == 0)), 2).otherwise(F.col("n_rubric")).cast("int")
+    rubric = F.transform(F.sequence(F.lit(1), n), lambda x: F.struct(F.concat(F.lit("r"), x.cast("string")).alias("id"), F.lit("holds").alias("criterion")))
     rows = src.view("items").select(
         F.col("item_id").cast("string").alias("item_id"), F.col("task").alias("subagent"), "provenance", "seed", "generator_version",
-        F.col("bucket").alias("difficulty"), "template_id", "core", F.col("gold_json").alias("gold"))
+        F.col("bucket").alias("difficulty"), "template_id", "core", F.col("gold_json").alias("gold"), rubric.alias("rubric"))
     jsonl.write_jsonl(rows, path, "item_id")
-    items, _ = jsonl.read_items(src.spark, path)
-    return items.groupBy(F.col("subagent").alias("task")).agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum(F.length("gold")).cast("long").alias("gold_chars"))
+    items, rejects = jsonl.read_items(src.spark, path)
+    refused = rejects.select(F.from_json("line", "subagent string, core boolean, gold string").alias("r"), "reject").select("r.*", "reject")
+    both = items.select("subagent", "core", "gold", F.lit(None).cast("string").alias("reject")).unionByName(refused)
+    return both.groupBy(F.col("subagent").alias("task"), "reject").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum(F.length("gold")).cast("long").alias("gold_chars"))
 
 
 @query("src_write_jsonl", """SELECT o_orderkey, concat('{"o_custkey":', o_custkey, ',"o_orderkey":', o_orderkey, ',"o_orderpriority":"', o_orderpriority, '","o_orderstatus":"', o_orderstatus, '"}') AS line FROM orders""")

@@ -124,17 +124,27 @@ def gen_contamination(src):
     return G.contamination(examples, src.view("items").filter("core"))
 
 
-@query("gen_contract", """ SELECT item_id, concat_ws('; ', CASE WHEN item_id % 40 = 4 THEN 'duplicate rubric id' END, CASE WHEN item_id % 50 = 6 THEN 'duplicate chunk id' END, CASE WHEN item_id % 30 = 5 THEN 'gold cites an unknown chunk' END,
-  CASE WHEN n_rubric + CASE WHEN item_id % 40 = 4 THEN 1 ELSE 0 END NOT BETWEEN 3 AND 5 THEN 'rubric needs three to five criteria' END) AS defects FROM items WHERE defects <> ''""", ("items",))
+@query("gen_contract", """, x AS (SELECT *, CASE WHEN item_id % 60 = 7 THEN 'unknown task: tool_caller' WHEN item_id % 70 = 9 THEN 'gold: not JSON' WHEN item_id % 70 = 10 THEN 'gold: not object'
+   ELSE nullif(concat_ws('; ', CASE WHEN task = 'query_rewriter' AND item_id % 13 = 0 THEN 'gold.intent: missing' END, CASE WHEN task = 'chunk_summarizer' AND item_id % 70 = 11 THEN 'gold.key_points[0].chunk_ids[1]: not string' END,
+    CASE WHEN task = 'feature_extractor' AND item_id % 70 = 12 THEN 'gold.jurisdiction: not string or null' END, CASE WHEN item_id % 70 = 8 THEN 'gold.surplus: unknown key' END), '') END AS g FROM items)
+ SELECT item_id, concat_ws('; ', g, CASE WHEN item_id % 40 = 4 THEN 'duplicate rubric id' END, CASE WHEN item_id % 50 = 6 THEN 'duplicate chunk id' END,
+  CASE WHEN g IS NULL AND task = 'chunk_summarizer' AND item_id % 30 = 4 THEN 'gold cites an unknown chunk' END,
+  CASE WHEN n_rubric + CASE WHEN item_id % 40 = 4 THEN 1 ELSE 0 END NOT BETWEEN 3 AND 5 THEN 'rubric needs three to five criteria' END) AS defects FROM x WHERE defects <> ''""", ("items",))
 def gen_contract(src):
     def numbered(prefix, n):
         return F.transform(F.sequence(F.lit(1), n.cast("int")), lambda x: F.concat(F.lit(prefix), x.cast("string")))
 
-    i = F.col("item_id")
+    def swapped(old, new):
+        return F.replace("gold_json", F.lit(old), F.lit(new))
+
+    i, gold = F.col("item_id"), F.col("gold_json")
+    broken = (
+        F.when(i % 70 == 8, F.concat(F.lit('{"surplus":1,'), F.substring(gold, 2, 100_000))).when(i % 70 == 9, F.substring(gold, 1, 10)).when(i % 70 == 10, F.concat(F.lit("["), gold, F.lit("]")))
+        .when(i % 70 == 11, swapped('["c1"]', '["c1",7]')).when(i % 30 == 4, swapped('["c1"]', '["c9"]')).when(i % 70 == 12, swapped('"jurisdiction":"US"', '"jurisdiction":5')).otherwise(gold))
     items = src.view("items").select(
-        "item_id", F.when(i % 40 == 4, F.array_append(numbered("r", F.col("n_rubric")), F.lit("r1"))).otherwise(numbered("r", F.col("n_rubric"))).alias("rubric_ids"),
-        F.when(i % 50 == 6, F.array_append(numbered("c", F.col("n_chunks")), F.lit("c1"))).otherwise(numbered("c", F.col("n_chunks"))).alias("chunk_ids"),
-        F.when(i % 30 == 5, F.array(F.lit("c9"))).otherwise(F.array(F.lit("c1"))).alias("cited"))
+        "item_id", F.when(i % 60 == 7, "tool_caller").otherwise(F.col("task")).alias("task"), broken.alias("gold"),
+        F.when(i % 40 == 4, F.array_append(numbered("r", F.col("n_rubric")), F.lit("r1"))).otherwise(numbered("r", F.col("n_rubric"))).alias("rubric_ids"),
+        F.when(i % 50 == 6, F.array_append(numbered("c", F.col("n_chunks")), F.lit("c1"))).otherwise(numbered("c", F.col("n_chunks"))).alias("chunk_ids"))
     return G.contract_defects(items).select("item_id", "defects")
 
 

@@ -1,19 +1,82 @@
-"""JSON-lines logs: strict reads with a reject table, canonical and appending writes."""
+"""JSON-lines logs: strict reads with a reject table, canonical and appending writes.
+
+A reject says where it is: file, line and byte. Spark cuts a large file into ranges of
+bytes, and a task that reads one knows neither how many lines nor how many bytes its lines
+come after. Within a range both are running counts; the ranges' totals, added up per file,
+give where each range starts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armparity import schemas
+from armparity.functions import payload
 from armparity.functions.plan import filter_above
 
 
+def read_all_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its ``file``, the start of the ``range`` of bytes it was read in, and its ``size`` with the line end.
+
+    Lines end in a newline; a carriage return before it is not part of ``line``.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"))
+    return raw.select(F.regexp_replace("value", "\r$", "").alias("line"), "file", "range", (F.octet_length("value") + 1).alias("size"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines with their file; large files are split over tasks."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    return lines.filter(F.trim("line") != "")
+    return read_all_lines(spark, path).filter(F.trim("line") != "")
+
+
+def located(lines: DataFrame, every: DataFrame, kept: str) -> DataFrame:
+    """The rows of ``lines`` in which ``kept`` is not null, with ``file``, ``line_no`` (from 1), ``offset`` (bytes before the line), ``line`` and ``kept``.
+
+    ``lines`` are the rows of :func:`read_all_lines` with a column more, in the order they
+    were read; ``every`` are the plain ones. Counting goes on within each task as its
+    ranges are read, and only the kept rows and one total per range are shuffled.
+    """
+    marked = lines.select("file", "range", "size", F.when(F.col(kept).isNotNull(), F.col("line")).alias("line"), kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, no, at = None, 0, 0
+        for batch in batches:
+            file, start = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            size = batch.column(2).to_numpy().astype(np.int64)
+            new = np.array([True, *((start[1:] != start[:-1]) | np.array([p != q for p, q in zip(file, file[1:])], bool))]) if len(file) else np.zeros(0, bool)
+            if len(file) and (file[0], start[0]) == where:
+                new[0] = False
+            # running counts that begin anew with each range
+            first = np.flatnonzero(new)
+            base_no, base_at = np.arange(len(size)), np.cumsum(size) - size
+            if len(first):
+                of = np.searchsorted(first, np.arange(len(size)), side="right") - 1
+                lead = of < 0
+                line_no = np.where(lead, no + base_no, base_no - base_no[first[of]])
+                offset = np.where(lead, at + base_at, base_at - base_at[first[of]])
+            else:
+                line_no, offset = no + base_no, at + base_at
+            if len(file):
+                where, no, at = (file[-1], start[-1]), int(line_no[-1]) + 1, int(offset[-1] + size[-1])
+            hits = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
+            if len(hits):
+                take = pa.array(hits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line_no[hits]), pa.array(offset[hits]), batch.column(3).take(take), batch.column(4).take(take)],
+                                                 names=["file", "range", "no", "at", "line", kept])
+
+    hits = marked.mapInArrow(run, f"file string, range bigint, no bigint, at bigint, line string, {kept} string")
+    totals = every.groupBy("file", "range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("file", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "bytes")])
+    return hits.join(starts, ["file", "range"]).select(
+        "file", (F.col("n_before") + F.col("no") + 1).alias("line_no"), (F.col("bytes_before") + F.col("at")).alias("offset"), "line", kept)
 
 
 def parse_strict(lines: DataFrame, schema: str, required: tuple[str, ...] = (), allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -40,17 +103,29 @@ def parse_strict(lines: DataFrame, schema: str, required: tuple[str, ...] = (),
 
 
 def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(calls, rejects)``; a reject names its file and carries the line."""
-    return _split(parse_strict(read_lines(spark, path), schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED))
+    """``(calls, rejects)``; a reject has its ``file``, ``line_no``, ``offset``, the ``line`` and why."""
+    every = read_all_lines(spark, path)
+    return _split(parse_strict(every, schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED), every)
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return _split(parse_strict(read_lines(spark, path), schemas.ITEM, schemas.ITEM_REQUIRED))
-
-
-def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = filter_above(parsed, F.col("reject").isNull()).select("rec.*").drop("_bad")
-    return good, filter_above(parsed, F.col("reject").isNotNull()).select("file", "line", "reject")
+    """The same for gold items, whose gold answer has to satisfy its task's schema and whose rubric has to have three to five criteria, each once."""
+    every = read_all_lines(spark, path)
+    parsed = parse_strict(every, schemas.ITEM, schemas.ITEM_REQUIRED)
+    ids = F.transform("rec.rubric", lambda x: x["id"])
+    broken = F.concat(
+        payload.gold_defects(F.col("rec.subagent"), F.col("rec.gold")),
+        F.when(F.size(F.array_distinct(ids)) != F.size(ids), F.array(F.lit("duplicate rubric id"))).otherwise(F.array().cast("array<string>")),
+        F.when(~F.coalesce(F.size(ids).between(3, 5), F.lit(False)), F.array(F.lit("rubric needs three to five criteria"))).otherwise(F.array().cast("array<string>")))
+    staged = parsed.withColumn("_defects", F.when(F.col("reject").isNull() & (F.trim("line") != ""), F.array_join(broken, "; ")))
+    return _split(staged.withColumn("reject", F.coalesce("reject", F.nullif("_defects", F.lit("")))).drop("_defects"), every)
+
+
+def _split(parsed: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # a blank line is no record and no reject, but it counts
+    blank = F.trim("line") == ""
+    good = filter_above(parsed, F.col("reject").isNull() & ~blank).select("rec.*").drop("_bad")
+    return good, located(parsed.withColumn("reject", F.when(~blank, F.col("reject"))), every, "reject")
 
 
 def canonical(df: DataFrame) -> Column:
