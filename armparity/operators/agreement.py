@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,35 @@ NO_PAYLOAD = "no structured output from either arm"
 Similarity = Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A caller's own similarity of two texts, as a function over two equally long Series.
+
+    It runs in Arrow batches and sees each distinct pair of a batch once, whatever the
+    number of rows that hold the pair.
+    """
+
+    score: Callable[[pd.Series, pd.Series], pd.Series]
+
+    def column(self, left: Column, right: Column) -> Column:
+        """``array<double>`` of the pairs at the same place of two ``array<string>`` columns; null where a side is null or blank."""
+        score = self.score
+
+        @F.pandas_udf("array<double>")
+        def rate(a: pd.Series, b: pd.Series) -> pd.Series:
+            sizes = [len(x) for x in a]
+            flat = pd.DataFrame({"a": [t for x in a for t in x], "b": [t for x in b for t in x]}, dtype=object)
+            told = flat["a"].fillna("").str.strip().ne("") & flat["b"].fillna("").str.strip().ne("")
+            pairs = flat[told].drop_duplicates()
+            rated = pairs.assign(s=np.asarray(score(pairs["a"].reset_index(drop=True), pairs["b"].reset_index(drop=True)), float)) if len(pairs) else pairs.assign(s=pd.Series(dtype=float))
+            values = flat.merge(rated, on=["a", "b"], how="left")["s"]
+            values = [None if pd.isna(v) else float(v) for v in values]
+            cuts = np.r_[0, np.cumsum(sizes)]
+            return pd.Series([values[p:q] for p, q in zip(cuts, cuts[1:])])
+
+        return rate(left, right)
+
+
 def _raw_value(p: Column, name: str) -> Column:
     """Comparable value of a field before normalisation."""
     if name == "key_points.text":
@@ -54,18 +86,22 @@ def field_values(task: Column, p: Column, shape: Column) -> Column:
     return out
 
 
-def compare_fields(left: Column, right: Column, similarity: Similarity, threshold: float) -> Column:
-    """Field by field: prose by similarity, everything else by equal normal forms."""
+def compare_fields(left: Column, right: Column, similarity: Similarity, threshold: float, scores: Column | None = None) -> Column:
+    """Field by field: prose by similarity, everything else by equal normal forms.
+
+    ``scores``, where given, hold the similarities of the fields in their order.
+    """
 
-    def compare(a: Column, b: Column) -> Column:
+    def compare(a: Column, b: Column, score: Column | None = None) -> Column:
         blank_a = F.coalesce(F.trim(a["value"]), F.lit("")) == ""
         blank_b = F.coalesce(F.trim(b["value"]), F.lit("")) == ""
         near = F.when(a["kind"] == "prose", F.when(blank_a & blank_b, F.lit(1.0)).when(blank_a | blank_b, F.lit(0.0))
-                      .otherwise(similarity(a["value"], b["value"])))
+                      .otherwise(similarity(a["value"], b["value"]) if score is None else score))
         return F.struct(a["field"].alias("field"), a["kind"].alias("kind"), near.alias("similarity"),
                         a["value"].eqNullSafe(b["value"]).alias("same"))
 
-    rated = F.zip_with(left, right, compare)
+    rated = F.zip_with(left, right, lambda a, b: compare(a, b)) if scores is None else F.zip_with(
+        F.zip_with(left, right, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), scores, lambda ab, s: compare(ab["a"], ab["b"], s))
     return F.transform(rated, lambda x: F.struct(
         x["field"].alias("field"), x["kind"].alias("kind"), x["similarity"].alias("similarity"),
         F.when(x["kind"] == "prose", x["similarity"] >= threshold).otherwise(x["same"]).alias("agreed")))
@@ -82,21 +118,30 @@ def side(calls: DataFrame, arm: str, prefix: str) -> DataFrame:
     return one.select("task", "item_id", F.col("fields").alias(f"{prefix}_fields"), F.when(F.col("_n") > 1, again).otherwise(F.col("answered")).alias(f"{prefix}_answered"))
 
 
-def compare_items(calls: DataFrame, baseline: str, candidate: str, similarity: Similarity = T.lexical_similarity,
+def compare_items(calls: DataFrame, baseline: str, candidate: str, similarity: Similarity | Scorer = T.lexical_similarity,
                   threshold: float = PROSE_THRESHOLD) -> DataFrame:
-    """One row per item seen in either arm: agreement, structured agreement, field detail."""
+    """One row per item seen in either arm: agreement, structured agreement, field detail.
+
+    ``similarity`` of prose is a column function, or a :class:`Scorer` for what columns cannot say.
+    """
     if baseline == candidate:
         raise ValueError("baseline and candidate are the same arm")
     both = side(calls, baseline, "b").join(side(calls, candidate, "c"), ["task", "item_id"], "full_outer")
+    scores = None
+    if isinstance(similarity, Scorer):
+        prose = [F.coalesce(F.transform(f"{p}_fields", lambda x: F.when(x["kind"] == "prose", x["value"])), F.array().cast("array<string>")) for p in "bc"]
+        held = F.col("b_answered") & F.col("c_answered")
+        both = both.withColumn("_scores", similarity.column(*[F.when(held, x).otherwise(F.array().cast("array<string>")) for x in prose]))
+        scores = F.col("_scores")
     b_ok, c_ok = F.coalesce("b_answered", F.lit(False)), F.coalesce("c_answered", F.lit(False))
     empty = F.when(~b_ok & c_ok, "baseline").when(b_ok & ~c_ok, "candidate")
     staged = both.withColumns({
         "has_baseline": F.col("b_answered").isNotNull(), "has_candidate": F.col("c_answered").isNotNull(),
         "comparable": b_ok | c_ok, "empty_arm": empty,
-        "fields": F.when(b_ok & c_ok, compare_fields(F.col("b_fields"), F.col("c_fields"), similarity, threshold)).when(
+        "fields": F.when(b_ok & c_ok, compare_fields(F.col("b_fields"), F.col("c_fields"), similarity, threshold, scores)).when(
             b_ok | c_ok, F.transform(F.coalesce("b_fields", "c_fields"), lambda x: F.struct(
                 x["field"].alias("field"), x["kind"].alias("kind"), F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("agreed")))),
-    }).drop("b_fields", "c_fields", "b_answered", "c_answered")
+    }).drop("b_fields", "c_fields", "b_answered", "c_answered", "_scores")
     one_empty = F.col("empty_arm").isNotNull()
     agreed = F.when(F.col("comparable"), ~one_empty & F.forall("fields", lambda x: x["agreed"]))
     structured = F.when(F.col("comparable"), ~one_empty & F.forall("fields", lambda x: x["agreed"] | (x["kind"] == "prose")))

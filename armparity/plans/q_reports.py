@@ -10,7 +10,9 @@ from armparity.operators import gates as G
 from armparity.operators import judge as J
 from armparity.operators import ladder as L
 from armparity.operators import latency as LT
+from armparity.operators import lineage as LN
 from armparity.operators import metrics as M
+from armparity.operators import rungs as RG
 from armparity.operators import store as ST
 from armparity.plans.q_gates import ALT, _VIEWS, checks, evidence
 from armparity.plans.q_judge import FOLDED, scored_cells
@@ -194,3 +196,72 @@ def rpt_models(src):
     names = calls.select("model").distinct().select(F.explode(F.array("model", F.concat("model", F.lit("-next")))).alias("model"))
     models = names.withColumn("role", F.when(F.col("model") == "incumbent", "baseline").when(F.col("model").endswith("-next"), "spare").otherwise("candidate"))
     return R.models_page(models, ST.recording_window(calls, ("model",)), ["baseline", "candidate"])
+
+
+# --- rungs as rows, lineage ------------------------------------------------------------------
+
+def rung_rows(src):
+    """Rungs of the given parts: each builds on the part a quarter of its key, and states what it changes."""
+    p, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    parent = F.when(p >= 4, F.concat(F.lit("r"), F.expr("p_partkey div 4").cast("string")))
+    entries = F.array(
+        F.when(parent.isNull() | (size % 3 == 0), F.struct(F.lit("model").alias("key"), F.col("p_brand").alias("value"))),
+        F.when(size % 5 == 0, F.struct(F.lit("prompt").alias("key"), F.concat(F.lit("pack "), size.cast("string")).alias("value"))))
+    return src.table("part").select(F.lit("query_rewriter").alias("task"), F.concat(F.lit("r"), p.cast("string")).alias("rung"), parent.alias("parent"),
+                                    F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("settings"))
+
+
+@query("lad_rungs", """WITH RECURSIVE w AS (SELECT p_partkey AS id, p_brand AS model, CASE WHEN CAST(p_size AS BIGINT) % 5 = 0 THEN concat('pack ', CAST(p_size AS BIGINT)) END AS prompt, 0 AS depth, concat('r', p_partkey) AS path FROM part WHERE p_partkey < 4
+ UNION ALL SELECT p.p_partkey, CASE WHEN CAST(p.p_size AS BIGINT) % 3 = 0 THEN p.p_brand ELSE w.model END, CASE WHEN CAST(p.p_size AS BIGINT) % 5 = 0 THEN concat('pack ', CAST(p.p_size AS BIGINT)) ELSE w.prompt END, w.depth + 1, concat(w.path, '>r', p.p_partkey)
+  FROM part p JOIN w ON p.p_partkey // 4 = w.id WHERE p.p_partkey >= 4)
+ SELECT 'query_rewriter' AS task, concat('r', id) AS rung, model, prompt, depth, path FROM w UNION ALL SELECT 'feature_extractor', 'extra', 'plain', 'own', 0, 'extra'""")
+def lad_rungs(src):
+    """Registered rungs with what they inherit."""
+    extra = src.spark.sql("SELECT 'feature_extractor' AS task, 'extra' AS rung, CAST(NULL AS STRING) AS parent, map('model', 'plain', 'prompt', 'own') AS settings")
+    found = RG.resolve(RG.register(rung_rows(src), extra, ["query_rewriter", "feature_extractor"]))
+    return found.select("task", "rung", F.col("settings")["model"].alias("model"), F.col("settings")["prompt"].alias("prompt"), "depth", F.array_join("path", ">").alias("path"))
+
+
+_ARM = "count(*) AS n, round(avg(CAST(status = 'ok' AS INTEGER)), 9) AS point, CAST(min(ts) AS VARCHAR)[:19] AS recorded_from, CAST(max(ts) AS VARCHAR)[:19] AS recorded_to"
+
+
+@query("lad_candidate", f""", arms AS (SELECT task, 'baseline' AS arm, 'incumbent' AS variant, {_ARM} FROM calls WHERE arm = 'baseline' AND k < 50 GROUP BY task
+  UNION ALL SELECT task, 'candidate', concat('r', length(task) % 8, ' v', length(task) % 3), {_ARM} FROM calls WHERE arm = 'candidate' AND k % 8 = length(task) % 8 GROUP BY task)
+ SELECT *, min(recorded_from) OVER () AS window_from, max(recorded_to) OVER () AS window_to FROM arms""", ("calls",))
+def lad_candidate(src):
+    """The arms a candidate is scored on, and the window both recordings span."""
+    calls = src.view("calls").withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    arm = [F.count("*").alias("n"), F.round(F.avg((F.col("status") == "ok").cast("double")), 9).alias("point"), F.min("at").alias("recorded_from"), F.max("at").alias("recorded_to")]
+    ships = F.concat(F.lit("v"), (F.length("task") % 3).cast("string"))
+    records = calls.filter("arm = 'candidate'").groupBy("task", F.concat(F.lit("r"), (F.col("k") % 8).cast("string")).alias("rung")).agg(*arm).withColumns({"variant": ships, "status": F.lit("measured")})
+    baselines = calls.filter("arm = 'baseline' and k < 50").groupBy("task").agg(*arm).withColumn("variant", F.lit("incumbent"))
+    choice = calls.select("task").distinct().select("task", F.concat(F.lit("r"), (F.length("task") % 8).cast("string")).alias("rung"), ships.alias("variant"))
+    return RG.candidate_arms(records, choice, baselines)
+
+
+_PRINTED = ["call_id", "item_id", "arm", "model", "status", "total_ms", "error"]
+_PRINT = """, d AS (SELECT task, md5(concat(""" + ", ".join(f"CASE WHEN {c} IS NULL THEN '~' ELSE concat(length(CAST({c} AS VARCHAR)), ':', {c}) END" for c in _PRINTED) + """)) AS h FROM calls),
+ fp AS (SELECT task, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS sum_a, CAST(sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS sum_b FROM d GROUP BY ALL)"""
+
+
+def store_prints(src):
+    """Fingerprints of a store written in a base and two appends, added up without reading the base again."""
+    calls = src.view("calls")
+    parts = [LN.fingerprint(calls.filter(F.expr(f"call_id % 7 in ({keys})")), ("task",), _PRINTED) for keys in ("0, 1, 2, 3", "4, 5", "6")]
+    held = parts[0]
+    for part in parts[1:]:
+        held = LN.merge(held.unionByName(part), ("task",))
+    return held
+
+
+@query("rpt_fingerprint", _PRINT + " SELECT task, n, sum_a, sum_b, lower(concat(n, '-', lpad(to_hex(sum_a), 15, '0'), lpad(to_hex(sum_b), 15, '0'))) AS print FROM fp", ("calls",))
+def rpt_fingerprint(src):
+    return store_prints(src).withColumn("print", LN.text(F.col("n"), F.col("sum_a"), F.col("sum_b")))
+
+
+@query("rpt_lineage", _PRINT + f""", b AS (SELECT task, concat('replayed ', count(*), ' calls over ', count(DISTINCT model), ' models; Recorded ', {_S.format('min(ts)')}, ' (SGT) → ', {_S.format('max(ts)')}, ' (SGT)') AS banner FROM calls GROUP BY ALL),
+ m AS (SELECT task, string_agg(DISTINCT CAST(seed AS VARCHAR), '/' ORDER BY CAST(seed AS VARCHAR)) AS seeds, string_agg(DISTINCT generator_version, '/' ORDER BY generator_version) AS versions FROM items GROUP BY ALL)
+ SELECT task, concat(banner, '; seeds ', seeds, '; generator ', versions, '; store ', lower(concat(n, '-', lpad(to_hex(sum_a), 15, '0'), lpad(to_hex(sum_b), 15, '0')))) AS banner FROM b JOIN m USING (task) JOIN fp USING (task)""", ("calls", "items"))
+def rpt_lineage(src):
+    """The banner with seeds, versions and the store's fingerprint."""
+    return LN.banner(src.view("calls"), src.view("items"), store_prints(src))

@@ -1,5 +1,6 @@
 """Agreement, triage, cross-check."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from armparity.functions import payload as P
@@ -20,8 +21,9 @@ _ALL = ("calls", "items", "cells", "verdicts")
 
 
 def shadow_calls(src):
-    """The shadow slice: some candidate calls never arrived."""
-    return src.view("calls").filter("not (arm = 'candidate' and k = 99)")
+    """The live slice: some candidate calls answer an item that the baseline never saw, whose own item then lacks a candidate."""
+    astray = (F.col("arm") == "candidate") & (F.col("k") == 99)
+    return src.view("calls").withColumn("item_id", F.col("item_id") + F.when(astray, 10**12).otherwise(0))
 
 
 def _fv_row(task, field, kind):
@@ -40,7 +42,7 @@ def _fv_row(task, field, kind):
         val = (_C if kind == "code" else _N).format(f"j->>'{path}'")
         if field == "independent_claim_count":
             val = f"CASE WHEN json_type(j, '{path}') = 'VARCHAR' THEN 'text ' || ({val}) ELSE {val} END"
-    return f"SELECT item_id, arm, task, j IS NOT NULL AS answered, '{field}' AS field, '{kind}' AS kind, {val} AS val FROM scored WHERE task = '{task}' AND NOT (arm = 'candidate' AND k = 99)"
+    return f"SELECT item_id + CASE WHEN arm = 'candidate' AND k = 99 THEN 1000000000000 ELSE 0 END AS item_id, arm, task, j IS NOT NULL AS answered, '{field}' AS field, '{kind}' AS kind, {val} AS val FROM scored WHERE task = '{task}'"
 
 
 FV = SCORED + ", fvals AS (" + " UNION ALL ".join(_fv_row(t, f, k) for t, ks in P.AGREEMENT_KINDS.items() for f, k in ks.items()) + ")"
@@ -76,6 +78,28 @@ def shd_compare_item(src):
         "item_id", "comparable", "agreed", "structured_agreed", "empty_arm", "reason")
 
 
+def aligned_share(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Twice the words of the longest common subsequence over all words of both texts."""
+
+    def rate(a: str, b: str) -> float:
+        a, b = a.lower().split(), b.lower().split()
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return 2 * row[-1] / (len(a) + len(b))
+
+    return pd.Series([rate(a, b) for a, b in zip(left, right)], dtype=float)
+
+
+@query("shd_compare_aligned", None)
+def shd_compare_aligned(src):
+    """Fields compared by a caller's own score of prose, which looks at the order of words."""
+    items = A.compare_items(shadow_calls(src), "baseline", "candidate", A.Scorer(aligned_share))
+    return items.filter("comparable").select("task", "item_id", F.inline("fields"))
+
+
 _SUMMARY = """SELECT task, count(*) AS n_items, count(*) FILTER (WHERE comparable) AS n_compared, count(*) FILTER (WHERE agreed) AS n_agreed, count(*) FILTER (WHERE structured) AS n_structured,
   count(*) FILTER (WHERE NOT comparable) AS n_excluded, count(empty_arm) AS n_one_arm_empty, round(avg(CAST(agreed AS INTEGER)), 9) AS agreement, round(avg(CAST(structured AS INTEGER)), 9) AS structured_agreement FROM ia GROUP BY ALL"""
 
@@ -111,7 +135,7 @@ TRIAGE = AGREE + CELL_SCORES + """, js AS (SELECT item_id, arm, avg(score) AS sc
      WHERE json_type(ij) = 'OBJECT' AND len(list_filter(json_keys(ij), lambda x: list_contains(CASE task WHEN 'query_rewriter' THEN ['query', 'filters', 'intent'] WHEN 'chunk_summarizer' THEN ['summary', 'key_points']
       ELSE ['title', 'assignee', 'filing_date', 'jurisdiction', 'cpc_codes', 'technical_field', 'independent_claim_count', 'novelty_statement'] END, x))) >= 2) ON cid = call_id
    WHERE arm = 'baseline' AND (tag <> 'valid' OR cid IS NOT NULL)),
- tr AS (SELECT ia.task, ia.item_id, bs.score AS b_score, c2.score AS c_score, bs.first AS bf, c2.first AS cf, CASE WHEN ia.task = 'query_rewriter' AND ia.item_id % 5 >= 2 THEN 'outside the judged split'
+ tr AS (SELECT ia.task, ia.item_id, bs.score AS b_score, c2.score AS c_score, bs.first AS bf, c2.first AS cf, CASE WHEN ia.item_id >= 1000000000000 OR (ia.task = 'query_rewriter' AND ia.item_id % 5 >= 2) THEN 'outside the judged split'
     WHEN NOT (hb AND hc) THEN 'one arm has no call for this item' WHEN bs.score IS NULL AND c2.score IS NULL THEN 'no verdict for baseline, candidate'
     WHEN bs.score IS NULL THEN 'no verdict for baseline' WHEN c2.score IS NULL THEN 'no verdict for candidate' END AS reason, ia.item_id IN (SELECT item_id FROM bad) AS malformed
    FROM ia LEFT JOIN js bs ON bs.item_id = ia.item_id AND bs.arm = 'baseline' LEFT JOIN js c2 ON c2.item_id = ia.item_id AND c2.arm = 'candidate' WHERE agreed = false),
@@ -152,7 +176,7 @@ def shd_unadjudicated(src):
 
 
 @query("shd_report", AGREE + f""", lat AS (SELECT task, quantile_cont(total_ms, 0.95) FILTER (WHERE arm = 'baseline') AS b, quantile_cont(total_ms, 0.95) FILTER (WHERE arm = 'candidate') AS c FROM calls
-   WHERE total_ms IS NOT NULL AND NOT (arm = 'candidate' AND k = 99) GROUP BY ALL) SELECT s.task, n_compared, agreement, structured_agreement, round(b, 6) AS baseline_p95, round(c, 6) AS candidate_p95 FROM ({_SUMMARY}) s JOIN lat USING (task)""", _VIEWS)
+   WHERE total_ms IS NOT NULL GROUP BY ALL) SELECT s.task, n_compared, agreement, structured_agreement, round(b, 6) AS baseline_p95, round(c, 6) AS candidate_p95 FROM ({_SUMMARY}) s JOIN lat USING (task)""", _VIEWS)
 def shd_report(src):
     """The whole shadow pass of one arm pair: agreement beside latency per task."""
     calls = shadow_calls(src)
