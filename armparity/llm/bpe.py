@@ -324,7 +324,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False,
     passes as it is, and other columns play no part.
     """
     narrow = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {dict(narrow.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)

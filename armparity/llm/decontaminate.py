@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from armparity.llm.common import checkpointed, fingerprint, fresh, summed
 
@@ -38,7 +40,7 @@ class Settings:
     paraphrase: float = 0.6  #: the share that is enough where the answer words are there
     answer: float = 0.2  #: share of an item's distinct words that make its answer, the rarest
     answered: float = 0.5  #: share of the answer's words a paraphrase has to have
-    least_words: int = 5  #: items of fewer words identify nothing and are not searched
+    least_words: int = 5  #: items of fewer words are found only as a whole text: inside another they say nothing
     block_chars: int = 16_000_000  #: characters of benchmark text searched at a time
 
 
@@ -81,19 +83,25 @@ def _coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, k1 bigint, k2 bigint, codes binary")
 
 
-def _passages(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Known words of a batch with the number of their passage, and how many passages there are."""
-    codes, passage, n = [], [], 0
+def _passages(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Passages of a batch, a row of codes each in rising order, short ones filled up with 0."""
+    parts = []
     for value in batch.column(0):
         c = np.frombuffer(value.as_buffer(), np.uint32)
-        codes.append(c)
-        passage.append(n + np.arange(len(c)) // size)
-        n += -(-len(c) // size)
-    if not codes:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
-    c, p = np.concatenate(codes), np.concatenate(passage)
-    known = c > 0
-    return c[known].astype(np.int64) - 1, p[known], n
+        parts += [c, np.zeros(-len(c) % size, np.uint32)]
+    rows = np.concatenate(parts or [np.zeros(0, np.uint32)]).reshape(-1, size)
+    return np.sort(rows, axis=1)
+
+
+def _terms(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, word (from 0) and count of each word of some passages, by passage."""
+    first = rows > 0
+    first[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+    at = np.flatnonzero(first)
+    passage = at // rows.shape[1]
+    # a word's run ends where the next begins, or with its passage
+    ends = np.minimum(np.r_[at[1:], rows.size], (passage + 1) * rows.shape[1])
+    return passage, rows.reshape(-1)[at].astype(np.int64) - 1, ends - at
 
 
 def _inverse_frequency(coded: DataFrame, v: int, s: Settings) -> np.ndarray:
@@ -102,9 +110,9 @@ def _inverse_frequency(coded: DataFrame, v: int, s: Settings) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(v + 1)
         for batch in batches:
-            c, p, n = _passages(batch, s.passage)
-            held[:v] += np.bincount(np.unique(c + p * v) % v, minlength=v) if len(c) else 0
-            held[v] += n
+            rows = _passages(batch, s.passage)
+            held[:v] += np.bincount(_terms(rows)[1], minlength=v)
+            held[v] += len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["key", "data"])
 
     rows = summed(coded.select("codes").mapInArrow(run, "key int, data binary")).collect()
@@ -125,19 +133,20 @@ def _latent(coded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((v, width))
         for batch in batches:
-            c, p, n = _passages(batch, s.passage)
-            for low in range(0, len(c), 1 << 17):  # bounds the dense parts; a passage cut here counts as two
-                cc, pp = c[low : low + (1 << 17)], p[low : low + (1 << 17)]
-                pp = pp - pp[0]
-                keys, counts = np.unique(pp * v + cc, return_counts=True)
-                pp, cc = keys // v, keys % v
+            rows = _passages(batch, s.passage)
+            for low in range(0, len(rows), 2048):  # bounds the dense parts
+                pp, cc, counts = _terms(rows[low : low + 2048])
+                if not len(pp):
+                    continue
                 w = counts * idf[cc]
                 w = w / np.sqrt(np.bincount(pp, weights=w * w))[pp]
                 starts = np.flatnonzero(np.r_[True, np.diff(pp) > 0])
                 product = np.add.reduceat(test[cc] * w[:, None], starts)  # A W, a row per passage
                 back = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pp)]))
-                for k in range(width):
-                    out[:, k] += np.bincount(cc, weights=w * product[back, k], minlength=v)
+                # A' times that: the rows of a word together
+                order = np.argsort(cc, kind="stable")
+                words = np.flatnonzero(np.r_[True, np.diff(cc[order]) > 0])
+                out[cc[order][words]] += np.add.reduceat(product[back[order]] * w[order][:, None], words)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["key", "data"])
 
     rows = summed(coded.select("codes").mapInArrow(run, "key int, data binary"), 16).collect()
@@ -173,7 +182,7 @@ def _index(items: list[tuple[int, list[int]]], latent: np.ndarray, idf: np.ndarr
     uses.sort()
     words, item, times = (np.array(x, np.int64) for x in zip(*uses)) if uses else (np.zeros(0, np.int64),) * 3
     return {"classes": classes, "checks": checks, "start": np.searchsorted(words, np.arange(len(idf) + 2)), "item": item, "times": times,
-            "need": np.array([s.paraphrase * c[1] for c in checks])}
+            "need": np.array([s.paraphrase * c[1] for c in checks]), "words": [np.array(sorted(c[2]), np.uint32) for c in checks]}
 
 
 def _possible(codes: np.ndarray, index: dict) -> np.ndarray:
@@ -193,18 +202,31 @@ def _search_text(codes: np.ndarray, latent: np.ndarray, index: dict, s: Settings
     if not classes:
         return found
     n, most = len(codes), max(c[0] for c in classes)
+    words, place = np.unique(codes, return_inverse=True)
+    of_item = {member: np.isin(words, index["words"][member]) for _, _, members, _ in classes for member in members}
     for low in range(0, n, 20_000):  # bounds the running sums of a very long text
         part = codes[low : low + 20_000 + most]
-        total = np.zeros((len(part) + 1, latent.shape[1]))
-        known = part > 0
-        total[1:][known] = latent[part[known] - 1]
-        np.cumsum(total, axis=0, out=total)
+        total = None
         for window, stride, members, vectors in classes:
             starts = np.arange(0, min(20_000, n - low), stride)
             ends = np.minimum(starts + window, len(part))
+            # a window with too few words of an item cannot pass its check
+            enough = np.zeros((len(starts), len(members)), bool)
+            for k, member in enumerate(members):
+                held = np.r_[0, np.cumsum(of_item[member][place[low : low + len(part)]])]
+                enough[:, k] = held[ends] - held[starts] >= index["need"][member]
+            some = np.flatnonzero(enough.any(axis=1))
+            if not len(some):
+                continue
+            if total is None:
+                total = np.zeros((len(part) + 1, latent.shape[1]))
+                known = part > 0
+                total[1:][known] = latent[part[known] - 1]
+                np.cumsum(total, axis=0, out=total)
+            starts, ends = starts[some], ends[some]
             sums = (total[ends] - total[starts]).astype(np.float32)
             norms = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-            near = sums @ vectors.T >= s.cosine * np.maximum(norms, 1e-9)[:, None]
+            near = (sums @ vectors.T >= s.cosine * np.maximum(norms, 1e-9)[:, None]) & enough[some]
             for w, k in zip(*np.nonzero(near)):
                 item_id, size, masks, times, rare = index["checks"][members[k]]
                 if found.get(item_id, 0.0) >= 1.0:
@@ -226,38 +248,47 @@ def _searched(docs: DataFrame, benchmark: DataFrame, s: Settings) -> DataFrame:
     out = None
     for block in range(blocks):  # a benchmark too large for one broadcast is searched part by part
         rows = given.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        texts = sorted((r.item_id, w) for r in rows if len(w := _words(r.text)) >= s.least_words)
+        texts = sorted((r.item_id, w) for r in rows if (w := _words(r.text)))
         vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, words in texts for w in words}))}
         coded = checkpointed(_coded(docs, vocabulary))
-        if vocabulary:
+        items = [(i, [vocabulary[w] for w in words]) for i, words in texts]
+        whole: dict[tuple[int, ...], list] = {}
+        for i, codes in items:
+            if len(codes) < s.least_words:
+                whole.setdefault(tuple(codes), []).append(i)
+        long = [(i, codes) for i, codes in items if len(codes) >= s.least_words]
+        latent, index = np.zeros((0, 1), np.float32), None
+        if long:
             idf = _inverse_frequency(coded, len(vocabulary), s)
             latent = _latent(coded, idf, s)
-            index = _index([(i, [vocabulary[w] for w in words]) for i, words in texts], latent, idf, s)
-        else:
-            latent, index = np.zeros((0, 1), np.float32), None
-        found = _hits(coded, latent, index, s)
+            index = _index(long, latent, idf, s)
+        found = _hits(coded, latent, index, whole, benchmark.schema["item_id"].dataType, s)
         out = found if out is None else out.join(found.toDF("doc_id", "k1", "k2", "more", "other").drop("doc_id").distinct(), ["k1", "k2"]).select(
             "doc_id", "k1", "k2", F.concat("items", "more").alias("items"), F.greatest("share", "other").alias("share"))
     return out
 
 
-def _hits(coded: DataFrame, latent: np.ndarray, index: dict | None, s: Settings) -> DataFrame:
+def _hits(coded: DataFrame, latent: np.ndarray, index: dict | None, whole: dict[tuple[int, ...], list], kind: DataType, s: Settings) -> DataFrame:
     context = coded.sparkSession.sparkContext
-    model = context.broadcast((latent, index))  # of the benchmark's size, which block_chars bounds
+    model = context.broadcast((latent, index, whole))  # of the benchmark's size, which block_chars bounds
+    arrow = pa.list_(to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, index = model.value
+        latent, index, whole = model.value
         for batch in batches:
             items, shares = [], []
             for value in batch.column(3):
-                found = _search_text(np.frombuffer(value.as_buffer(), np.uint32), latent, index, s) if index else {}
+                codes = np.frombuffer(value.as_buffer(), np.uint32)
+                found = _search_text(codes, latent, index, s) if index else {}
+                if len(codes) < s.least_words:
+                    found |= dict.fromkeys(whole.get(tuple(codes.tolist()), ()), 1.0)
                 items.append(sorted(found))
                 shares.append(max(found.values(), default=0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.list_(pa.int64())), pa.array(shares, pa.float64())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, arrow), pa.array(shares, pa.float64())],
                                              names=["doc_id", "k1", "k2", "items", "share"])
 
     ids = dict(coded.dtypes)["doc_id"]
-    return coded.mapInArrow(run, f"doc_id {ids}, k1 bigint, k2 bigint, items array<bigint>, share double")
+    return coded.mapInArrow(run, f"doc_id {ids}, k1 bigint, k2 bigint, items array<{kind.simpleString()}>, share double")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -265,9 +296,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings())
 
     ``share`` is the largest part of an item's words that the text has in order. Whole
     texts are searched, null and empty ones have nothing. Benchmark rows with a null id
-    or text, or with fewer than ``least_words`` words, are not searched; rows of one id
-    count as that item. An empty benchmark finds nothing. ``item_id`` is an integer;
-    repeated rows are judged alike, and other columns play no part.
+    or text are not searched; rows of one id count as that item. An item of fewer than
+    ``least_words`` words is found where it is the whole text. An empty benchmark finds
+    nothing. Repeated rows are judged alike, and other columns play no part.
     """
     found = _searched(docs, benchmark, s)
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "share")

@@ -146,3 +146,46 @@ def test_leaks(spark, docs_of):
     split = decontaminate.find_leaks(docs, bench, decontaminate.Settings(block_chars=2000)).collect()
     assert len(split) == len(rows) and all(leaked[r.doc_id] in r["items"] for r in split if r.doc_id in exact)
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_leaks_of_short_items_and_named_items(spark, docs_of):
+    bench = spark.createDataFrame([("short", "four words in all"), ("one", "Unique!"), ("long", "a longer item that has more than five words in it"), (None, "no id"), ("void", "")], "item_id string, text string")
+    rows = [(1, "Four words, in all."), (2, "here are four words in all of it"), (3, "unique"), (4, "x a longer item that has more than five words in it y"), (5, None), (6, "")]
+    got = {r.doc_id: r["items"] for r in decontaminate.find_leaks(docs_of(rows), bench).collect()}
+    assert got == {1: ["short"], 2: [], 3: ["one"], 4: ["long"], 5: [], 6: []}
+
+
+def test_passage_terms_against_counters():
+    rng = np.random.default_rng(4)
+    rows = np.sort(rng.integers(0, 9, (40, 16)).astype(np.uint32), axis=1)
+    rows[3], rows[7] = 0, 5
+    passage, word, count = decontaminate._terms(rows)
+    want = {(p, w - 1): n for p in range(40) for w, n in Counter(rows[p].tolist()).items() if w}
+    assert dict(zip(zip(passage.tolist(), word.tolist()), count.tolist())) == want
+
+
+def test_search_against_every_window():
+    """The search finds an item wherever any window of its class holds enough of it in order, with the cosine set so low that it excludes nothing."""
+    rng = random.Random(2)
+    items = [(k, [rng.randint(1, 60) for _ in range(rng.randint(6, 20))]) for k in range(30)]
+    s = decontaminate.Settings(cosine=-2.0)
+    idf, latent = np.ones(60), np.random.default_rng(1).standard_normal((60, 8)).astype(np.float32)
+    index = decontaminate._index(items, latent, idf, s)
+    for _ in range(60):
+        text = [rng.randint(0, 60) for _ in range(rng.randint(0, 80))]
+        if rng.random() < 0.6:
+            item = rng.choice(items)[1]
+            kept = [w for w in item if rng.random() < rng.choice([1, 0.85, 0.7])]
+            at = rng.randint(0, len(text))
+            text[at:at] = kept
+        want = {}
+        for window, stride, members, _ in index["classes"]:
+            for start in range(0, len(text), stride):
+                part = text[start : start + window]
+                for member in members:
+                    item_id, size, masks, _, rare = index["checks"][member]
+                    share = decontaminate.lcs_length(masks, size, part) / size
+                    if share >= s.copy or share >= s.paraphrase and len(rare.intersection(part)) >= s.answered * len(rare):
+                        want[item_id] = max(share, want.get(item_id, 0))
+        got = decontaminate._search_text(np.array(text, np.uint32), latent, index, s)
+        assert set(got) == set(want)
