@@ -14,6 +14,7 @@ stated queries run against every block; a block keeps its best for each query.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -135,15 +136,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, s: Settings = Set
     ``is_query`` picks the queries among the rows; candidates are all rows but the
     query's own. Products are in double precision on the original vectors, ties go to the
     smaller ``vec_id``. Null, empty and zero vectors, vectors with a null or non-finite
-    component, rows without ``vec_id``, and vectors of another length than most have (of
-    equal counts, the longer) take no part. Rows of one ``vec_id`` count once, with the
-    smallest of its vectors. Other columns play no part; an empty table gives no rows.
+    component, and rows without ``vec_id`` take no part. Vectors of each length have their
+    own forests and are searched among themselves. Rows of one ``vec_id`` and length count
+    once, with the smallest of its vectors. Other columns play no part; an empty table
+    gives no rows.
     """
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     good = vectors.filter(F.col("vec_id").isNotNull()).withColumn("_query", is_query).select("vec_id", "_query", doubles.alias("v")).filter(_usable(F.col("v")))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    shape = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(size).alias("m")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    dim, n, longest = (shape[0].dim, shape[0].n, math.sqrt(shape[0].m)) if shape else (0, 0, 0.0)
+    # a table of embeddings has few lengths: one per model
+    shapes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(size).alias("m")).orderBy("dim").collect()
+    found = [_of_length(good, r.dim, r.n, math.sqrt(r.m), k, s) for r in shapes] or [_of_length(good, 0, 0, 0.0, k, s)]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    every = functools.reduce(DataFrame.unionByName, found)
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(good: DataFrame, dim: int, n: int, longest: float, k: int, s: Settings) -> DataFrame:
+    """The best found among vectors of one length, by block."""
     rows = good.filter(F.size("v") == dim).groupBy(F.col("vec_id").cast("bigint").alias("id")).agg(F.min("v").alias("v"), F.max("_query").alias("_query"))
     blocks = max(1, math.ceil(n / s.index_block))
     asked = rows.filter("_query").select("id", "v")
@@ -152,6 +162,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, s: Settings = Set
         other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
     left = spread(rows.select("id", "v"), "i", blocks, "j", groups).select(F.col("i").cast("int"), "j", "id", "v")
     right = spread(asked, "j", groups, "i", blocks).select("i", F.col("j").cast("int"), "id", "v")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_search(k, longest, s), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_block_search(k, longest, s), "query_id bigint, vec_id bigint, score double")

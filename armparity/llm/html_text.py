@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,24 +64,38 @@ class Settings:
 GOOD, BAD, OPEN = 1, 0, -1
 
 
-def _marked(attrs: str) -> bool:
+#: First words of names that say what an element has or lacks, and words of names of whole pages: neither says what it is.
+_STATES = frozenset("no not has have with without hide show is open closed".split())
+_PAGES = frozenset("page site layout template home".split())
+
+
+def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether a name in its class, id or role marks it as something beside an article."""
+    named = False
     for name, *values in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, named
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif name in ("class", "id", "role") and not _MARKS.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+                return True, named
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words = _PART.findall(token)
+                if tag in _MAIN:
+                    # an article is an article, unless a name says outright that it is a comment or a teaser
+                    named |= token in _MARKS
+                elif words and words[0] not in _STATES and _PAGES.isdisjoint(words):
+                    named |= not _MARKS.isdisjoint(words)
+    return False, named
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """Blocks in page order: text with single blanks, characters of it in links, place (BAD aside, GOOD in an article, OPEN), number of its article (0 outside)."""
-    found: list[tuple[str, int, int, int]] = []
-    open_tags: list[tuple[str, bool]] = []
-    aside = inside = links = articles = 0
+def blocks(page: str) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
+    """Blocks in page order: text with single blanks, characters of it in links, place (BAD aside, GOOD in an article, OPEN), number of its article (0 outside), and the numbers of the elements around it that only a name marks."""
+    found: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+    open_tags: list[tuple[str, bool, int]] = []
+    marks: list[int] = []
+    aside = inside = links = articles = named = 0
     parts: list[str] = []
     linked: list[str] = []
 
@@ -88,14 +103,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, len(" ".join(html.unescape("".join(linked)).split())), BAD if aside else GOOD if inside else OPEN, articles if inside else 0))
+                found.append((text, len(" ".join(html.unescape("".join(linked)).split())), BAD if aside else GOOD if inside else OPEN, articles if inside else 0, tuple(marks)))
             parts.clear()
             linked.clear()
 
     def close(k: int) -> None:
         nonlocal aside, inside, links
-        for tag, bad in open_tags[k:]:
+        for tag, bad, mark in open_tags[k:]:
             aside -= bad
+            if mark:
+                marks.remove(mark)
             inside -= tag in _MAIN
             links -= tag == "a"
         del open_tags[k:]
@@ -131,8 +148,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         attrs = m["attrs"]
         if tag in _VOID or attrs.endswith("/"):
             continue
-        bad = tag in _ASIDE or tag == "header" and not inside or tag not in ("html", "body") and bool(attrs) and _marked(attrs)
-        open_tags.append((tag, bad))
+        hidden, marked = _marked(tag, attrs) if attrs and tag not in ("html", "body") else (False, False)
+        bad = tag in _ASIDE or tag == "header" and not inside or hidden
+        named += marked
+        open_tags.append((tag, bad, named if marked else 0))
+        if marked:
+            marks.append(named)
         aside += bad
         articles += tag in _MAIN and not inside
         inside += tag in _MAIN
@@ -168,11 +189,27 @@ def main_text(page: str | None, s: Settings = Settings()) -> str:
     the two differ, the nearer by characters between, of equals the good one. Blocks
     inside an article ask within it only, and what stands aside there is not asked; where
     nothing is decided on one side of them, they are good. Blocks outside ask each other
-    and what stands aside; one that no neighbour decides is bad.
+    and what stands aside; one that no neighbour decides is bad. What a class, id or role
+    marks stands aside; where that would leave a page empty, an element that holds most of
+    its text is judged as if it had no such name.
     """
     if not page:
         return ""
     found = blocks(page)
+    out = _good(found, frozenset(), s)
+    if not out and any(marks for *_, marks in found):
+        # names alone do not empty a page: the elements that hold most of it are judged without them
+        held: Counter[int] = Counter()
+        for text, _, _, _, marks in found:
+            held.update(dict.fromkeys(marks, len(text)))
+        total = sum(len(text) for text, *_ in found)
+        out = _good(found, frozenset(m for m, n in held.items() if 2 * n > total), s)
+    return out
+
+
+def _good(found: list[tuple[str, int, int, int, tuple[int, ...]]], unmarked: frozenset[int], s: Settings) -> str:
+    """The good blocks; ``unmarked`` elements count as if they had no name."""
+    found = [(text, linked, place if unmarked.issuperset(marks) else BAD, article) for text, linked, place, article, marks in found]
     labels = [_alone(text, linked, place, s) for text, linked, place, _ in found]
     ends, total = [], 0
     for text, *_ in found:

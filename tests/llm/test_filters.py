@@ -111,3 +111,24 @@ def test_pages(spark):
                                    (2, "v", "<article>" + "<p>word</p>" * 30_000, "z")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 3), (1, 3), (2, 149_999)]
+
+
+STORY = "The council met on Monday and said that it would not be the last of the meetings that the town has had about the bridge, which was built in a time when there were no cars. "
+
+
+@pytest.mark.parametrize("wrapper", ['<main class="content no-sidebar">', '<article class="post has-comments">', '<div id="page" class="search-page">', '<div class="related">', '<div class="layout with-sidebar">'])
+def test_names_of_wrappers_do_not_lose_the_story(wrapper):
+    from armparity.llm import html_text
+
+    tag = wrapper[1:].split()[0]
+    page = f"<html><body><nav><a href=x>Home</a></nav>{wrapper}<p>{STORY * 2}</p></{tag}><div class='sidebar'><p>{STORY}</p></div></body></html>"
+    assert html_text.main_text(page) == (STORY * 2).strip()
+
+
+def test_names_still_mark_what_stands_beside_a_story():
+    from armparity.llm import html_text
+
+    page = f"<body><article><p>{STORY}</p></article><section id='comments'><article class='comment'><p>{STORY * 5}</p></article></section><div class='cookie-notice'><p>{STORY * 9}</p></div></body>"
+    assert html_text.main_text(page) == STORY.strip()
+    assert html_text.main_text(f"<body><article class='teaser related'><p>{STORY}</p></article><div><p>{STORY * 2}</p></div></body>") == (STORY * 2).strip()
+    assert html_text.main_text("<body><div class='menu'><a href=x>One</a> <a href=y>Two</a></div></body>") == ""

@@ -189,3 +189,16 @@ def test_search_against_every_window():
                         want[item_id] = max(share, want.get(item_id, 0))
         got = decontaminate._search_text(np.array(text, np.uint32), latent, index, s)
         assert set(got) == set(want)
+
+
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i % 3 else 4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_forest.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in (0, 20, 40):
+        x = np.array(rows[q][1])
+        want = sorted((-float(np.dot(x, v)), i) for i, v in rows if i != q and len(v) == len(x))[:20]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in want]
