@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from armparity.llm.common import columns_of
+from armparity.llm.common import columns_of, tidy
 
 #: Bounds of the two caches of a worker; a full cache starts anew, results do not change.
 MAX_TRANSITIONS = 400_000
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             ids = [array("i", p) for p in encoder.stream(v.as_py() for v in texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, out])
 
-    return rest.mapInArrow(run, f"{columns_of(rest)}, `{out}` array<int>")
+    return rest.mapInArrow(tidy(run), f"{columns_of(rest)}, `{out}` array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -311,7 +311,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
             texts = ["".join(decode_stream(x or (), bytes_of)) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return rest.mapInArrow(run, f"{columns_of(rest)}, `{out}` string")
+    return rest.mapInArrow(tidy(run), f"{columns_of(rest)}, `{out}` string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,4 +347,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +86,20 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives memory back when a task ends: Spark keeps its Python workers, and what their allocators hold counts against the executor."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return out
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches; a batch it answers with ``None`` yields nothing."""
 
@@ -94,7 +109,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def columns_of(df: DataFrame) -> str:
@@ -123,4 +138,4 @@ def summed(df: DataFrame, ways: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["key", "data"])
 
     schema = "key int, data binary"
-    return df.select("key", "data").repartition(ways).mapInArrow(run, schema).repartition("key").mapInArrow(run, schema)
+    return df.select("key", "data").repartition(ways).mapInArrow(tidy(run), schema).repartition("key").mapInArrow(tidy(run), schema)

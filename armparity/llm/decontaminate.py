@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from armparity.llm.common import checkpointed, fingerprint, fresh, summed
+from armparity.llm.common import checkpointed, fingerprint, fresh, summed, tidy
 
 _EDGES = ".,;:!?()[]{}<>\"'*%$&#-_/\\«»“”‘’…¿¡"
 
@@ -80,7 +80,7 @@ def _coded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 codes.append(np.fromiter([get(w, 0) for w in words if w], np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(codes, pa.binary())], names=["doc_id", "k1", "k2", "codes"])
 
-    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, k1 bigint, k2 bigint, codes binary")
+    return narrow.mapInArrow(tidy(run), f"doc_id {dict(narrow.dtypes)['doc_id']}, k1 bigint, k2 bigint, codes binary")
 
 
 def _passages(batch: pa.RecordBatch, size: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def _inverse_frequency(coded: DataFrame, v: int, s: Settings) -> np.ndarray:
             held[v] += len(rows)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["key", "data"])
 
-    rows = summed(coded.select("codes").mapInArrow(run, "key int, data binary")).collect()
+    rows = summed(coded.select("codes").mapInArrow(tidy(run), "key int, data binary")).collect()
     held = np.frombuffer(rows[0].data) if rows else np.zeros(v + 1)
     return np.log((held[v] + 1) / (held[:v] + 1)) + 1
 
@@ -149,7 +149,7 @@ def _latent(coded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
                 out[cc[order][words]] += np.add.reduceat(product[back[order]] * w[order][:, None], words)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["key", "data"])
 
-    rows = summed(coded.select("codes").mapInArrow(run, "key int, data binary"), 16).collect()
+    rows = summed(coded.select("codes").mapInArrow(tidy(run), "key int, data binary"), 16).collect()
     sketch = np.frombuffer(rows[0].data).reshape(v, width) if rows else test
     left, size, _ = np.linalg.svd(sketch, full_matrices=False)
     keep = min(s.rank, int((size > 1e-9 * max(size[0], 1e-300)).sum()) or 1)
@@ -288,7 +288,7 @@ def _hits(coded: DataFrame, latent: np.ndarray, index: dict | None, whole: dict[
                                              names=["doc_id", "k1", "k2", "items", "share"])
 
     ids = dict(coded.dtypes)["doc_id"]
-    return coded.mapInArrow(run, f"doc_id {ids}, k1 bigint, k2 bigint, items array<{kind.simpleString()}>, share double")
+    return coded.mapInArrow(tidy(run), f"doc_id {ids}, k1 bigint, k2 bigint, items array<{kind.simpleString()}>, share double")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:

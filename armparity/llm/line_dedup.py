@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armparity.llm.common import BLANKS, checkpointed, fingerprint, fresh
+from armparity.llm.common import BLANKS, checkpointed, fingerprint, fresh, tidy
 
 #: A block of fewer words is no sign of copying and stays.
 LEAST_WORDS = 5
@@ -121,7 +121,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                  pa.array(words, pa.int32()), pa.array(at, pa.list_(place))], names=["doc_id", "k1", "k2", "h1", "h2", "words", "at"])
 
-    return narrow.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, words int, at array<struct<p:int,o:int>>")
+    return narrow.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, h1 bigint, h2 bigint, words int, at array<struct<p:int,o:int>>")
 
 
 _KEYS = "g1 bigint, g2 bigint, doc_id bigint, k1 bigint, k2 bigint, size int, at array<int>"
@@ -174,7 +174,7 @@ def _keys(shared: DataFrame) -> DataFrame:
                         [pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), *own, pa.array(size, pa.int32()), pa.array(at, pa.list_(pa.int32()))],
                         names=["g1", "g2", "doc_id", "k1", "k2", "size", "at"])
 
-    return shared.select("doc_id", "k1", "k2", "lines").mapInArrow(run, _KEYS)
+    return shared.select("doc_id", "k1", "k2", "lines").mapInArrow(tidy(run), _KEYS)
 
 
 def _aligned(hashes: list[tuple[int, int]], found: list[dict]) -> set[int]:
@@ -229,7 +229,7 @@ def _blocks(found: DataFrame, least_words: int) -> DataFrame:
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["k1", "k2", "ranges"])
 
-    return found.mapInArrow(run, "k1 bigint, k2 bigint, ranges array<struct<a:int,b:int>>").filter(F.size("ranges") > 0)
+    return found.mapInArrow(tidy(run), "k1 bigint, k2 bigint, ranges array<struct<a:int,b:int>>").filter(F.size("ranges") > 0)
 
 
 def duplicate_blocks(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armparity.llm.common import checkpointed, fingerprint, fresh, words_of
+from armparity.llm.common import checkpointed, fingerprint, fresh, tidy, words_of
 from armparity.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -88,7 +88,7 @@ def _signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFram
                 [*batch.columns[:3], pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "k1", "k2", "s1", "s2", "keys"])
 
-    return narrow.mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return narrow.mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, keys array<bigint>")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -172,12 +172,12 @@ def _verified(members: DataFrame, words: int, ratio: Fraction) -> DataFrame:
         yield from done()
 
     grams = members.select("id", "component", "blocks", "copies", "text").mapInArrow(
-        hashed, "id bigint, component bigint, blocks int, copies bigint, grams array<bigint>")
+        tidy(hashed), "id bigint, component bigint, blocks int, copies bigint, grams array<bigint>")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = (grams.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", F.col("own").alias("side"), "copies", "grams"))
     return (spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-            .mapInArrow(compared, "id bigint, links bigint, hub bigint"))
+            .mapInArrow(tidy(compared), "id bigint, links bigint, hub bigint"))
 
 
 def _linked(docs: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armparity.llm.common import checkpointed, columns_of, fingerprint
+from armparity.llm.common import checkpointed, columns_of, fingerprint, tidy
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -212,7 +212,7 @@ def severity(docs: DataFrame, model: Model | None, cutoff: float = 0.5) -> DataF
                 [batch.column(0), pa.array([j[0] for j in judged], pa.float64()), pa.array([j[1] for j in judged], pa.int32()),
                  pa.array([j[2] >= cutoff for j in judged], pa.bool_())], names=["doc_id", "severity", "grade", "toxic"])
 
-    return narrow.mapInArrow(run, f"doc_id {dict(narrow.dtypes)['doc_id']}, severity double, grade int, toxic boolean")
+    return narrow.mapInArrow(tidy(run), f"doc_id {dict(narrow.dtypes)['doc_id']}, severity double, grade int, toxic boolean")
 
 
 def _judge(model: Model | None, text: str | None) -> tuple[float, int, float]:
@@ -232,4 +232,4 @@ def keep_civil(docs: DataFrame, model: Model | None, cutoff: float = 0.5) -> Dat
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([_judge(model, v.as_py())[2] < cutoff for v in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, columns_of(docs))
+    return docs.mapInArrow(tidy(run), columns_of(docs))

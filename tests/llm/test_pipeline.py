@@ -1,4 +1,10 @@
+import os
+import random
+import uuid
+
 import corpus_pipeline
+import pytest
+from armparity.session import checkpoint_root
 from armparity.llm import decontaminate, line_dedup, ngram_join, queries, toxicity
 from armparity.llm.common import table
 
@@ -30,4 +36,50 @@ def test_stages_keep_the_columns_and_only_drop(spark):
 
 
 def test_every_number_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
+
+
+@pytest.fixture
+def folder(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("tor", "mel", "sund", "kar", "vil", "gra") for b in ("na", "ek", "os", "ir", "um", "ed", "ant")]
+
+    def text(n):
+        return "\n".join(" ".join(rng.choices(words, k=9)) for _ in range(n))
+
+    place = f"{checkpoint_root(spark).removeprefix('file:')}/{uuid.uuid4().hex}"
+    os.makedirs(place)
+    rows = [(i, text(6), "en", "s", 1, 0.5, "x") for i in range(40)]
+    rows += [(100, None, None, None, 0, 0.0, "x"), (101, "", "en", "s", 0, 0.0, "x"), (102, " \n ", "en", "s", 0, 0.0, "x"), (103, text(900), "en", "s", 0, 0.0, "x"),
+             (104, rows[1][1], "en", "s", 0, 0.0, "x"), rows[2], rows[2], (105, "one two three four five six seven eight nine ten eleven twelve", "en", "s", 0, 0.0, "x")]
+    schema = "doc_id long, text string, lang string, source string, k1 int, share double, ids string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    return place
+
+
+def test_nulls_empty_texts_repeats_and_clashing_columns(spark, folder):
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect())
+    # no labels: nothing is toxic; the benchmark's own text goes; of the copies the first stays, and so do texts without words
+    assert set(got) == {*range(40), 100, 101, 102, 103}
+    assert got.count(2) == 1
+    last = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert last[100].n_tokens == last[101].n_tokens == 0 and last[103].n_tokens > 5000
+
+
+def test_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    empty = f"{folder}-empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_only_the_last_table_stays(spark, folder):
+    root = corpus_pipeline.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, folder).count()
+    new = [x for x in set(os.listdir(root)) - before if x.startswith("pipeline-")]
+    assert len(new) == 1 and os.listdir(f"{root}/{new[0]}") == ["3-decontaminate"]
