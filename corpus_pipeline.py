@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from armparity.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from armparity.llm.common import shared_folder, table
+from armparity.llm.common import removed, shared_folder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -45,12 +45,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between two stages lies a Parquet table in the shared folder."""
+    """All stages over ``documents``: the token ids of every document that is kept.
+
+    Between two stages lies a Parquet table in the shared folder; it goes when the next
+    one is written, so that only the table the result is read from stays. Null and empty
+    texts are judged civil and clean, lose no line and become documents without tokens;
+    of repeated rows one stays if their texts have a word. Columns beyond those of
+    ``documents`` play no part and do not come out. Without labels nothing is toxic,
+    without a benchmark nothing leaks, and no documents give no rows.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            written = f"{folder}/{k}-{name}"
+            docs.write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:
+                removed(spark, before)
+            before = written
     return docs
