@@ -242,11 +242,27 @@ def exclusion_census(long: DataFrame) -> DataFrame:
     return long.filter("status <> 'ok'").groupBy("task", "arm", "metric", "status", "detail").agg(F.count("*").alias("n"))
 
 
-def arm_report(long: DataFrame, calls: DataFrame) -> DataFrame:
-    """Arm report: call counts beside every metric of the arm."""
-    counts = calls.groupBy("task", "arm").agg(
-        F.count("*").alias("n_calls"), F.count_if(F.col("status") == "error").alias("n_failed"))
-    return arm_metrics(long).join(F.broadcast(counts), ["task", "arm"])
+def error_kinds(calls: DataFrame, by=("task", "arm")) -> DataFrame:
+    """Kinds of failed calls with their counts, most frequent first, in one text: ``Timeout x3, RateLimit x1``."""
+    kinds = calls.filter("status = 'error'").groupBy(*by, T.error_kind(F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "kind")))
+    shown = F.transform(ranked, lambda x: F.concat(x["kind"], F.lit(" x"), (-x["less"]).cast("string")))
+    return kinds.groupBy(*by).agg(F.array_join(shown, ", ").alias("error_kinds"))
+
+
+def arm_report(long: DataFrame, calls: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """Arm report: calls, models, kinds of errors and the judge's score beside every metric of the arm.
+
+    ``judged`` has ``n_items``, ``mean_score`` and ``failed_repeats`` per task and arm; an
+    arm that nobody judged has nulls there.
+    """
+    by = ["task", "arm"]
+    counts = calls.groupBy(*by).agg(F.count("*").alias("n_calls"), F.count_if(F.col("status") == "error").alias("n_failed"),
+                                    F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("models"))
+    out = arm_metrics(long).join(counts, by).join(error_kinds(calls), by, "left")
+    if judged is None:
+        return out
+    return out.join(judged.select(*by, F.col("n_items").alias("judged_items"), F.col("mean_score").alias("judge_score"), "failed_repeats"), by, "left")
 
 
 def field_tally(pairs: DataFrame, fields=EXTRACT_FIELDS) -> DataFrame:

@@ -104,16 +104,3 @@ def jdg_candidate_text(src):
 @query("jdg_requests", " SELECT call_id, item_id, arm, CAST(unnest([1, 2]) AS INTEGER) AS repeat FROM calls WHERE status = 'ok'", ("calls",))
 def jdg_requests(src):
     return J.scoring_requests(src.view("calls").filter("status = 'ok'").select("call_id", "item_id", "arm"), 2)
-
-
-@query("jdg_arm_report", None)
-def jdg_arm_report(src):
-    """Judge report per arm and split, intervals from the counts of distinct item means."""
-    from armparity.operators import stats as S
-
-    items = J.fold_repeats(scored_cells(src, "gated"), ("task", "arm")).withColumn(
-        "split", F.when(F.col("item_id") % 5 < 2, "core").otherwise("rest"))
-    by = ("task", "arm", "split")
-    noise = J.aggregate_repeats(items, 2, by)
-    est = S.mean_estimate(items.withColumn("value", F.round("item_mean", 12)), by, method="histogram")
-    return noise.join(est.select(*by, "lo", "hi"), list(by)).withColumns({c: F.round(c, 9) for c in ("mean_score", "lo", "hi", "mean_within_sd")})

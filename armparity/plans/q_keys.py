@@ -204,3 +204,14 @@ FROM b WHERE (min_bound IS NOT NULL AND max_bound IS NOT NULL) OR bound IS NULL
 def gate_defects(src):
     sentinels = src.table("nation").filter("n_regionkey < 3").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("sentinel"))
     return reg.gate_defects(src.view("gate_book"), sentinels)
+
+
+@query("gate_verdict_references", """, r AS (SELECT concat('v', s_suppkey % 11) AS verdict, CASE WHEN s_suppkey % 2 = 0 THEN 'quality' ELSE 'blocking' END AS role, concat('g', s_suppkey + CASE WHEN s_suppkey % 9 = 0 THEN 1000000000 ELSE 0 END) AS gate FROM supplier)
+ SELECT verdict, role, gate, concat('verdicts.', verdict, '.', role, ' names no declared gate: ', gate) AS defect FROM r WHERE gate NOT IN (SELECT gate FROM gate_book)""", ("gate_book",))
+def gate_verdict_references(src):
+    """Verdict rules that name a gate nobody declares."""
+    key = F.col("s_suppkey")
+    gate = F.concat(F.lit("g"), (key + F.when(key % 9 == 0, 10**9).otherwise(0)).cast("string"))
+    rules = src.table("supplier").groupBy(F.concat(F.lit("v"), (key % 11).cast("string")).alias("verdict")).agg(
+        F.collect_list(F.when(key % 2 == 0, gate)).alias("quality"), F.collect_list(F.when(key % 2 != 0, gate)).alias("blocking"))
+    return reg.verdict_defects(rules, src.view("gate_book"))

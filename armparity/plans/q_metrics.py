@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from armparity.functions import payload as P
+from armparity.operators import judge as J
 from armparity.operators import metrics as M
+from armparity.plans.q_judge import FOLDED, scored_cells
 from armparity.plans.registry import query
 
 _VIEWS = ("calls", "items")
@@ -205,11 +207,17 @@ def met_exclusions(src):
     return M.exclusion_census(M.outcomes(_pairs(src)))
 
 
-@query("met_arm_report", LONG + """ SELECT o.task, o.arm, metric, n_calls, n_failed, count(value) AS n, round(avg(value), 9) AS mean
-  FROM outcomes o JOIN (SELECT task, arm, count(*) AS n_calls, count(*) FILTER (WHERE status = 'error') AS n_failed FROM calls GROUP BY ALL) c ON c.task = o.task AND c.arm = o.arm GROUP BY ALL""", _VIEWS)
+@query("met_arm_report", LONG + FOLDED + """, ek AS (SELECT task, arm, string_agg(concat(kind, ' x', n), ', ' ORDER BY n DESC, kind) AS error_kinds FROM (
+   SELECT task, arm, left(split_part(trim(coalesce(error, 'unknown')), ':', 1), 80) AS kind, count(*) AS n FROM calls WHERE status = 'error' GROUP BY ALL) GROUP BY ALL),
+  jr AS (SELECT task, arm, count(item_mean) AS judged_items, round(avg(item_mean), 9) AS judge_score, CAST(sum(n_repeats - n_good) AS BIGINT) AS failed_repeats FROM folded GROUP BY ALL),
+  cc AS (SELECT task, arm, count(*) AS n_calls, count(*) FILTER (WHERE status = 'error') AS n_failed, string_agg(DISTINCT model, ', ' ORDER BY model) AS models FROM calls GROUP BY ALL),
+  mm AS (SELECT task, arm, metric, count(value) AS n, round(avg(value), 9) AS mean, count(*) FILTER (WHERE status = 'not_applicable') AS n_not_applicable FROM outcomes GROUP BY ALL)
+ SELECT * FROM mm JOIN cc USING (task, arm) LEFT JOIN ek USING (task, arm) LEFT JOIN jr USING (task, arm)""", (*_VIEWS, "cells", "verdicts"))
 def met_arm_report(src):
-    return M.arm_report(M.outcomes(_pairs(src)), src.view("calls")).select(
-        "task", "arm", "metric", "n_calls", "n_failed", "n", F.round("mean", 9).alias("mean"))
+    judged = J.aggregate_repeats(J.fold_repeats(scored_cells(src, "gated")), 2)
+    out = M.arm_report(M.outcomes(_pairs(src)), src.view("calls"), judged)
+    return out.select("task", "arm", "metric", "n", F.round("mean", 9).alias("mean"), "n_not_applicable", "n_calls", "n_failed", "models", "error_kinds",
+                      "judged_items", F.round("judge_score", 9).alias("judge_score"), "failed_repeats")
 
 
 @query("met_field_tally", _fields_sql(M.ALL_EXTRACT_FIELDS) + " SELECT arm, field, " + ", ".join(

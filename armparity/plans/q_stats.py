@@ -47,6 +47,22 @@ def sta_bootstrap_mean(src):
     return est.select("task", "arm", "n", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
+@query("jdg_arm_report", FOLDED + ", sp AS (SELECT *, CASE WHEN item_id % 5 < 2 THEN 'core' ELSE 'rest' END AS split, item_mean AS value FROM folded), spv AS (SELECT * FROM sp WHERE value IS NOT NULL)"
+       + duck_replicates("j", "spv", "task, arm, split", "item_id", ["value"]) + f"""
+ SELECT * FROM (SELECT task, arm, split, count(item_mean) AS n_items, round(avg(item_mean), 9) AS mean_score, CAST(sum(n_repeats - n_good) AS BIGINT) AS failed_repeats,
+   count(*) FILTER (WHERE item_mean IS NULL) AS dropped_items, count(*) FILTER (WHERE n_good > 0 AND n_good < 2) AS short_items, round(avg(sd), 9) AS mean_within_sd,
+   round(max(spread), 9) AS max_range, round(avg(CAST(spread = 0 AS INTEGER)), 9) AS full_agreement_rate FROM sp GROUP BY ALL)
+ JOIN (SELECT task, arm, split, {q('s_value / sw', 0.025)} AS lo, {q('s_value / sw', 0.975)} AS hi FROM j_r GROUP BY ALL) USING (task, arm, split)""", _CV)
+def jdg_arm_report(src):
+    """Judge report per arm and split."""
+    items = J.fold_repeats(scored_cells(src, "gated"), ("task", "arm")).withColumn(
+        "split", F.when(F.col("item_id") % 5 < 2, "core").otherwise("rest"))
+    by = ("task", "arm", "split")
+    est = S.mean_estimate(items.withColumnRenamed("item_mean", "value"), by, resamples=REPS, method="hash")
+    out = J.aggregate_repeats(items, 2, by).join(est.select(*by, "lo", "hi"), list(by))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_score", "mean_within_sd", "max_range", "full_agreement_rate", "lo", "hi")})
+
+
 PAIRS = LONG + """, pairs AS (SELECT task, metric, item_id, max(value) FILTER (WHERE arm = 'baseline') AS base, max(value) FILTER (WHERE arm = 'candidate') AS cand
   FROM outcomes WHERE value IS NOT NULL GROUP BY ALL)"""
 

@@ -48,6 +48,17 @@ def rate_lookup(requests: DataFrame, slots: DataFrame) -> DataFrame:
     return out.withColumns({"rate": F.col("usd_per_1m").try_cast("double"), "reject": reason}).drop("usd_per_1m", "_known")
 
 
+def verdict_defects(verdicts: DataFrame, gates: DataFrame) -> DataFrame:
+    """Gates that a verdict rule names and nobody declares: ``verdict``, ``role`` (quality or blocking), ``gate``, ``defect``.
+
+    ``verdicts`` has ``verdict`` and the arrays ``quality`` and ``blocking`` of gate names.
+    """
+    named = verdicts.select("verdict", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("names")) for r in ("quality", "blocking")])).alias("g"))
+    rows = named.select("verdict", F.col("g.role").alias("role"), F.explode("g.names").alias("gate"))
+    return rows.join(gates.select("gate").distinct(), "gate", "left_anti").select(
+        "verdict", "role", "gate", F.concat(F.lit("verdicts."), "verdict", F.lit("."), "role", F.lit(" names no declared gate: "), "gate").alias("defect"))
+
+
 def gate_defects(gates: DataFrame, sentinels: DataFrame) -> DataFrame:
     """Gates without exactly one bound, and bounds naming an undeclared sentinel."""
     both, none = F.col("min_bound").isNotNull() & F.col("max_bound").isNotNull(), F.coalesce("min_bound", "max_bound").isNull()
