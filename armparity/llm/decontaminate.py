@@ -182,39 +182,48 @@ def _index(items: list[tuple[int, list[int]]], latent: np.ndarray, idf: np.ndarr
     uses.sort()
     words, item, times = (np.array(x, np.int64) for x in zip(*uses)) if uses else (np.zeros(0, np.int64),) * 3
     return {"classes": classes, "checks": checks, "start": np.searchsorted(words, np.arange(len(idf) + 2)), "item": item, "times": times,
-            "need": np.array([s.paraphrase * c[1] for c in checks]), "words": [np.array(sorted(c[2]), np.uint32) for c in checks]}
+            "need": np.array([s.paraphrase * c[1] for c in checks])}
 
 
-def _possible(codes: np.ndarray, index: dict) -> np.ndarray:
-    """Which items have enough of their words somewhere in the text."""
-    words = np.unique(codes)
-    words = words[words > 0]
+def _possible(words: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's distinct words (rising): whether each item has enough of its words among them, and which words each item that has has."""
     first, count = index["start"][words], index["start"][words + 1] - index["start"][words]
+    count = np.where(words > 0, count, 0)  # 0 is no word of an item
     at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-    return np.bincount(index["item"][at], weights=index["times"][at], minlength=len(index["need"])) >= index["need"]
+    item = index["item"][at]
+    enough = np.bincount(item, weights=index["times"][at], minlength=len(index["need"])) >= index["need"]
+    hits, row = enough[item], np.cumsum(enough) - 1
+    has = np.zeros((int(row[-1]) + 1 if len(row) else 0, len(words)), np.int32)
+    if len(has):
+        has[row[item[hits]], np.repeat(np.arange(len(words)), count)[hits]] = 1
+    return enough, has
 
 
 def _search_text(codes: np.ndarray, latent: np.ndarray, index: dict, s: Settings) -> dict[int, float]:
     """Items found in one text, each with the best share of its words in order."""
     found: dict[int, float] = {}
-    possible = _possible(codes, index)
-    classes = [(window, stride, members[mine], vectors[mine]) for window, stride, members, vectors in index["classes"] if (mine := possible[members]).any()]
-    if not classes:
+    words = np.unique(codes)
+    possible, has = _possible(words, index)
+    if not len(has):
         return found
+    place, row, classes = np.searchsorted(words, codes), np.cumsum(possible) - 1, []
+    for window, stride, members, vectors in index["classes"]:
+        mine = possible[members]
+        if mine.any():
+            classes.append((window, stride, members[mine], vectors[mine], has[row[members[mine]]]))
     n, most = len(codes), max(c[0] for c in classes)
-    words, place = np.unique(codes, return_inverse=True)
-    of_item = {member: np.isin(words, index["words"][member]) for _, _, members, _ in classes for member in members}
     for low in range(0, n, 20_000):  # bounds the running sums of a very long text
         part = codes[low : low + 20_000 + most]
         total = None
-        for window, stride, members, vectors in classes:
+        for window, stride, members, vectors, own in classes:
             starts = np.arange(0, min(20_000, n - low), stride)
             ends = np.minimum(starts + window, len(part))
             # a window with too few words of an item cannot pass its check
             enough = np.zeros((len(starts), len(members)), bool)
-            for k, member in enumerate(members):
-                held = np.r_[0, np.cumsum(of_item[member][place[low : low + len(part)]])]
-                enough[:, k] = held[ends] - held[starts] >= index["need"][member]
+            for k in range(0, len(members), 64):  # bounds the running counts
+                held = np.zeros((len(own[k : k + 64]), len(part) + 1), np.int32)
+                np.cumsum(own[k : k + 64][:, place[low : low + len(part)]], axis=1, out=held[:, 1:])
+                enough[:, k : k + 64] = (held[:, ends] - held[:, starts] >= index["need"][members[k : k + 64], None]).T
             some = np.flatnonzero(enough.any(axis=1))
             if not len(some):
                 continue
