@@ -273,6 +273,18 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.Table]:
+    """Batches put together: words of one length and language are summed at once, and the more the faster."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _some(column: pa.Array) -> Iterator[list[str | None]]:
     """Texts of a column, some at a time."""
     texts, size = [], 0
@@ -316,9 +328,9 @@ def fit(docs: DataFrame, path: str, s: Settings = Settings()) -> Model:
 
             def run(batches: Iterator[pa.RecordBatch], logs: np.ndarray = logs) -> Iterator[pa.RecordBatch]:
                 pieces, total = _pieces(path), np.zeros(logs.shape)
-                for batch in batches:
-                    of = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-                    total += expected_uses(pieces, batch.column(1).to_pylist(), of, batch.column(2).to_numpy().astype(np.float64), logs, s.long)
+                for rows in _rows(batches):
+                    of = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
+                    total += expected_uses(pieces, rows.column("word").to_pylist(), of, rows.column("n").to_numpy().astype(np.float64), logs, s.long)
                 lang, piece = np.nonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[lang, piece])], names=["lang", "piece", "uses"])
 
