@@ -53,9 +53,10 @@ def prf(spark, gold, predicted):
     return tuple(row)
 
 
-def test_filter_prf_golden(spark):
-    p, r, f1 = prf(spark, ["a", "b", "c", "d", "e", "f"], ["a", "b", "c", "d", "x", "y", "z"])
-    assert (p, r) == (pytest.approx(4 / 7), pytest.approx(4 / 6)) and f1 == pytest.approx(2 * (4 / 7) * (4 / 6) / (4 / 7 + 4 / 6))
+def test_filter_shares(spark):
+    # five of nine stated filters are asserted, and two that nobody stated
+    p, r, f1 = prf(spark, list("abcdefghi"), ["a", "c", "e", "g", "i", "u", "v"])
+    assert (p, r) == (pytest.approx(5 / 7), pytest.approx(5 / 9)) and f1 == pytest.approx(10 / 16)
 
 
 def test_undefined_is_not_zero(spark):
