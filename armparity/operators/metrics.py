@@ -95,9 +95,9 @@ def filter_prf(c: Column) -> list[Column]:
     both = ((c["tp"] + c["fp"]) > 0) & ((c["tp"] + c["fn"]) > 0)
     f1 = F.when(both, F.coalesce(F.try_divide(2 * c["tp"], 2 * c["tp"] + c["fp"] + c["fn"]), F.lit(0.0)))
     return [
-        outcome("filter_precision", precision, "no filters asserted"),
-        outcome("filter_recall", recall, "gold asserts no filters"),
-        outcome("filter_f1", f1, "needs both precision and recall"),
+        outcome("filter_precision", precision, "answer has no filter"),
+        outcome("filter_recall", recall, "gold has no filter"),
+        outcome("filter_f1", f1, "one of the two shares is undefined"),
     ]
 
 
@@ -126,10 +126,10 @@ def point_classes(points: Column, supplied: Column) -> Column:
 def citation_outcomes(p: Column, classes: Column) -> Column:
     """The three citation metrics as one array."""
     names = (("citation_coverage", "grounded"), ("uncited_claim_rate", "uncited"), ("fabricated_citation_rate", "fabricated"))
-    lost = [outcome(m, F.lit(0.0) if m == "citation_coverage" else None, "no structured response") for m, _ in names]
-    unread = [outcome(m, None, "key_points is not a list", broken=True) for m, _ in names]
+    lost = [outcome(m, F.lit(0.0) if m == "citation_coverage" else None, "no answer to read") for m, _ in names]
+    unread = [outcome(m, None, "points are no list", broken=True) for m, _ in names]
     shares = [
-        outcome(m, F.try_divide(F.size(F.filter(classes, _equals(c))), F.size(classes)), "no key points")
+        outcome(m, F.try_divide(F.size(F.filter(classes, _equals(c))), F.size(classes)), "list of points is empty")
         for m, c in names
     ]
     return F.when(p.isNull(), F.array(*lost)).when(classes.isNull(), F.array(*unread)).otherwise(F.array(*shares))
@@ -184,11 +184,11 @@ def extraction_outcomes(n: Column) -> list[Column]:
     unstated = n["correct_abstention"] + n["hallucination"]
     stated = n["correct"] + n["wrong"] + n["omission"]
     ratios = (
-        ("extraction_accuracy", n["correct"] + n["correct_abstention"], unstated + stated, "gold scores no field"),
-        ("answered_precision", n["correct"], answered, "no field asserted"),
-        ("supported_claim_rate", n["correct"] + n["wrong"], answered, "no field asserted"),
-        ("hallucination_rate", n["hallucination"], unstated, "gold states every field"),
-        ("omission_rate", n["omission"], stated, "gold states no field"),
+        ("extraction_accuracy", n["correct"] + n["correct_abstention"], unstated + stated, "nothing to score in gold"),
+        ("answered_precision", n["correct"], answered, "answer leaves every field open"),
+        ("supported_claim_rate", n["correct"] + n["wrong"], answered, "answer leaves every field open"),
+        ("hallucination_rate", n["hallucination"], unstated, "gold leaves no field open"),
+        ("omission_rate", n["omission"], stated, "gold leaves every field open"),
     )
     return [outcome(name, F.try_divide(top, bottom), why) for name, top, bottom, why in ratios]
 

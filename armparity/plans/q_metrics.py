@@ -119,7 +119,7 @@ POINTS = SCORED + """, pts AS (SELECT call_id, unnest(json_extract(j, '$.key_poi
 
 @query("met_citation_coverage", POINTS + """ SELECT call_id, CASE WHEN j IS NULL THEN 0.0 ELSE round(grounded / nullif(n, 0), 9) END AS coverage,
   round(uncited / nullif(n, 0), 9) AS uncited_rate, round(fabricated / nullif(n, 0), 9) AS fabricated_rate,
-  CASE WHEN j IS NULL THEN 'no structured response' WHEN t IS DISTINCT FROM 'ARRAY' THEN 'key_points is not a list' ELSE 'no key points' END AS note FROM cit""", _VIEWS)
+  CASE WHEN j IS NULL THEN 'no answer to read' WHEN t IS DISTINCT FROM 'ARRAY' THEN 'points are no list' ELSE 'list of points is empty' END AS note FROM cit""", _VIEWS)
 def met_citation_coverage(src):
     rows = _pairs(src).filter("task = 'chunk_summarizer'").withColumn(
         "c", M.point_classes(F.col("p.key_points"), M.supplied_chunks(F.col("n_chunks"))))
@@ -175,19 +175,19 @@ def met_extraction(src):
 
 LONG = _fields_sql(M.EXTRACT_FIELDS) + PRF[len(SCORED):] + POINTS[len(SCORED):] + f""", long AS (
   SELECT call_id, 'json_schema_validity' AS metric, CASE WHEN tag = 'valid' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value, tag AS detail, false AS broken FROM tagged
-  UNION ALL SELECT call_id, 'filter_precision', p, CASE WHEN p IS NULL THEN 'no filters asserted' END, false FROM prf2
-  UNION ALL SELECT call_id, 'filter_recall', r, CASE WHEN r IS NULL THEN 'gold asserts no filters' END, false FROM prf2
-  UNION ALL SELECT call_id, 'filter_f1', CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, CASE WHEN p + r IS NULL THEN 'needs both precision and recall' END, false FROM prf2
+  UNION ALL SELECT call_id, 'filter_precision', p, CASE WHEN p IS NULL THEN 'answer has no filter' END, false FROM prf2
+  UNION ALL SELECT call_id, 'filter_recall', r, CASE WHEN r IS NULL THEN 'gold has no filter' END, false FROM prf2
+  UNION ALL SELECT call_id, 'filter_f1', CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, CASE WHEN p + r IS NULL THEN 'one of the two shares is undefined' END, false FROM prf2
   UNION ALL SELECT call_id, 'exact_match_intent', CASE WHEN NOT list_contains(json_keys(g), 'intent') THEN NULL WHEN j IS NULL THEN 0 WHEN {_N.format("g->>'$.intent'")} IS NOT DISTINCT FROM {_N.format("j->>'$.intent'")} THEN 1 ELSE 0 END,
     CASE WHEN NOT list_contains(json_keys(g), 'intent') THEN 'gold does not carry intent' END, false FROM scored WHERE task = 'query_rewriter'
   UNION ALL SELECT call_id, m, CASE WHEN j IS NULL AND m = 'citation_coverage' THEN 0 WHEN j IS NOT NULL THEN (CASE m WHEN 'citation_coverage' THEN grounded WHEN 'uncited_claim_rate' THEN uncited ELSE fabricated END) / nullif(n, 0) END,
-    CASE WHEN j IS NULL AND m = 'citation_coverage' THEN NULL WHEN j IS NULL THEN 'no structured response' WHEN t IS DISTINCT FROM 'ARRAY' THEN 'key_points is not a list' WHEN n = 0 THEN 'no key points' END, j IS NOT NULL AND t IS DISTINCT FROM 'ARRAY'
+    CASE WHEN j IS NULL AND m = 'citation_coverage' THEN NULL WHEN j IS NULL THEN 'no answer to read' WHEN t IS DISTINCT FROM 'ARRAY' THEN 'points are no list' WHEN n = 0 THEN 'list of points is empty' END, j IS NOT NULL AND t IS DISTINCT FROM 'ARRAY'
     FROM cit, (VALUES ('citation_coverage'), ('uncited_claim_rate'), ('fabricated_citation_rate')) v(m)
-  UNION ALL SELECT call_id, 'extraction_accuracy', extraction_accuracy, CASE WHEN extraction_accuracy IS NULL THEN 'gold scores no field' END, false FROM fr
-  UNION ALL SELECT call_id, 'answered_precision', answered_precision, CASE WHEN answered_precision IS NULL THEN 'no field asserted' END, false FROM fr
-  UNION ALL SELECT call_id, 'supported_claim_rate', supported_claim_rate, CASE WHEN supported_claim_rate IS NULL THEN 'no field asserted' END, false FROM fr
-  UNION ALL SELECT call_id, 'hallucination_rate', hallucination_rate, CASE WHEN hallucination_rate IS NULL THEN 'gold states every field' END, false FROM fr
-  UNION ALL SELECT call_id, 'omission_rate', omission_rate, CASE WHEN omission_rate IS NULL THEN 'gold states no field' END, false FROM fr),
+  UNION ALL SELECT call_id, 'extraction_accuracy', extraction_accuracy, CASE WHEN extraction_accuracy IS NULL THEN 'nothing to score in gold' END, false FROM fr
+  UNION ALL SELECT call_id, 'answered_precision', answered_precision, CASE WHEN answered_precision IS NULL THEN 'answer leaves every field open' END, false FROM fr
+  UNION ALL SELECT call_id, 'supported_claim_rate', supported_claim_rate, CASE WHEN supported_claim_rate IS NULL THEN 'answer leaves every field open' END, false FROM fr
+  UNION ALL SELECT call_id, 'hallucination_rate', hallucination_rate, CASE WHEN hallucination_rate IS NULL THEN 'gold leaves no field open' END, false FROM fr
+  UNION ALL SELECT call_id, 'omission_rate', omission_rate, CASE WHEN omission_rate IS NULL THEN 'gold leaves every field open' END, false FROM fr),
  outcomes AS (SELECT l.*, c.task, c.arm, c.item_id, c.core, c.status AS call_status, CASE WHEN value IS NOT NULL THEN 'ok' WHEN broken THEN 'error' ELSE 'not_applicable' END AS status FROM long l JOIN calls c USING (call_id))"""
 
 
