@@ -103,3 +103,10 @@ def test_own_similarity_against_brute_force(spark):
         field = next(f for f in r.fields if f.field == "summary")
         assert field.similarity == pytest.approx(s) and field.agreed == (s >= 0.6)
         assert r.agreed == (s >= 0.6)
+
+
+def test_rungs_may_be_more_than_a_recursive_query_returns_by_default(spark):
+    many = spark.range(1_000_002).select(F.lit("t").alias("task"), F.col("id").cast("string").alias("rung"), F.when(F.col("id") == 1, "0").alias("parent"),
+                                         F.create_map(F.lit("m"), F.col("id").cast("string")).alias("settings"))
+    found = RG.resolve(many)
+    assert found.agg(F.count("*"), F.max("depth")).first() == (1_000_002, 1)
