@@ -288,3 +288,21 @@ def test_guards(spark):
         A.compare_items(df, "baseline", "baseline")
     with pytest.raises(ValueError, match="check itself"):
         X.pair_cells(df, "gated", "gated")
+
+
+def test_replicates_of_many_values_cost_no_more_rows_than_blocks(spark):
+    """A value goes to Python once, with its block, and not once per chunk of replicates; both ways of drawing have one law."""
+    import numpy as np
+
+    pairs = spark.range(5000).select(F.lit("a").alias("g"), (F.col("id") % 97 + F.col("id") / 5000).alias("base"), (F.col("id") % 89 + 0.0).alias("cand"))
+    reps = B.histogram_replicates(pairs, ("g",), ("base", "cand"), 2000, cells=512)
+    assert "explode(sequence(-1" not in reps._jdf.queryExecution().toString()
+    got = reps.filter("replicate >= 0").toPandas()
+    want = pairs.agg(F.stddev_pop("base"), F.stddev_pop("cand"), F.corr("base", "cand"), F.sum("base")).first()
+    assert len(got) == 2000 and (got.sw == 5000).all()
+    assert abs(got.s_base.std() / (want[0] * 5000 ** 0.5) - 1) < 0.08 and abs(got.s_cand.std() / (want[1] * 5000 ** 0.5) - 1) < 0.08
+    assert abs(got.s_base.mean() - want[3]) < 4 * want[0] * 5000 ** 0.5 / 2000 ** 0.5
+    rng, c, x = np.random.default_rng(3), np.array([3, 1, 2]), np.array([[1.0], [10.0], [100.0]])
+    few, many = B._redrawn(rng, np.array([0, 4, 0, 2, 0]), c, x), B._redrawn(rng, np.full(4000, 200), c, x)
+    assert few[[0, 2, 4]].sum() == 0 and (few[[1, 3]] > 0).all()
+    assert abs(many.mean() / 200 / (c @ x[:, 0] / 6) - 1) < 0.01
