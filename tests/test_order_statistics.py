@@ -71,3 +71,15 @@ def test_no_task_holds_a_group(spark):
     sizes = df.join(cells, "g").groupBy(OS._place(F.col("c"), F.col("v")).alias("b")).count().collect()
     assert len(sizes) == 64 and max(r["count"] for r in sizes) < 1.6 * 200_000 / 64
     assert B.interval(out, ("g",), F.col("stat")).first().point == pytest.approx(np.percentile(np.arange(200_000) * 1.5, 95))
+
+
+def test_a_hot_group_meets_its_bracket_in_many_parts(spark):
+    from armparity.operators import ranking as R
+
+    # nine tenths of the rows are of one group, many of one value
+    rows = spark.range(50_000).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 0.5).alias("x"))
+    out = R.exact_percentiles(rows, ("g",), "x", {"p50": 0.5, "p95": 0.95})
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and all("_salt" in line for line in joins)
+    want = {r.g: (r.p50, r.p95) for r in rows.groupBy("g").agg(F.expr("percentile(x, 0.5)").alias("p50"), F.expr("percentile(x, 0.95)").alias("p95")).collect()}
+    assert {r.g: (r.p50, r.p95) for r in out.collect()} == want
