@@ -5,9 +5,13 @@ and an end. Each symbol is a path of binary decisions in a code tree. Several co
 (none, the symbol before, the two before) are hashed with the place in the tree into
 tables of bit counts, gathered from all training texts; each gives one prediction. Their
 log-odds are mixed by weights that a gate selects (how much the longer contexts have
-seen), starting from weights fitted on training texts and refined by the error of each
-block of a text as it is read; a last table corrects the mixed probability by what
+seen), starting from weights fitted on all training texts and refined by the error of
+each block of a text as it is read; a last table corrects the mixed probability by what
 happened at that probability before. The sum over the bits is the score.
+
+The fit reads every decision of every training text, each left out of the counts it is
+predicted by. What it needs of them is how often each gate, bit and combination of
+log-odds occurs, in steps of 1/2; tasks count that and the counts are summed.
 """
 
 from __future__ import annotations
@@ -15,16 +19,16 @@ from __future__ import annotations
 import functools
 import heapq
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armparity.llm.common import checkpointed, summed, words_of
+from armparity.llm.common import checkpointed, columns_of, summed, tidy
 
 CONTEXTS = 3  #: symbols of history in the longest context, plus one
 
@@ -34,8 +38,6 @@ class Settings:
     head_words: int = 1 << 18  #: most frequent training words that are symbols of their own
     head_bytes: int = 64  #: longer words are spelled, so the head has a bounded size
     slots: int = 19  #: log2 of the slots of each context's table
-    mixer_docs: int = 96  #: training texts the first weights are fitted on, those lowest by hash
-    mixer_bits: int = 20_000  #: decisions taken of each, evenly spaced over the whole text
     segment: int = 2048  #: symbols after which a text's weights start anew
     block: int = 64  #: symbols scored between two refinements of the weights
     rate: float = 0.0005
@@ -86,7 +88,7 @@ class Alphabet:
     """
 
     def __init__(self, words: list[str], counts: np.ndarray, rare: int, ends: int, letters: np.ndarray):
-        self.place = {w: k + 2 for k, w in enumerate(words)}
+        self.words = pa.array(words, pa.string())
         self.letters = len(words) + 2  # first symbol of the second alphabet
         lengths, codes = [], []
         for weights in (np.concatenate([[ends + 1, rare + 1], counts]), letters + 1):
@@ -97,67 +99,106 @@ class Alphabet:
         self.bits, self.code = np.concatenate(lengths), np.concatenate(codes)
 
     @functools.cached_property
-    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each symbol's decisions start; of every decision its bit and the hash of tree and path before it."""
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each symbol's decisions start; of every decision a hash of tree and path before it (31 bits), and its bit as the lowest."""
         start = np.cumsum(self.bits) - self.bits
         of = np.repeat(np.arange(len(self.bits)), self.bits)
         done = (np.arange(len(of)) - start[of]).astype(np.uint64)
         code, left = self.code[of], self.bits[of].astype(np.uint64) - done
-        bit = (code >> (left - np.uint64(1)) & np.uint64(1)).astype(np.int8)
+        bit = (code >> (left - np.uint64(1)) & np.uint64(1)).astype(np.uint32)
         tree = (of >= self.letters).astype(np.uint64)
-        return start, bit, ((np.uint64(1) << done | code >> left) * np.uint64(2) + tree) * np.uint64(0x9E3779B97F4A7C15)
+        node = _half(((np.uint64(1) << done | code >> left) * np.uint64(2) + tree) * np.uint64(0x9E3779B97F4A7C15))
+        return start, node & ~_BIT | bit
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "paths"}  # made anew by each worker
 
     def symbols(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """Symbols of a text and the words that are spelled."""
-        get, base = self.place.get, self.letters
-        places = [get(w, 1) for w in words]
-        spelled = [w for w, k in zip(words, places) if k == 1]
-        places.append(0)
-        if not spelled:
-            return np.array(places, np.int64), spelled
-        out: list[int] = []
-        rest = iter(spelled)
-        for k in places:
-            out.append(k)
-            if k == 1:
-                out += [base + c for c in next(rest).encode("utf-8", "surrogatepass")]
-                out.append(base + 256)
-        return np.array(out, np.int64), spelled
-
-
-_ODD, _MORE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _decisions(symbols: np.ndarray, alphabet: Alphabet, s: Settings, order: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every decision of a symbol string: its bit, its slot in each context's table, and the place of its symbol.
-
-    An end stands before the first symbol; contexts do not reach behind an end, so
-    texts can stand one after the other. With ``order`` the symbols at these places come,
-    in this order, and a place is one in ``order``. Slots of contexts under ``least`` are left out.
+        symbols, _, place = self.coded(pa.array(words, pa.string()), np.zeros(len(words), np.int64), 1)
+        return symbols, [w for w, k in zip(words, place) if k == 1]
+
+    def coded(self, words: pa.Array, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of ``rows`` texts one after the other, where each text begins, and the symbol each word has (the mark if it is spelled).
+
+        ``row`` is the text each of the words stands in, in rising order.
+        """
+        place = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        at = np.arange(len(place)) + row
+        symbols = np.zeros(len(place) + rows, np.int64)  # the last of each text is its end
+        symbols[at] = place
+        first = np.r_[0, np.cumsum(np.bincount(row, minlength=rows) + 1)]
+        rare = np.flatnonzero(place == 1)
+        if not len(rare):
+            return symbols, first, place
+        # after a mark come the bytes and a stop
+        sizes, letters = _bytes_of(words.take(pa.array(rare)))
+        width = np.ones(len(symbols), np.int64)
+        width[at[rare]] += sizes + 1
+        start = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.int64)
+        out[start] = symbols
+        after = start[at[rare]] + 1
+        out[np.repeat(after - np.cumsum(sizes) + sizes, sizes) + np.arange(len(letters))] = letters.astype(np.int64) + self.letters
+        out[after + sizes] = self.letters + 256
+        return out, np.r_[start, len(out)][first], place
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes each word has, and the bytes one after the other."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0]
+    return sizes, np.frombuffer(joined.as_buffer(), np.uint8)
+
+
+def _words(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[pa.Array, np.ndarray, int, int]]:
+    """Words (maximal runs without ASCII white space, A-Z lower-cased), the row of each, and the first row and number of rows, for about ``most`` bytes at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // most)) + 1) if len(texts) else ():
+        low, n = int(part[0]), len(part)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(low, n), "")))
+        words = lists.flatten()
+        real = pc.not_equal(words, "")  # a blank at either end has nothing beside it
+        row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        yield words.filter(real), row[real.to_numpy(zero_copy_only=False)], low, n
+
+
+_MORE, _ODD, _BIT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint32(0xD6E8FEB9), np.uint32(1)
+
+
+def _half(mixed: np.ndarray) -> np.ndarray:
+    """32 bits of a 64-bit hash."""
+    return ((mixed ^ mixed >> np.uint64(29)) * _MORE >> np.uint64(32)).astype(np.uint32)
+
+
+def _histories(symbols: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the symbol before each symbol, and of the two before.
+
+    An end stands before the first symbol; contexts do not reach behind an end, so texts
+    can stand one after the other.
     """
     one = np.concatenate([[0], symbols[:-1]])
     two = np.where(one == 0, 0, np.concatenate([[0, 0], symbols[:-2]])[: len(one)])
     first = (one.astype(np.uint64) + np.uint64(1)) * _MORE
     second = ((first ^ (first >> np.uint64(31))) + two.astype(np.uint64) + np.uint64(1)) * _MORE
-    if order is not None:
-        symbols, first, second = symbols[order], first[order], second[order]
-    start, path_bit, path_node = alphabet.paths
+    return [_half(first), _half(second)]
+
+
+def _decisions(symbols: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The place in the alphabet's paths of every decision of some symbols, and how many each symbol has."""
     bits = alphabet.bits[symbols]
-    of = np.repeat(np.arange(len(symbols), dtype=np.int32), bits)
-    at = np.arange(len(of)) + (start[symbols] - np.cumsum(bits) + bits)[of]
-    bit, node = path_bit[at], path_node[at]
-    out = np.empty((CONTEXTS - least, len(of)), np.int32)
-    for k, context in enumerate((None, first, second)[least:]):
-        out[k] = _slot(node if context is None else node ^ (context ^ context >> np.uint64(29))[of], s)
-    return bit, out, of
-
-
-def _slot(mixed: np.ndarray, s: Settings) -> np.ndarray:
-    mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD
-    mixed >>= np.uint64(64 - s.slots)
+    ends = np.cumsum(bits)
+    at = np.repeat(alphabet.paths[0][symbols] - ends + bits, bits)
+    at += np.arange(len(at))
+    return at, bits
+
+
+def _slots(node: np.ndarray, history: np.ndarray | None, bits: np.ndarray | None, s: Settings) -> np.ndarray:
+    """Slots of decisions in a context's table, from their nodes and the hash of the history of each symbol."""
+    mixed = node | _BIT if history is None else node ^ np.repeat(history, bits)
+    mixed |= _BIT  # a slot does not know the bit
+    mixed *= _ODD
+    mixed >>= np.uint32(32 - s.slots)
     return mixed
 
 
@@ -169,12 +210,11 @@ def _word_counts(docs: DataFrame, training: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for value in batch.column(0):
-                seen.update(words_of(value.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+            for words, *_ in _words(batch.column(0), 32 << 20):
+                seen = pc.value_counts(words)
+                yield pa.RecordBatch.from_arrays([seen.field(0), seen.field(1)], names=["word", "n"])
 
-    return docs.filter(training).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.filter(training).select("text").mapInArrow(tidy(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _letters(counts: DataFrame, known) -> np.ndarray:
@@ -183,30 +223,60 @@ def _letters(counts: DataFrame, known) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, head = np.zeros(257), known.value
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in head:
-                    held[:256] += n * np.bincount(np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-                    held[256] += n
+            spelled = pc.invert(pc.is_in(batch.column(0), value_set=head))
+            words, n = batch.column(0).filter(spelled), batch.column(1).filter(spelled).to_numpy(zero_copy_only=False)
+            if len(words):
+                sizes, letters = _bytes_of(words)
+                held[:256] += np.bincount(letters, weights=np.repeat(n, sizes), minlength=256)
+                held[256] += n.sum()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["key", "data"])
 
-    rows = summed(counts.select("word", "n").mapInArrow(run, "key int, data binary"), 16).collect()
+    rows = summed(counts.select("word", "n").mapInArrow(tidy(run), "key int, data binary"), 16).collect()
     return np.frombuffer(rows[0].data) if rows else np.zeros(257)
 
 
-def _parts(batch: pa.RecordBatch, alphabet: Alphabet, most: int = 1 << 15, tails: list | None = None) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, int]]]]:
-    """Symbols of a batch's texts, about ``most`` at a time.
+def _coded(docs: DataFrame, shared, frequency: np.ndarray) -> DataFrame:
+    """The texts as ``symbols`` (32-bit integers), with ``n_tokens``, and of the head words among them how many (``found``) and the sum of their log counts (``base``).
+
+    ``tail`` has the other words, ``size`` is the number of bytes, ``row`` a number of the row.
+    """
+    logs = docs.sparkSession.sparkContext.broadcast(np.log10(frequency + 1.0))
 
-    Yields symbols, how many at the front are only history, and the stretches (row,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet, log_of = shared.value, logs.value
+        for batch in batches:
+            for words, row, low, n in _words(batch.column(1)):
+                symbols, first, place = alphabet.coded(words, row, n)
+                head = place > 1
+                base = np.bincount(row[head], weights=log_of[place[head] - 2], minlength=n)
+                rare = words.filter(pa.array(~head)).dictionary_encode()
+                key, times = np.unique(row[~head] * (len(rare.dictionary) + 1) + rare.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                of, word = np.divmod(key, len(rare.dictionary) + 1)
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()),
+                                                pa.StructArray.from_arrays([rare.dictionary.take(pa.array(word)), pa.array(times, pa.int64())], names=["word", "times"]))
+                data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(symbols.astype(np.int32))])
+                size = pc.fill_null(pc.binary_length(batch.column(1).slice(low, n)), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, n), batch.column(2).slice(low, n), pa.array(np.bincount(row, minlength=n) + 1, pa.int64()),
+                     pa.array(np.bincount(row[head], minlength=n), pa.int64()), pa.array(base, pa.float64()), size.cast(pa.int64()), tail, data],
+                    names=["doc_id", "held_out", "n_tokens", "found", "base", "size", "tail", "symbols"])
+
+    ids = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {ids}, held_out boolean, n_tokens bigint, found bigint, base double, size bigint, tail array<struct<word:string,times:bigint>>, symbols binary"
+    return docs.select("doc_id", "text", "held_out").mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _parts(texts: Iterable[np.ndarray], most: int = 1 << 15) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, int]]]]:
+    """Symbols of texts, about ``most`` at a time.
+
+    Yields symbols, how many at the front are only history, and the stretches (text,
     symbols, place of the first in its text). Texts longer than that come in several
-    parts. ``tails`` gets the spelled words of each row.
+    parts.
     """
     held: list[np.ndarray] = []
     stretches: list[tuple[int, int, int]] = []
     size = 0
-    for row, value in enumerate(batch.column(0)):
-        symbols, spelled = alphabet.symbols(words_of(value.as_py()))
-        if tails is not None:
-            tails.append([{"word": w, "times": k} for w, k in Counter(spelled).items()])
+    for row, symbols in enumerate(texts):
         if size + len(symbols) > most and held:
             yield np.concatenate(held), 0, stretches
             held, stretches, size = [], [], 0
@@ -223,42 +293,62 @@ def _parts(batch: pa.RecordBatch, alphabet: Alphabet, most: int = 1 << 15, tails
         yield np.concatenate(held), 0, stretches
 
 
-def _after(skip: int, of: np.ndarray) -> int:
-    """First decision that is not of a history symbol."""
-    return int(np.searchsorted(of, skip)) if skip else 0
+def _texts(column: pa.Array) -> Iterator[np.ndarray]:
+    """Symbols of each text of a coded batch."""
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), np.int32)
+
+
+def _cells(symbols: np.ndarray, skip: int, alphabet: Alphabet, s: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of every decision behind the first ``skip`` symbols its place in the alphabet's paths, and twice its slot plus its bit for each context with a history."""
+    at, bits = _decisions(symbols[skip:], alphabet)
+    node, out = alphabet.paths[1].take(at), []
+    bit = node & _BIT
+    for history in _histories(symbols):
+        cell = _slots(node, history[skip:], bits, s)
+        cell <<= _BIT
+        cell |= bit
+        out.append(cell)
+    return at, out
+
 
+def _plain_cells(alphabet: Alphabet, s: Settings) -> np.ndarray:
+    """The same for the context without a history, of every place in the paths."""
+    node = alphabet.paths[1]
+    return _slots(node, None, None, s) << _BIT | node & _BIT
 
-def _bit_counts(docs: DataFrame, training: Column, model, s: Settings) -> np.ndarray:
+
+def _bit_counts(coded: DataFrame, training: Column, model, s: Settings) -> np.ndarray:
     """Counts of zeros and ones for every slot of every context, over all training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = model.value
         held, times = np.zeros((CONTEXTS, 2 << s.slots)), np.zeros(len(alphabet.bits))
         for batch in batches:
-            for symbols, skip, _ in _parts(batch, alphabet, 1 << 17):
-                bit, slots, of = _decisions(symbols, alphabet, s, least=1)
-                low = _after(skip, of)
+            for symbols, skip, _ in _parts(_texts(batch.column(0)), 1 << 17):
                 times += np.bincount(symbols[skip:], minlength=len(times))
-                for k in range(1, CONTEXTS):
-                    held[k] += np.bincount(slots[k - 1, low:] * 2 + bit[low:], minlength=2 << s.slots)
-        # without a context the decisions of a symbol are always the same
-        _, bit, node = alphabet.paths
-        held[0] = np.bincount(_slot(node, s).astype(np.int64) * 2 + bit, weights=np.repeat(times, alphabet.bits), minlength=2 << s.slots)
+                for k, cell in enumerate(_cells(symbols, skip, alphabet, s)[1]):
+                    held[k + 1] += np.bincount(cell, minlength=2 << s.slots)
+        # without a history the decisions of a symbol are always the same
+        held[0] = np.bincount(_plain_cells(alphabet, s), weights=np.repeat(times, alphabet.bits), minlength=2 << s.slots)
         for k in range(CONTEXTS):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([held[k].tobytes()], pa.binary())], names=["key", "data"])
 
-    rows = {r.key: r.data for r in summed(docs.filter(training).select("text").mapInArrow(run, "key int, data binary"), 12).collect()}
+    rows = {r.key: r.data for r in summed(coded.filter(training).select("symbols").mapInArrow(tidy(run), "key int, data binary"), 12).collect()}
     return np.stack([np.frombuffer(rows[k]) if k in rows else np.zeros(2 << s.slots) for k in range(CONTEXTS)])
 
 
 # ---------------------------------------------------------------- mixing
 
 
-def _gate(seen: np.ndarray, cuts: tuple[int, ...]) -> np.ndarray:
-    return np.searchsorted(np.array(cuts), seen, side="right").astype(np.int8)
+GATES = 12  #: four steps of what the middle context has seen times three of the longest
+STEPS = 33  #: of log-odds, from -8 to 8
+_GATE = np.uint32(15)
 
 
-GATES = 12  #: four steps of what the middle context has seen times three of the longest
+def _gates(k: int, seen: np.ndarray) -> np.ndarray:
+    """What context ``k`` adds to the gate, by how much it has seen."""
+    return np.searchsorted(np.array((1, 4, 16) if k == 1 else (1, 4)), seen, side="right") * (3 if k == 1 else 1)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -266,39 +356,39 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Tables of log-odds and gates by slot, the weights that texts start with, and the final correction."""
+    """Tables of log-odds with gates by slot, the weights that texts start with, and the final correction."""
 
     def __init__(self, counts: np.ndarray):
         zero, one = counts[:, ::2], counts[:, 1::2]
         self.odds = np.log((one + 0.4) / (zero + 0.4)).astype(np.float32)
         seen = zero + one
-        self.gates = np.stack([_gate(seen[1], (1, 4, 16)) * 3, _gate(seen[2], (1, 4))], axis=1)
+        for k in range(1, CONTEXTS):  # what a slot adds to the gate stands in the last four bits, so both are read at once
+            held = self.odds[k].view(np.uint32)
+            held[:] = held & ~_GATE | _gates(k, seen[k]).astype(np.uint32)
         self.weights = np.tile(np.float32([0.3, 0.4, 0.3]), (GATES, 1))
-        self.correction = _sigmoid(np.linspace(-8, 8, 33)).astype(np.float32)
-
-    def fit(self, counts: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> None:
-        """Weights and correction from decisions of training texts, each left out of the counts it is predicted by."""
-        zero = np.stack([counts[k, slots[k] * 2] for k in range(CONTEXTS)]) - (bit == 0)
-        one = np.stack([counts[k, slots[k] * 2 + 1] for k in range(CONTEXTS)]) - (bit == 1)
-        zero, one = np.maximum(zero, 0), np.maximum(one, 0)
-        odds, seen = np.log((one + 0.4) / (zero + 0.4)), zero + one
-        gate = _gate(seen[1], (1, 4, 16)) * 3 + _gate(seen[2], (1, 4))
-        z = np.zeros(len(bit))
-        for g in range(GATES):
-            mine = gate == g
-            if not mine.any():
+        self.correction = _sigmoid(np.linspace(-8, 8, STEPS)).astype(np.float32)
+
+    def fit(self, seen: np.ndarray) -> None:
+        """Weights and correction from how often each cell of :func:`leaving_one_out` was seen."""
+        seen = seen.reshape(GATES, -1, 2)
+        some = [np.flatnonzero(seen[g].sum(axis=1)) for g in range(GATES)]
+        hits, total = np.zeros(STEPS), np.zeros(STEPS)
+        for g, cells in enumerate(some):
+            if not len(cells):
                 continue
-            x, y, start = odds[:, mine], bit[mine], self.weights[g].astype(np.float64)
+            x = (np.stack([cells // STEPS**k % STEPS for k in range(CONTEXTS)]) - STEPS // 2) / 2
+            ones, n, start = seen[g, cells, 1], seen[g, cells].sum(axis=1), self.weights[g].astype(np.float64)
             w = start.copy()
             for _ in range(8):  # Newton steps, drawn to the start
                 p = _sigmoid(w @ x)
-                hessian = (x * (p * (1 - p))) @ x.T + 20 * np.eye(CONTEXTS)
-                w += np.linalg.solve(hessian, x @ (y - p) - 20 * (w - start))
+                hessian = (x * (n * p * (1 - p))) @ x.T + 20 * np.eye(CONTEXTS)
+                w += np.linalg.solve(hessian, x @ (ones - n * p) - 20 * (w - start))
             self.weights[g] = w
-            z[mine] = w @ x
-        step = np.rint(np.clip(z, -8, 8) * 2).astype(np.int64) + 16
-        prior = _sigmoid(np.linspace(-8, 8, 33))
-        self.correction = ((np.bincount(step, weights=bit, minlength=33) + 50 * prior) / (np.bincount(step, minlength=33) + 50)).astype(np.float32)
+            step = _step(w @ x)
+            hits += np.bincount(step, weights=ones, minlength=STEPS)
+            total += np.bincount(step, weights=n, minlength=STEPS)
+        prior = _sigmoid(np.linspace(-8, 8, STEPS))
+        self.correction = ((hits + 50 * prior) / (total + 50)).astype(np.float32)
 
     def score(self, symbols: np.ndarray, skip: int, stretches: list[tuple[int, int, int]], alphabet: Alphabet, s: Settings) -> np.ndarray:
         """Natural log of the probability of each stretch."""
@@ -309,53 +399,103 @@ class Mixer:
         lane = np.cumsum(np.r_[0, (np.diff(text) > 0) | (np.diff(place // s.segment) != 0)])
         block = (place % s.segment // s.block).astype(np.int16)
         order = np.argsort(block, kind="stable")
-        bit, slots, of = _decisions(symbols, alphabet, s, order + skip)
-        bounds = np.searchsorted(block[order][of], np.arange(int(block.max()) + 2))
-        odds = [self.odds[k][slots[k]] for k in range(CONTEXTS)]
-        cell = (lane[order] * GATES)[of] + self.gates[slots[1], 0] + self.gates[slots[2], 1]
-        bit = bit.astype(np.float32)
+        histories = [h[skip:][order] for h in _histories(symbols)]
+        at, bits = _decisions(symbols[skip:][order], alphabet)
+        starts = np.cumsum(bits) - bits
+        bounds = np.r_[starts, len(at)][np.searchsorted(block[order], np.arange(int(block.max()) + 2))]
+        node = alphabet.paths[1].take(at)
+        odds, cell = [self._plain_odds(alphabet, s).take(at)], np.repeat(lane[order] * GATES, bits)
+        for k, history in enumerate(histories, 1):
+            odds.append(self.odds[k].take(_slots(node, history, bits, s)))
+            cell += odds[k].view(np.uint32) & _GATE
+        bit = (node & _BIT).astype(np.float32)
+        # decisions of one lane and gate mostly follow each other; such a run has one set of weights
+        new = np.empty(len(at), bool)
+        np.not_equal(cell[1:], cell[:-1], out=new[1:])
+        new[bounds[:-1]] = True
+        runs = np.flatnonzero(new)
+        cell, length = cell[runs], np.diff(np.r_[runs, len(at)])
         weights = np.tile(self.weights, (int(lane[-1]) + 1, 1)).T.copy()
-        seen = np.empty(len(of), np.float32)
-        for b in range(len(bounds) - 1):
-            at = slice(bounds[b], bounds[b + 1])
-            x, y, c = [o[at] for o in odds], bit[at], cell[at]
-            z = weights[0][c] * x[0]
+        seen = np.empty(len(at), np.float32)
+        edges = np.searchsorted(runs, bounds)
+        for low, high, first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+            x, y, c, n, at = [o[low:high] for o in odds], bit[low:high], cell[first:last], length[first:last], runs[first:last] - low
+            z = np.repeat(weights[0][c], n)
+            z *= x[0]
             for k in range(1, CONTEXTS):
-                z += weights[k][c] * x[k]
+                z += np.repeat(weights[k][c], n) * x[k]
             np.clip(z, -8, 8, out=z)
-            p = 1 / (1 + np.exp(-z))
-            seen[at] = 0.5 * (p + self.correction[np.rint(z * 2).astype(np.int8) + 16])
+            p = np.exp(-z)
+            p += 1
+            np.reciprocal(p, out=p)
+            z *= 2
+            z += STEPS // 2 + 0.5
+            seen[low:high] = self.correction.take(z.astype(np.intp))
+            seen[low:high] += p
             error = y - p
+            error *= np.float32(s.rate)
             for k in range(CONTEXTS):
-                weights[k] += np.float32(s.rate) * np.bincount(c, weights=error * x[k], minlength=weights.shape[1]).astype(np.float32)
-        return np.bincount(text[order][of], weights=np.log(np.where(bit > 0, seen, 1 - seen)), minlength=len(stretches))
+                weights[k] += np.bincount(c, weights=np.add.reduceat(error * x[k], at), minlength=weights.shape[1])
+        # the mean of the mixed and the corrected probability, of the bit that came
+        seen *= 0.5
+        seen -= 1 - bit
+        np.abs(seen, out=seen)
+        return np.bincount(text[order], weights=np.add.reduceat(np.log(seen, out=seen), starts), minlength=len(stretches))
+
+    def _plain_odds(self, alphabet: Alphabet, s: Settings) -> np.ndarray:
+        """Log-odds without a history for every place in the paths of the alphabet."""
+        held = self.__dict__.get("_plain")
+        if held is None or held[0] is not alphabet:
+            held = self._plain = (alphabet, self.odds[0][_plain_cells(alphabet, s) >> np.uint32(1)])
+        return held[1]
+
+
+def _step(z: np.ndarray) -> np.ndarray:
+    """Log-odds in steps of 1/2 from -8 to 8, halves upwards."""
+    return (np.clip(z, -8, 8) * 2 + (STEPS // 2 + 0.5)).astype(np.int64)
+
 
+def leaving_one_out(counts: np.ndarray) -> list[np.ndarray]:
+    """For each context what a decision adds to its cell, by twice its slot plus its bit.
 
-def _mixer(docs: DataFrame, training: Column, shared, counts: np.ndarray, s: Settings) -> Mixer:
-    mixer = Mixer(counts)
-    chosen = docs.filter(training).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(s.mixer_docs).select("text")
+    The decision is left out of the counts it is predicted by. A cell stands for a gate,
+    the steps of the log-odds and the bit; it is the sum of what the contexts add.
+    """
+    out = []
+    for k in range(CONTEXTS):
+        zero, one = np.repeat(counts[k, ::2], 2), np.repeat(counts[k, 1::2], 2)
+        zero[::2], one[1::2] = np.maximum(zero[::2] - 1, 0), np.maximum(one[1::2] - 1, 0)
+        cell = _step(np.log((one + 0.4) / (zero + 0.4))) * STEPS**k
+        if k:
+            cell += _gates(k, zero + one) * STEPS**CONTEXTS
+        cell *= 2
+        if not k:
+            cell[1::2] += 1
+        out.append(cell.astype(np.int32))
+    return out
+
+
+def _mixer(coded: DataFrame, training: Column, shared, counts: np.ndarray, s: Settings) -> Mixer:
+    """Weights and correction fitted on all decisions of all training texts."""
+    mixer, size = Mixer(counts), GATES * STEPS**CONTEXTS * 2
+    parts = coded.sparkSession.sparkContext.broadcast(leaving_one_out(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = shared.value
+        alphabet, (plain, *adds) = shared.value, parts.value
+        held, plain = np.zeros(size), plain[_plain_cells(alphabet, s)]
         for batch in batches:
-            for value in batch.column(0):
-                one = pa.RecordBatch.from_arrays([pa.array([value.as_py()], pa.string())], names=["text"])
-                bits, slots = [], []
-                for symbols, skip, _ in _parts(one, alphabet):
-                    bit, slot, of = _decisions(symbols, alphabet, s)
-                    low = _after(skip, of)
-                    step = max(1, len(bit) // s.mixer_bits)
-                    bits.append(bit[low::step]), slots.append(slot[:, low::step])
-                b, k = np.concatenate(bits), np.concatenate(slots, axis=1)
-                step = -(-len(b) // s.mixer_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b[::step].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(k[:, ::step]).tobytes()], pa.binary())], names=["bits", "slots"])
+            for symbols, skip, _ in _parts(_texts(batch.column(0)), 1 << 17):
+                at, cells = _cells(symbols, skip, alphabet, s)
+                total = plain.take(at)
+                for add, cell in zip(adds, cells):
+                    total += add.take(cell)
+                held += np.bincount(total, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["key", "data"])
 
-    rows = sorted((r.bits, r.slots) for r in chosen.mapInArrow(run, "bits binary, slots binary").collect())
+    rows = summed(coded.filter(training).select("symbols").mapInArrow(tidy(run), "key int, data binary"), 12).collect()
+    parts.unpersist()
     if rows:
-        bit = np.concatenate([np.frombuffer(b, np.int8) for b, _ in rows])
-        slots = np.concatenate([np.frombuffer(k, np.int32).reshape(CONTEXTS, -1) for _, k in rows], axis=1)
-        mixer.fit(counts, bit, slots)
+        mixer.fit(np.frombuffer(rows[0].data))
     return mixer
 
 
@@ -382,43 +522,26 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFr
     total, distinct = (row.n or 0) + ends, row.v + (ends > 0)
     head = (counts.filter((F.col("n") > 1) & (F.octet_length("word") <= s.head_bytes)).orderBy(F.desc("n"), "word").limit(s.head_words).toArrow())
     words, frequency = head.column("word").to_pylist(), head.column("n").to_numpy()
-    known = context.broadcast(frozenset(words))
+    known = context.broadcast(pa.array(words, pa.string()))
     alphabet = Alphabet(words, frequency, (row.n or 0) - int(frequency.sum()), ends, _letters(counts, known))
     shared = context.broadcast(alphabet)
-    table = _bit_counts(narrow, training, shared, s)
-    model = context.broadcast(_mixer(narrow, training, shared, table, s))
-    logs = context.broadcast(np.log10(frequency + 1.0))
+    coded = checkpointed(_coded(narrow, shared, frequency))
+    table = _bit_counts(coded, training, shared, s)
+    model = context.broadcast(_mixer(coded, training, shared, table, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet, mixer, log_of = shared.value, model.value, logs.value
+        alphabet, mixer = shared.value, model.value
         for batch in batches:
-            n = batch.num_rows
-            scores, base = np.zeros(n), np.zeros(n)
-            tokens, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            tails: list[list[dict]] = []
-            for symbols, skip, stretches in _parts(batch.select(["text"]), alphabet, tails=tails):
-                low = skip
-                for (i, size, _), x in zip(stretches, mixer.score(symbols, skip, stretches, alphabet, s)):
+            scores = np.zeros(batch.num_rows)
+            for symbols, skip, stretches in _parts(_texts(batch.column(0))):
+                for (i, _, _), x in zip(stretches, mixer.score(symbols, skip, stretches, alphabet, s)):
                     scores[i] += x
-                    own = symbols[low : low + size]
-                    heads = own[(own > 1) & (own < alphabet.letters)] - 2
-                    tokens[i] += len(heads) + int((own < 2).sum())
-                    found[i] += len(heads)
-                    base[i] += log_of[heads].sum()
-                    low += size
-            size = [len((v.as_py() or "").encode("utf-8", "surrogatepass")) for v in batch.column(1)]
-            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(scores / math.log(10), pa.float64()), pa.array(size, pa.int64()), pa.array(tails, kind)],
-                names=["doc_id", "held_out", "n_tokens", "found", "base", "score", "size", "tail"])
-
-    ids = dict(narrow.dtypes)["doc_id"]
-    scored = checkpointed(narrow.mapInArrow(
-        run, f"doc_id {ids}, held_out boolean, n_tokens bigint, found bigint, base double, score double, size bigint, tail array<struct<word:string,times:bigint>>"
-    ).withColumn("row", F.monotonically_increasing_id()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores / math.log(10), pa.float64())], names=[*batch.schema.names[1:], "score"])
+
+    own = coded.select("symbols", "row", "doc_id", "held_out", "n_tokens", "found", "base", "size")
+    scored = own.mapInArrow(tidy(run), f"{columns_of(own.drop('symbols'))}, score double")
     # words outside the head are looked up by a join; they are rare, so no key is hot
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.times").alias("times")).join(counts, "word", "left")
+    rare = coded.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.times").alias("times")).join(counts, "word", "left")
     seen = F.coalesce("n", F.lit(0))
     rest = rare.groupBy("row").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(seen + 1.0)).alias("rest"))
     end_known = 1 if ends else 0

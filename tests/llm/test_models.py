@@ -96,6 +96,63 @@ def test_a_text_in_parts_scores_like_the_whole():
     assert parts == pytest.approx(whole, rel=1e-5)
 
 
+def test_weights_are_fitted_on_every_decision_of_all_training_texts(spark, docs_of):
+    """More texts than the 96 and longer ones than the 20,000 decisions that a fit once took; the cells are counted one by one."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choices(words, weights=range(40, 0, -1), k=rng.randint(0, 40)))) for i in range(150)]
+    rows += [(150, "w1 w2 w3 " * 3000), (151, None), (152, "Only here\x0bw1 ")]
+    s, held = context_mixing.Settings(slots=12), F.col("doc_id") % 5 == 0
+    docs = docs_of(rows).select("doc_id", "text", F.lit(False).alias("held_out")).repartition(5)
+    alphabet = context_mixing.Alphabet(words, np.arange(40, 0, -1), 2, len(rows), np.zeros(257))
+    shared = spark.sparkContext.broadcast(alphabet)
+    coded = context_mixing._coded(docs, shared, np.ones(40))
+    training = ~held
+    counts = context_mixing._bit_counts(coded, training, shared, s)
+    got = context_mixing._mixer(coded, training, shared, counts, s)
+
+    plain, seen = context_mixing._plain_cells(alphabet, s), Counter()
+    want, of = np.zeros_like(counts), []
+    for i, text in rows:
+        if i % 5:
+            at, cells = context_mixing._cells(alphabet.symbols(words_of(text))[0], 0, alphabet, s)
+            of += list(zip(plain[at].tolist(), *(c.tolist() for c in cells)))
+    for cells in of:
+        for k, cell in enumerate(cells):
+            want[k, cell] += 1
+    assert np.array_equal(counts, want)
+    for cells in of:
+        bit, gate, steps = cells[0] % 2, 0, []
+        for k, cell in enumerate(cells):
+            zero, one = (want[k, cell - bit + b] - (b == bit) for b in (0, 1))
+            steps.append(math.floor(2 * min(8, max(-8, math.log((one + 0.4) / (zero + 0.4)))) + 0.5) + 16)
+            gate += (3, 1)[k - 1] * sum(zero + one >= c for c in ((1, 4, 16), (1, 4))[k - 1]) if k else 0
+        seen[((gate * 33 + steps[2]) * 33 + steps[1]) * 33 + steps[0], bit] += 1
+    table = np.zeros(context_mixing.GATES * 33**3 * 2)
+    for (cell, bit), n in seen.items():
+        table[cell * 2 + bit] = n
+    fitted = context_mixing.Mixer(counts)
+    fitted.fit(table)
+    assert np.array_equal(got.weights, fitted.weights) and np.array_equal(got.correction, fitted.correction)
+    assert not np.array_equal(got.weights, context_mixing.Mixer(counts).weights)
+
+
+def test_coded_texts_against_words(spark, docs_of):
+    rows = [(1, "a\x0bB  éÉ a\x1cx y\n"), (2, None), (3, " \t"), (4, "b zz b ZZ q"), (5, "")]
+    alphabet = context_mixing.Alphabet(["a", "b"], np.array([3, 2]), 2, 5, np.zeros(257))
+    docs = docs_of(rows).select("doc_id", "text", F.lit(True).alias("held_out"))
+    got = {r.doc_id: r for r in context_mixing._coded(docs, spark.sparkContext.broadcast(alphabet), np.array([9, 99])).collect()}
+    for i, text in rows:
+        words, r = words_of(text), got[i]
+        symbols = []
+        for w in words:
+            symbols += {"a": [2], "b": [3]}.get(w) or [1, *(alphabet.letters + c for c in w.encode()), alphabet.letters + 256]
+        assert np.frombuffer(r.symbols, np.int32).tolist() == [*symbols, 0]
+        assert (r.n_tokens, r.found, r.size) == (len(words) + 1, sum(w in "ab" for w in words), len((text or "").encode()))
+        assert r.base == pytest.approx(sum({"a": 1, "b": 2}.get(w, 0) for w in words))
+        assert {x.word: x.times for x in r.tail} == Counter(w for w in words if w not in "ab")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
