@@ -93,7 +93,7 @@ def _rows(docs: DataFrame, labelled: DataFrame, place: dict[str, int], s: Settin
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["y", "x"])
 
     texts = _hashed(docs).join(F.broadcast(ids), _KEY).dropDuplicates(_KEY)
-    rows = [(r.y, r.x) for r in texts.select("toxic", "text").mapInArrow(encoded, "y int, x array<int>").collect()]
+    rows = [(r.y, r.x) for r in texts.select("toxic", "text").mapInArrow(tidy(encoded), "y int, x array<int>").collect()]
     held = Counter(k for _, x in rows for k in x)
     rare = {k for k in place.values() if held[k] < s.least_docs}
     if rare:
@@ -106,7 +106,7 @@ def _rows(docs: DataFrame, labelled: DataFrame, place: dict[str, int], s: Settin
                 yield pa.RecordBatch.from_arrays([*own, pa.array([found[k] for k in kept], pa.list_(pa.int32()))], names=[*_KEY, "x"])
 
         hashed = _hashed(docs)
-        more = (hashed.mapInArrow(holders, f"doc_id {dict(hashed.dtypes)['doc_id']}, h1 bigint, h2 bigint, x array<int>")
+        more = (hashed.mapInArrow(tidy(holders), f"doc_id {dict(hashed.dtypes)['doc_id']}, h1 bigint, h2 bigint, x array<int>")
                 .join(labelled.join(F.broadcast(ids), ["h1", "h2"], "left_anti"), _KEY).dropDuplicates(_KEY))
         of = more.select("h1", "h2", "toxic", "x", F.explode("x").alias("f")).filter(F.col("f").isin(*rare))
         # Spark applies the rank limit before the shuffle as well
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model |
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), *(pa.array([seen[y][n] for n in names], pa.int64()) for y in (0, 1))], names=["f", "n0", "n1"])
 
-    counts = texts.select("toxic", "text").mapInArrow(counted, "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.select("toxic", "text").mapInArrow(tidy(counted), "f string, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1"), F.col("n0")
     n = n0 + n1
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n0 * n1 * (a + b) * (n - a - b))

@@ -2,37 +2,56 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from armparity.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
-from armparity.llm.common import removed, shared_folder, table
+from armparity.llm.common import removed, shared_folder, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def bounded(stage: Stage) -> Stage:
+    """``stage`` with small batches: an executor holds some for each task, beside all that earlier stages left in its heap."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents judged toxic go. The model is fitted on the labelled ones among ``docs``."""
     return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@bounded
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has go from the text; a document of which no word is left goes with them."""
     return line_dedup.keep_rest(docs)
 
 
+@bounded
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     return ngram_join.keep_one(docs)
 
 
+@bounded
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of what they decode to."""
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)

@@ -83,3 +83,23 @@ def test_only_the_last_table_stays(spark, folder):
     corpus_pipeline.run(spark, folder).count()
     new = [x for x in set(os.listdir(root)) - before if x.startswith("pipeline-")]
     assert len(new) == 1 and os.listdir(f"{root}/{new[0]}") == ["3-decontaminate"]
+
+
+def test_batches_of_a_stage_are_bounded_in_bytes(spark):
+    """The long texts of one task came in one batch before."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('some words ', 1500) as text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        corpus_pipeline.tokens(spark, docs, "unused")
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(found) > 4 and max(found) < 6 << 20
+    finally:
+        spark.conf.set(key, before)
