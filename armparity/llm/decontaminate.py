@@ -134,19 +134,24 @@ def _latent(coded: DataFrame, idf: np.ndarray, s: Settings) -> np.ndarray:
         out = np.zeros((v, width))
         for batch in batches:
             rows = _passages(batch, s.passage)
-            for low in range(0, len(rows), 2048):  # bounds the dense parts
-                pp, cc, counts = _terms(rows[low : low + 2048])
+            for low in range(0, len(rows), 1024):  # bounds the dense parts
+                pp, cc, counts = _terms(rows[low : low + 1024])
                 if not len(pp):
                     continue
                 w = counts * idf[cc]
                 w = w / np.sqrt(np.bincount(pp, weights=w * w))[pp]
                 starts = np.flatnonzero(np.r_[True, np.diff(pp) > 0])
-                product = np.add.reduceat(test[cc] * w[:, None], starts)  # A W, a row per passage
+                dense = test.take(cc, axis=0)
+                dense *= w[:, None]
+                product = np.add.reduceat(dense, starts)  # A W, a row per passage
                 back = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(pp)]))
                 # A' times that: the rows of a word together
-                order = np.argsort(cc, kind="stable")
-                words = np.flatnonzero(np.r_[True, np.diff(cc[order]) > 0])
-                out[cc[order][words]] += np.add.reduceat(product[back[order]] * w[order][:, None], words)
+                order = np.argsort(cc.astype(np.uint16) if v < 1 << 16 else cc, kind="stable")  # short keys are sorted by radix
+                cc = cc[order]
+                words = np.flatnonzero(np.r_[True, np.diff(cc) > 0])
+                np.take(product, back[order], axis=0, out=dense)
+                dense *= w[order][:, None]
+                out[cc[words]] += np.add.reduceat(dense, words)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["key", "data"])
 
     rows = summed(coded.select("codes").mapInArrow(tidy(run), "key int, data binary"), 16).collect()

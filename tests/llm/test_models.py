@@ -212,6 +212,26 @@ def test_leaks_of_short_items_and_named_items(spark, docs_of):
     assert got == {1: ["short"], 2: [], 3: ["one"], 4: ["long"], 5: [], 6: []}
 
 
+def test_latent_space_against_a_dense_sketch(spark):
+    """More passages than one block has, so blocks are added up; words of equal weight in any order."""
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 30, n).astype(np.uint32) for n in [*rng.integers(0, 40, 300), 64 * 1500]]
+    coded = spark.createDataFrame([(bytearray(c.tobytes()),) for c in texts], "codes binary").coalesce(1)
+    s, idf = decontaminate.Settings(rank=4, extra=2), rng.uniform(1, 3, 29)
+    rows = []
+    for c in texts:
+        for low in range(0, len(c), s.passage):
+            x = np.bincount(c[low : low + s.passage], minlength=30)[1:] * idf
+            if x.any():
+                rows.append(x / np.linalg.norm(x))
+    a = np.array(rows)
+    test = np.random.Generator(np.random.PCG64(7)).standard_normal((29, 6))
+    left, size, _ = np.linalg.svd(a.T @ (a @ test), full_matrices=False)
+    want = left[:, :4] * idf[:, None] * (size[0] / size[:4])
+    got = decontaminate._latent(coded, idf, s)
+    assert np.allclose(np.abs(got), np.abs(want), rtol=1e-3, atol=1e-3)
+
+
 def test_passage_terms_against_counters():
     rng = np.random.default_rng(4)
     rows = np.sort(rng.integers(0, 9, (40, 16)).astype(np.uint32), axis=1)
