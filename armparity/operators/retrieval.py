@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armparity.functions import text as T
+from armparity.session import written
 
 TOP_K = 4
+#: Words counted for one pair of a query and a document that has to be compared; decides how a query is answered, not what is found.
+PAIR_COST = 64
 WINDOW = 200
 
 
 def best_documents(queries: DataFrame, documents: DataFrame, rare_limit: int = 100) -> DataFrame:
-    """The document sharing most distinct words with each query, first by id among equals.
+    """The document sharing most distinct words with each query, first by id among equals; rows of one id are one.
 
     Joining on every word would pair each query with nearly every document through the
-    common words. Only rare words (at most ``rare_limit`` documents each) are joined;
-    common words are compared inside the candidate rows. A document with no rare word in
-    common can win only when the best candidate shares no more words than the query has
-    common ones; for those queries alone, documents are first reduced to one row per
-    distinct set of common words, so the result is exact.
+    common words. Of a query's n words that occur, the rarest are joined first, until
+    ``rare_limit`` documents are passed; the best of the documents found shares some b
+    words. A document that shares b or more lacks at most n - b, so it holds one of the
+    n - b + 1 rarest words: joining on those misses none. Queries for which that leaves
+    too many documents are counted word by word. Exact at any limit. The texts are read
+    once; of their words only those that a query asks for are kept.
     """
-    q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    asked = written(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).distinct(), "asked")
     doc_tokens = documents.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    asked = q.select("token").distinct()
-    frequency = doc_tokens.join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_df"))
-    rare, common = frequency.filter(F.col("_df") <= rare_limit).select("token"), frequency.filter(F.col("_df") > rare_limit).select("token")
-
-    none = F.array().cast("array<string>")
-    q_common = q.join(common, "token", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("_qc"))
-    d_common = doc_tokens.join(common, "token", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("token")).alias("_dc"))
-
-    matches = q.join(rare, "token", "left_semi").join(doc_tokens.join(rare, "token", "left_semi"), "token")
-    candidates = matches.groupBy("query_id", "doc_id").agg(F.count("*").alias("_rare"))
-    scored = candidates.join(q_common, "query_id", "left").join(d_common, "doc_id", "left").withColumn(
-        "overlap", F.col("_rare") + F.size(F.array_intersect(F.coalesce("_qc", none), F.coalesce("_dc", none))))
-    best = scored.groupBy("query_id").agg(F.max_by(F.struct("doc_id", "overlap"), F.struct("overlap", -F.col("doc_id"))).alias("_b"))
-
-    open_queries = q_common.join(best, "query_id", "left").filter(
-        F.col("_b").isNull() | (F.col("_b.overlap") <= F.size("_qc"))).select("query_id", "_qc")
-    kinds = d_common.groupBy("_dc").agg(F.min("doc_id").alias("doc_id"))
-    rest = (
-        open_queries.select("query_id", F.explode("_qc").alias("token"))
-        .join(kinds.select("doc_id", F.explode("_dc").alias("token")), "token")
-        .groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap")))
-    found = best.select("query_id", "_b.doc_id", "_b.overlap").unionByName(rest)
+    held = written(doc_tokens.join(asked.select("token").distinct(), "token", "left_semi").select("doc_id", "token"), "held")
+    words = written(_rarest_first(asked, held), "words")
+
+    seeds = _overlaps(words.filter(F.col("before") <= rare_limit), words, held)
+    least = seeds.groupBy(F.col("query_id").alias("_q")).agg(F.max("overlap").alias("_least"))
+    needed = words.join(least, F.col("query_id").eqNullSafe(F.col("_q"))).withColumn("needed", F.col("place") <= F.col("n") - F.col("_least") + 1)
+    whole = Window.partitionBy("query_id")
+    needed = written(needed.withColumn("selective", F.sum(F.when(F.col("needed"), F.col("df"))).over(whole) * PAIR_COST <= F.sum("df").over(whole)).drop("_q", "_least"), "needed")
+
+    found = _overlaps(needed.filter("selective and needed"), words, held).unionByName(_counted(needed.filter("not selective").join(held, "token")))
     return found.groupBy("query_id").agg(
         F.max_by(F.struct("doc_id", "overlap"), F.struct("overlap", -F.col("doc_id"))).alias("_b")).select("query_id", "_b.doc_id", "_b.overlap")
 
 
+def _rarest_first(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Each query's words that occur, with the documents ``df`` that hold each, its ``place`` among ``n``, and the documents ``before`` it."""
+    frequency = held.groupBy("token").agg(F.count("*").alias("df"))
+    whole = Window.partitionBy("query_id")
+    order = whole.orderBy("df", "token")
+    return asked.join(frequency, "token").select(
+        "query_id", "token", "df", F.row_number().over(order).alias("place"), F.count("*").over(whole).alias("n"),
+        F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
+def _overlaps(some: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
+    """``query_id``, ``doc_id``, ``overlap`` over all ``words`` for the documents that hold one of ``some`` words of the query."""
+    pairs = written(some.join(held, "token").select(F.col("query_id").alias("_q"), F.col("doc_id").alias("_d")).distinct(), "pairs")
+    read = held.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d"))).select("_q", "doc_id", F.col("token").alias("_t"))
+    return _counted(read.join(words, F.col("_q").eqNullSafe(F.col("query_id")) & (F.col("_t") == F.col("token"))))
+
+
+def _counted(shared: DataFrame) -> DataFrame:
+    return shared.groupBy("query_id", "doc_id").agg(F.count_distinct("token").alias("overlap"))
+
+
 def first_chunks(best: DataFrame, documents: DataFrame, k: int = TOP_K) -> DataFrame:
     """The first ``k`` chunks (lines) of each query's document."""
     chunks = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
