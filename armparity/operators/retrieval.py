@@ -63,9 +63,10 @@ def _counted(shared: DataFrame) -> DataFrame:
 
 
 def first_chunks(best: DataFrame, documents: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The first ``k`` chunks (lines) of each query's document."""
+    """The first ``k`` chunks (lines) of each query's document; only the texts that are some query's best are cut."""
     chunks = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    return best.join(documents.select("doc_id", F.slice(chunks, 1, k).alias("chunks")), "doc_id")
+    texts = written(best, "best").join(documents.select("doc_id", "text"), "doc_id")
+    return texts.withColumn("chunks", F.slice(chunks, 1, k)).drop("text")
 
 
 def forbidden_hits(documents: DataFrame, phrases: list[tuple[str, list[str]]], key: str, body: str) -> DataFrame:

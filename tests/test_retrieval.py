@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from armparity.operators import retrieval as RT
 
@@ -54,3 +55,11 @@ def test_texts_are_read_once(spark):
     _, _, d, q = _tables(spark, 1)
     RT.best_documents(q, d.mapInArrow(seen, DOC)).collect()
     assert reads.value == d.count()
+
+
+def test_first_chunks(spark):
+    d = spark.createDataFrame([(1, "a\n\n b \n  \nc\nd\ne"), (2, "x"), (3, None)], DOC)
+    best = spark.createDataFrame([(7, 1), (8, 1), (9, 2), (10, 3)], "query_id long, doc_id long")
+    got = {r.query_id: r.chunks for r in RT.first_chunks(best, d).select("query_id", "chunks").collect()}
+    assert got == {7: ["a", " b ", "c", "d"], 8: ["a", " b ", "c", "d"], 9: ["x"], 10: None}
+    assert set(RT.first_chunks(best.withColumn("overlap", F.lit(1)), d).columns) == {"query_id", "doc_id", "overlap", "chunks"}
