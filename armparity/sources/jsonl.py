@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from armparity import schemas
 from armparity.functions import payload
-from armparity.functions.plan import filter_above
+from armparity.session import checkpointed
 
 
 def read_all_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -104,28 +104,29 @@ def parse_strict(lines: DataFrame, schema: str, required: tuple[str, ...] = (),
 
 def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(calls, rejects)``; a reject has its ``file``, ``line_no``, ``offset``, the ``line`` and why."""
-    every = read_all_lines(spark, path)
-    return _split(parse_strict(every, schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED), every)
+    return _split(parse_strict(read_all_lines(spark, path), schemas.CALL, schemas.CALL_REQUIRED, schemas.CALL_ALLOWED))
 
 
 def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same for gold items, whose gold answer has to satisfy its task's schema and whose rubric has to have three to five criteria, each once."""
-    every = read_all_lines(spark, path)
-    parsed = parse_strict(every, schemas.ITEM, schemas.ITEM_REQUIRED)
+    parsed = parse_strict(read_all_lines(spark, path), schemas.ITEM, schemas.ITEM_REQUIRED)
     ids = F.transform("rec.rubric", lambda x: x["id"])
     broken = F.concat(
         payload.gold_defects(F.col("rec.subagent"), F.col("rec.gold")),
         F.when(F.size(F.array_distinct(ids)) != F.size(ids), F.array(F.lit("duplicate rubric id"))).otherwise(F.array().cast("array<string>")),
         F.when(~F.coalesce(F.size(ids).between(3, 5), F.lit(False)), F.array(F.lit("rubric needs three to five criteria"))).otherwise(F.array().cast("array<string>")))
     staged = parsed.withColumn("_defects", F.when(F.col("reject").isNull() & (F.trim("line") != ""), F.array_join(broken, "; ")))
-    return _split(staged.withColumn("reject", F.coalesce("reject", F.nullif("_defects", F.lit("")))).drop("_defects"), every)
+    return _split(staged.withColumn("reject", F.coalesce("reject", F.nullif("_defects", F.lit("")))).drop("_defects"))
 
 
-def _split(parsed: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and rejects of lines that are parsed once, for both."""
     # a blank line is no record and no reject, but it counts
     blank = F.trim("line") == ""
-    good = filter_above(parsed, F.col("reject").isNull() & ~blank).select("rec.*").drop("_bad")
-    return good, located(parsed.withColumn("reject", F.when(~blank, F.col("reject"))), every, "reject")
+    good = F.col("reject").isNull() & ~blank
+    kept = checkpointed(parsed.select(
+        "file", "range", "size", F.when(~good, F.col("line")).alias("line"), F.when(~blank, F.col("reject")).alias("reject"), F.when(good, F.col("rec").dropFields("_bad")).alias("rec")))
+    return kept.filter("rec is not null").select("rec.*"), located(kept, kept, "reject")
 
 
 def canonical(df: DataFrame) -> Column:

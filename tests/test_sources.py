@@ -116,3 +116,19 @@ def test_gold_items_are_checked_on_read(spark):
     assert {json.loads(r.line)["item_id"]: r.reject for r in rejects.collect()} == {
         "2": "unknown task: nobody", "3": "gold.summary: missing; gold.key_points: missing; rubric needs three to five criteria", "4": "duplicate rubric id",
         "5": "rubric needs three to five criteria"}
+
+
+def test_records_and_rejects_are_of_one_read(spark):
+    import os
+
+    path = f"{checkpoint_root(spark).removeprefix('file:')}/{uuid.uuid4().hex}"
+    os.makedirs(path)
+    lines = [GOOD.format(1, "x"), "", "{", GOOD.format(2, "y"), "  ", '{"trace_id":"3"}']
+    with open(f"{path}/log.txt", "w") as out:
+        out.write("\n".join(lines) + "\n")
+    calls, rejects = jsonl.read_calls(spark, path)
+    with open(f"{path}/log.txt", "w") as out:
+        out.write("\n".join([*reversed(lines), "[", GOOD.format(4, "z")]) + "\n")
+    assert sorted((r.trace_id, r.output.text) for r in calls.collect()) == [("1", "x"), ("2", "y")]
+    at = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+    assert sorted((r.line_no, r.offset, r.line) for r in rejects.collect()) == [(3, at[2], lines[2]), (6, at[5], lines[5])]
